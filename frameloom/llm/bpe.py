@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, documents, partitions, without
+from .common import add_columns, documents, partitions
 
 #: Characters of the longest text that one task encodes in one go.
 LEAF = 32_768
@@ -153,7 +153,8 @@ def encode_texts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     Only texts of more than ``leaf`` characters are exchanged: once as leaves, to be encoded in parallel, and once
     with their tokens, to be joined by document.
     """
-    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = docs.schema[id_col].dataType
+    docs = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def whole(texts: list[bytes]) -> list:
         tok = encoder(tokenizer)
@@ -163,8 +164,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     short = add_columns(docs.where(F.length("text") <= leaf), "text", fields, whole).drop("text")
 
     long = docs.where(F.length("text") > leaf).withColumn("key", F.md5("text"))
-    kind = long.schema["id"].dataType
-    cut = T.StructType([T.StructField("id", kind), T.StructField("key", T.StringType()), T.StructField("start", T.LongType()), T.StructField("piece", T.StringType())])
+    cut = T.StructType([T.StructField("id", T.StringType()), T.StructField("key", T.StringType()), T.StructField("start", T.LongType()), T.StructField("piece", T.StringType())])
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -172,7 +172,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
             for i, text, key in zip(frame["id"], frame["text"], frame["key"], strict=True):
                 at = halves(len(text), leaf)
                 rows += [(i, key, s, text[s:e]) for s, e in zip(at, [*at[1:], len(text)], strict=True)]
-            yield pd.DataFrame(rows, columns=cut.names).astype({"id": frame["id"].dtype})
+            yield pd.DataFrame(rows, columns=cut.names)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(tokenizer)
@@ -198,9 +198,9 @@ def encode_texts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
         row = pd.DataFrame({"id": own["id"].iloc[:1], "ids": [ids.astype("<u4").tobytes()], "decoded": [tok.decode(ids)]})
         return pd.concat([row] * copies)
 
-    joined_as = T.StructType([T.StructField("id", kind), *fields])
+    joined_as = T.StructType([T.StructField("id", T.StringType()), *fields])
     joined = coded.groupBy("id", "key").applyInPandas(rejoin, joined_as)
-    return short.unionByName(joined).withColumnRenamed("id", id_col)
+    return short.unionByName(joined).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def default_tokenizer() -> str:
