@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, mixing, quality_rules, simhash, substring_dedup, url_filter
+from . import bpe, exact_dedup, license_scan, mixing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, url_filter
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +20,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_mixing": mixing.op2_mixing,
         "op3_bpe": bpe.op3_bpe,
+        "op4_token_counts": token_counts.op4_token_counts,
         "op5_url_filter": url_filter.op5_url_filter,
         "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
+        "op8_license_scan": license_scan.op8_license_scan,
+        "op9_quality_classifier": quality_classifier.op9_quality_classifier,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
         "pipeline": pipeline,
     }
@@ -30,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_token_counts": token_counts.OP4_SQL,
         "op5_url_filter": url_filter.OP5_SQL,
         "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
