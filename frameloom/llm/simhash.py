@@ -124,13 +124,12 @@ def tile_pairs(prints: DataFrame, radius: int, tile: int, subwords: int) -> Data
     tiles = spread.groupBy("cell", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int").alias("part")).agg(F.collect_list("fp").alias("fps"))
     steps = [s for s in product(range(-radius, radius + 1), repeat=subwords) if sum(map(abs, s)) <= radius]
     offsets = [s for s in steps if s > (0,) * subwords]  # each unordered pair of different cells once
-    spark = prints.sparkSession
-    near = spark.createDataFrame([(*s, sum(x * base**k for k, x in enumerate(s))) for s in offsets], ", ".join([*(f"d{k} int" for k in range(subwords)), "step int"]))
+    near = F.array(*(F.struct(*(F.lit(x).alias(f"d{k}") for k, x in enumerate(s)), F.lit(sum(x * base**k for k, x in enumerate(s))).alias("step")) for s in offsets))
     digits = [F.floor(F.col("cell") / base**k).cast("int") % base for k in range(subwords)]
     inside = F.lit(True)
     for k, digit in enumerate(digits):
-        inside = inside & (digit + F.col(f"d{k}")).between(0, base - 1)
-    meets = cells.join(F.broadcast(near), inside).select(F.col("cell").alias("cell_a"), F.col("parts").alias("parts_a"), (F.col("cell") + F.col("step")).alias("cell_b"))
+        inside = inside & (digit + F.col(f"near.d{k}")).between(0, base - 1)
+    meets = cells.withColumn("near", F.explode(near)).where(inside).select(F.col("cell").alias("cell_a"), F.col("parts").alias("parts_a"), (F.col("cell") + F.col("near.step")).alias("cell_b"))
     meets = meets.join(cells.select(F.col("cell").alias("cell_b"), F.col("parts").alias("parts_b")), "cell_b")
     own = cells.select(F.col("cell").alias("cell_a"), F.col("parts").alias("parts_a"), F.col("cell").alias("cell_b"), F.col("parts").alias("parts_b"))
     plan = meets.select(*own.columns).union(own)

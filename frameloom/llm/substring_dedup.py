@@ -171,7 +171,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         # Ranges of the first hash, so a block's buckets follow each other in the order of its keys.
         bucket = ((first >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        ends = [*cuts[1:].tolist(), len(bucket)]
+        ends = [*cuts[1:].tolist(), len(bucket)][: len(cuts)]  # none if no text has a window
         rows = [(int(bucket[s]), key[0], pack(first[s:e], check[s:e], again[s:e])) for s, e in zip(cuts.tolist(), ends, strict=True)]
         return pd.DataFrame(rows, columns=["bucket", "block", "packed"])
 
