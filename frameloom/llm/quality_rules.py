@@ -135,7 +135,8 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc
     """
     mark = free_name(docs, "trusted")
     good = trusted_ids.select(F.col(f"`{trusted_ids.columns[0]}`").alias("good_id")).where("good_id is not null").distinct()
-    marked = docs.select(F.col(id_col), F.col(text_col)).join(good, F.col(id_col) == F.col("good_id"), "left").withColumn(mark, F.col("good_id").isNotNull())
+    # Labels grow with the documents, so they are never broadcast: the texts are exchanged once, at every size.
+    marked = docs.select(F.col(id_col), F.col(text_col)).join(good.hint("merge"), F.col(id_col) == F.col("good_id"), "left").withColumn(mark, F.col("good_id").isNotNull())
     ratios = log_ratios(count_ngrams(marked, text_col, mark, buckets), buckets)
 
     def score(texts: list[bytes]) -> list:
