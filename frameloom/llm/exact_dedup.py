@@ -1,9 +1,10 @@
 """Exact deduplication by content sort, in DataFrame functions alone.
 
 The normalised texts are range-partitioned by splitters that Spark samples, sorted externally inside each
-partition, and each row is compared in full with its neighbour: a window over (normalised text, salt) needs no
-second exchange, since the range partitioning already keeps equal keys together. The first row of a run, by
-identifier, stays.
+partition, and each row is compared in full with its neighbour: a window over the range's keys and the whole text
+needs no second exchange, since the range partitioning already keeps equal keys together. The first row of a run,
+by identifier, stays. Ranges are cut by a text's first bytes, then a hash of all of it: splitters stay short, so
+that sampling them does not bring texts to the driver, and a beginning that many texts share is cut up as well.
 
 A group of more than ``hot_rows`` copies would fill one range; such groups (at most ``MAX_HOT`` by
 construction) are found by pre-aggregation on the content's SHA-256 and spread over ``salts`` runs by
@@ -27,6 +28,8 @@ MAX_HOT = 10_000
 #: A group of fewer copies is never hot.
 LEAST_HOT = 1_000
 SALTS = 64
+#: Characters of a text that splitters hold.
+HEAD = 24
 
 
 def normalised(text: Column) -> Column:
@@ -44,16 +47,16 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """``docs`` with keep_id, group_size, kept and text_sha256 (lowercase hex of the normalised text)."""
     names = [prefix + n for n in ("keep_id", "group_size", "kept", "text_sha256")]
     docs = without(docs, names)
-    norm, salt, digest, first, size, place, run, own = (free_name(docs, f"dedup_{x}") for x in ("norm", "salt", "digest", "first", "size", "place", "run", "own"))
+    norm, head, tail, salt, digest, first, size, place, run, own = (free_name(docs, f"dedup_{x}") for x in ("norm", "head", "tail", "salt", "digest", "first", "size", "place", "run", "own"))
     spark = docs.sparkSession
     hot = hot_groups(docs, id_col, text_col, least_hot).select(F.col("digest").alias(digest), F.col("first_id").alias(first), F.col("n").alias(size))
     marked = docs.withColumn(norm, normalised(F.col(text_col))).withColumn(own, F.unhex(F.sha2(F.col(norm), 256)))
     marked = marked.join(F.broadcast(hot), F.col(own) == F.col(digest), "left").drop(digest)  # under MAX_HOT rows
     marked = marked.withColumn(salt, F.when(F.col(size).isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int")))
-    # The text itself is sorted on, not carried twice: it is normalised again on the other side of the exchange.
-    lean = marked.drop(norm)
-    ranged = lean.repartitionByRange(partitions(spark), normalised(F.col(text_col)), F.col(salt)).withColumn(norm, normalised(F.col(text_col)))
-    runs = Window.partitionBy(norm, salt)
+    marked = marked.withColumn(head, F.substring(F.col(norm), 1, HEAD)).withColumn(tail, F.xxhash64(F.col(norm)))
+    # The text is carried once: it is normalised again on the other side of the exchange.
+    ranged = marked.drop(norm).repartitionByRange(partitions(spark), head, tail, salt).withColumn(norm, normalised(F.col(text_col)))
+    runs = Window.partitionBy(head, tail, salt, norm)
     ordered = runs.orderBy(F.col(id_col).asc_nulls_last())
     told = ranged.withColumn(place, F.row_number().over(ordered)).withColumn(run, F.first(id_col).over(ordered))
     told = told.withColumn(names[1], F.coalesce(F.col(size), F.count(F.lit(1)).over(runs)))
