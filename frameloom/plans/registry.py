@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import frame_queries
+from . import detector_queries, frame_queries
 
-MODULES = (frame_queries,)
+MODULES = (frame_queries, detector_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
