@@ -16,6 +16,8 @@ Special tokens' strings in a text are encoded as the library does by default (as
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,9 +36,16 @@ LEAF = 32_768
 WINDOW = 256
 #: Tokens in a row that must agree on either side of a join.
 AGREE = 3
-#: Words whose ids a Python worker keeps.
+#: Words, and pieces of words, whose ids a Python worker keeps.
 KEPT_WORDS = 300_000
 
+# The tokenizer's own pre-tokenization, written for words of printable ASCII and Latin-1 letters in lower
+# case, and the byte-level alphabet (a byte that prints stands for itself, the others follow from code point 256 on).
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+_PRINTED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_BYTE_SIGNS = {b: chr(b) for b in _PRINTED} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*_PRINTED}))}
+
 
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
@@ -44,7 +53,12 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    """A tokenizer file's encoding and decoding, with the results for single words kept."""
+    """A tokenizer file's encoding and decoding, with the results for single words kept.
+
+    A plain word needs no normalization but lower case, so its pre-tokens go straight to the library's BPE
+    model, and are kept too: words that differ in case or punctuation share them. Any other word is encoded by the whole
+    library.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -52,27 +66,37 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
-        self.ids: dict[bytes, bytes] = {}
-        self.texts: dict[bytes, str | None] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.ids) + len(words) > KEPT_WORDS:
-            self.ids.clear()
-            self.texts.clear()
-        new = list(words.difference(self.ids))
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            own = [x.ids for x in self.lib.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
-            for word, ids, text in zip(some, own, self.lib.decode_batch(own, skip_special_tokens=False), strict=True):
-                self.ids[word] = np.asarray(ids, "<u4").tobytes()
-                self.texts[word] = text if ids else None
+        self.model = self.lib.model
+        self.words: dict[bytes, tuple[bytes, str | None]] = {}
+        self.pieces: dict[str, tuple[bytes, str]] = {}
+
+    def _piece(self, piece: str) -> tuple[bytes, str]:
+        own = piece if piece.isascii() else "".join([_BYTE_SIGNS[b] for b in piece.encode()])
+        tokens = self.model.tokenize(own)
+        kept = self.pieces[piece] = (array("I", [t.id for t in tokens]).tobytes(), " ".join([t.value for t in tokens]))
+        return kept
+
+    def _word(self, word: bytes) -> tuple[bytes, str | None]:
+        text = word.decode()
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            get = self.pieces.get
+            found = [get(p) or self._piece(p) for p in _PIECES.findall(text.lower())]
+            kept = found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), " ".join([f[1] for f in found]))
+        else:
+            ids = self.lib.encode(text, add_special_tokens=False).ids
+            kept = (array("I", ids).tobytes(), self.lib.decode(ids, skip_special_tokens=False) if ids else None)
+        self.words[word] = kept
+        return kept
 
     def encode(self, text: bytes) -> tuple[bytes, str]:
         """The ids of a text as little-endian unsigned 32-bit integers, and the decoded text."""
-        words = text.split()
-        self.learn(set(words))
-        pieces = map(self.texts.__getitem__, words)
-        return b"".join(map(self.ids.__getitem__, words)), " ".join(x for x in pieces if x is not None)
+        if len(self.words) > KEPT_WORDS:
+            self.words.clear()
+        if len(self.pieces) > KEPT_WORDS:
+            self.pieces.clear()
+        get = self.words.get
+        found = [get(w) or self._word(w) for w in text.split()]
+        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found if f[1] is not None])
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, and where each one's characters begin and end."""

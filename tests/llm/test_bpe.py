@@ -86,3 +86,14 @@ def test_halves():
     assert bpe.halves(11, 10) == [0, 5]
     assert bpe.halves(0, 10) == [0]
     assert all(b - a <= 7 for a, b in zip(bpe.halves(100, 7), [*bpe.halves(100, 7)[1:], 100], strict=True))
+
+
+def test_plain_words_equal_the_library(tok):
+    """All signs of the plain alphabet, beside each other, in words of one to four."""
+    rnd = random.Random(12)
+    signs = [chr(c) for c in [*range(33, 127), *range(192, 256)]] + list("''''ßÿÀ×÷µªº²½­\u0085 ")
+    for _ in range(4000):
+        word = "".join(rnd.choice(signs) for _ in range(rnd.randint(1, 4)))
+        ids, text = tok.encode(word.encode())
+        assert np.frombuffer(ids, "<u4").tolist() == library(tok, word), word
+        assert text == tok.lib.decode(library(tok, word), skip_special_tokens=False), word
