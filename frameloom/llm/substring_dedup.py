@@ -152,8 +152,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     kind = docs.schema[id_col].dataType
     docs = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(4 * partitions(spark), -(-size // block_bytes))
-    buckets = max(2 * partitions(spark), -(-size * 2 // bucket_bytes))
+    # A row is a block's part of a bucket: both numbers follow the input, and fewer but fuller rows cost less.
+    blocks = max(2 * partitions(spark), -(-size // block_bytes))
+    buckets = max(partitions(spark), -(-size * 2 // bucket_bytes))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("text", "id"), F.lit(blocks)).cast("long"))
     by_block = dealt.groupBy("block")
 
