@@ -36,8 +36,10 @@ LEAF = 32_768
 WINDOW = 256
 #: Tokens in a row that must agree on either side of a join.
 AGREE = 3
+#: Leaves whose tokens a task holds at once.
+LEAVES = 32
 #: Words, and pieces of words, whose ids a Python worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 
 # The tokenizer's own pre-tokenization, written for words of printable ASCII and Latin-1 letters in lower
 # case, and the byte-level alphabet (a byte that prints stands for itself, the others follow from code point 256 on).
@@ -111,14 +113,6 @@ class Encoder:
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, starts, ends
 
 
-def halves(n: int, leaf: int) -> list[int]:
-    """Where the leaves of a text of n characters begin: halved until each has at most ``leaf``."""
-    if n <= leaf:
-        return [0]
-    half = n // 2
-    return halves(half, leaf) + [half + x for x in halves(n - half, leaf)]
-
-
 def _agreement(x: Tokens, y: Tokens, low: int, high: int) -> list[tuple[int, int]]:
     """Positions (i, j) from which AGREE tokens of x and y are the same, all within low..high."""
     ids_x, from_x, to_x = x
@@ -188,25 +182,23 @@ def encode_texts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     short = add_columns(docs.where(F.length("text") <= leaf), "text", fields, whole).drop("text")
 
     long = docs.where(F.length("text") > leaf).withColumn("key", F.md5("text"))
-    cut = T.StructType([T.StructField("id", T.StringType()), T.StructField("key", T.StringType()), T.StructField("start", T.LongType()), T.StructField("piece", T.StringType())])
-
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for i, text, key in zip(frame["id"], frame["text"], frame["key"], strict=True):
-                at = halves(len(text), leaf)
-                rows += [(i, key, s, text[s:e]) for s, e in zip(at, [*at[1:], len(text)], strict=True)]
-            yield pd.DataFrame(rows, columns=cut.names)
+    # Halved, and halved again, until no piece is longer than a leaf: 2 ** depth pieces.
+    n = F.length("text")
+    count = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(n / leaf)))).cast("long")
+    begin = lambda i: F.floor(i * n / F.col("count")).cast("long")
+    spread = long.withColumn("count", count).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+    pieces = spread.select("id", "key", begin(F.col("i")).alias("start"), F.substring(F.col("text"), (begin(F.col("i")) + 1).cast("int"), (begin(F.col("i") + 1) - begin(F.col("i"))).cast("int")).alias("piece"))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(tokenizer)
-        for batch in batches:
-            got = [tok.spans(p) for p in batch.column(3).to_pylist()]
-            packed = [pa.array([x[c].astype("<u4").tobytes() for x in got], pa.binary()) for c in range(3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *packed], names=[*batch.schema.names, "ids", "starts", "ends"])
-
-    coded_as = T.StructType([*cut.fields, *(T.StructField(n, T.BinaryType()) for n in ("ids", "starts", "ends"))])
-    pieces = long.select("id", "text", "key").mapInPandas(split, cut)
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, LEAVES):
+                batch = whole_batch.slice(at, LEAVES)
+                got = [[c.astype("<u4").tobytes() for c in tok.spans(p)] for p in batch.column(3).to_pylist()]
+                packed = [pa.array([x[c] for x in got], pa.binary()) for c in range(3)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *packed], names=[*batch.schema.names, "ids", "starts", "ends"])
+
+    coded_as = T.StructType([*pieces.schema.fields, *(T.StructField(n, T.BinaryType()) for n in ("ids", "starts", "ends"))])
     coded = pieces.repartition(partitions(docs.sparkSession)).mapInArrow(leaves, coded_as)
 
     def rejoin(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: White space of the contracts, as Java and RE2 read it.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch that are worked on at once: what a task derives from a text can be several times as large.
+SLICE_BYTES = 4 << 20
 WORD_RUN = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,8 +71,10 @@ def add_columns(df: DataFrame, text: str, fields: list[T.StructField], score: Ca
     names = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            step = max(1, whole.num_rows * SLICE_BYTES // max(1, whole.nbytes))
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 found = score(bytes_of(batch, text))
                 arrays = [pa.array(x, type=k) for x, k in zip(found, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *names])

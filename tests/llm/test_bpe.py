@@ -21,12 +21,20 @@ def tok():
     return bpe.Encoder(PATH)
 
 
+def halves(n: int, leaf: int) -> list[int]:
+    """Where leaves begin if a text of n characters is halved until each fits."""
+    if n <= leaf:
+        return [0]
+    half = n // 2
+    return halves(half, leaf) + [half + x for x in halves(n - half, leaf)]
+
+
 def library(tok, text):
     return tok.lib.encode(text or "", add_special_tokens=False).ids
 
 
 def tree(tok, text, leaf, window=bpe.WINDOW):
-    at = bpe.halves(len(text), leaf)
+    at = halves(len(text), leaf)
     leaves = []
     for s, e in zip(at, [*at[1:], len(text)], strict=True):
         ids, first, last = tok.spans(text[s:e])
@@ -81,13 +89,6 @@ def test_windows_stay_small_on_ordinary_text(tok):
     assert max(seen) < 3000
 
 
-def test_halves():
-    assert bpe.halves(10, 10) == [0]
-    assert bpe.halves(11, 10) == [0, 5]
-    assert bpe.halves(0, 10) == [0]
-    assert all(b - a <= 7 for a, b in zip(bpe.halves(100, 7), [*bpe.halves(100, 7)[1:], 100], strict=True))
-
-
 def test_plain_words_equal_the_library(tok):
     """All signs of the plain alphabet, beside each other, in words of one to four."""
     rnd = random.Random(12)
