@@ -11,13 +11,17 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
+from ..functions.edit_fold import apply_edit
 from .lookups import covering_segment, nearest_sample
 
 PAGE = ["source_id", "page_id", "rep_ordinal", "ticks", "origin", "origin_segment_ix", "derived_segment_ix", "last_edit"]
 PAGE_SCHEMA = "source_id string, page_id string, rep_ordinal int, ticks long, origin string, origin_segment_ix int, derived_segment_ix int, last_edit string"
-BY_TIME = Window.partitionBy("source_id").orderBy("ticks")
+
+
+def by_time() -> WindowSpec:
+    return Window.partitionBy("source_id").orderBy("ticks")
 
 
 def manual_id(source: Column, ordinal: Column, seq: Column) -> Column:
@@ -76,10 +80,10 @@ def delete_pages(pages: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataF
     code = F.when(F.col("known") < F.col("chosen"), "UnknownPage").when(F.col("chosen") == 0, "EmptySelection")
     judged = told.withColumn("code", code)
     gone = deletes.join(judged.where("code IS NULL").select("source_id", "seq"), ["source_id", "seq"], "left_semi").select("source_id", F.explode("page_ids").alias("page_id"))
-    ranked = pages.withColumn("at", F.row_number().over(BY_TIME) - 1)
+    ranked = pages.withColumn("at", F.row_number().over(by_time()) - 1)
     left = pages.join(gone, ["source_id", "page_id"], "left_anti").select(*PAGE)
     first = ranked.join(gone, ["source_id", "page_id"], "left_semi").groupBy("source_id").agg(F.min("at").alias("first"))
-    places = left.withColumn("at", F.row_number().over(BY_TIME) - 1).withColumn("n", F.count("*").over(Window.partitionBy("source_id")))
+    places = left.withColumn("at", F.row_number().over(by_time()) - 1).withColumn("n", F.count("*").over(Window.partitionBy("source_id")))
     focus = places.join(first, "source_id").where(F.col("at") == F.least("first", F.col("n") - 1)).select("source_id", F.col("page_id").alias("focus"))
     outcomes = judged.join(focus, "source_id", "left").select("source_id", "seq", F.when(code.isNull(), "changed").when(code == "EmptySelection", "no_op").otherwise("rejected").alias("status"), "code", F.when(code.isNull(), F.col("focus")).alias("focus"))
     return left, outcomes
@@ -107,49 +111,13 @@ def navigate(pages: DataFrame, steps: DataFrame) -> DataFrame:
 
     An unknown current page counts as the first; a source without pages gives null. ``steps`` is (source_id, step, current, delta).
     """
-    ranked = pages.withColumn("at", F.row_number().over(BY_TIME) - 1).withColumn("n", F.count("*").over(Window.partitionBy("source_id"))).select("source_id", "page_id", "at", "n")
+    ranked = pages.withColumn("at", F.row_number().over(by_time()) - 1).withColumn("n", F.count("*").over(Window.partitionBy("source_id"))).select("source_id", "page_id", "at", "n")
     known = steps.join(ranked.select("source_id", F.col("page_id").alias("current"), "at"), ["source_id", "current"], "left")
     sizes = ranked.groupBy("source_id").agg(F.max("n").alias("n"))
     target = known.join(sizes, "source_id", "left").withColumn("at", F.greatest(F.lit(0), F.least(F.col("n") - 1, F.coalesce("at", F.lit(0)) + F.col("delta"))))
     return target.select("source_id", "step", "at").join(ranked.select("source_id", "at", "page_id"), ["source_id", "at"], "left").select("source_id", "step", "page_id")
 
 
-def apply_edit(rows: list[dict], edit: dict) -> tuple[list[dict], str, str | None, str | None]:
-    """One edit of a log on one source's pages (in time order): the new pages, status, code and focus."""
-    by_id = {p["page_id"]: p for p in rows}
-    ids = list(dict.fromkeys(edit["page_ids"] or []))
-    kind = edit["kind"]
-    if kind in ("add", "replace"):
-        holder = next((p for p in rows if p["rep_ordinal"] == edit["to_ordinal"]), None)
-        if kind == "add":
-            if holder:
-                return rows, "no_op", "AlreadySelected", holder["page_id"]
-            page = {"page_id": edit["new_id"], "origin": "manual", "origin_segment_ix": None}
-        else:
-            page = by_id.get(ids[0]) if ids else None
-            if page is None:
-                return rows, "rejected", "UnknownPage", None
-            if holder is page:
-                return rows, "no_op", "SameSample", page["page_id"]
-            if holder:
-                return rows, "rejected", "DuplicateSample", page["page_id"]
-        new = page | {"rep_ordinal": edit["to_ordinal"], "ticks": edit["to_ticks"], "derived_segment_ix": edit["to_segment_ix"], "last_edit": kind}
-        kept = [p for p in rows if p is not page]
-        return sorted([*kept, new], key=lambda p: p["ticks"]), "changed", None, new["page_id"]
-    if not set(ids) <= set(by_id):
-        return rows, "rejected", "UnknownPage", None
-    if kind == "merge":
-        if len(ids) < 2:
-            return rows, "no_op", "NeedMultiplePages", ids[0] if ids else None
-        last = max((by_id[i] for i in ids), key=lambda p: p["ticks"])
-        return [p for p in rows if p is last or p["page_id"] not in ids], "changed", None, last["page_id"]
-    if not ids:
-        return rows, "no_op", "EmptySelection", None
-    first = min(k for k, p in enumerate(rows) if p["page_id"] in ids)
-    left = [p for p in rows if p["page_id"] not in ids]
-    return left, "changed", None, left[min(first, len(left) - 1)]["page_id"] if left else None
-
-
 def replay(pages: DataFrame, edits: DataFrame) -> DataFrame:
     """Resolved edits (source_id, seq, kind, page_ids, to_ordinal, to_ticks, to_segment_ix) applied in order of seq.
 

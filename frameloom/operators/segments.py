@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.rational import seconds
 from ..settings import SpatialSettings
 
-BY_SOURCE = Window.partitionBy("source_id")
+
+def _by(order: str) -> WindowSpec:
+    return Window.partitionBy("source_id").orderBy(order)
 
 
 def segment_numbers(samples: DataFrame, flags: DataFrame, order: str = "ordinal") -> DataFrame:
     """Samples with is_boundary and segment_ix, the running count of boundaries. Rows here hold no pixels."""
     marked = samples.join(flags.select("source_id", order, "is_boundary"), ["source_id", order], "left").withColumn("is_boundary", F.coalesce("is_boundary", F.lit(False)))
-    upto = BY_SOURCE.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = _by(order).rowsBetween(Window.unboundedPreceding, 0)
     return marked.withColumn("segment_ix", F.sum(F.col("is_boundary").cast("int")).over(upto).cast("int"))
 
 
@@ -26,7 +28,7 @@ def spatial_flags(pairs: DataFrame, settings: SpatialSettings) -> DataFrame:
 
 def boundaries(numbered: DataFrame, pairs: DataFrame) -> DataFrame:
     """(source_id, boundary_ix, left_ordinal, right_ordinal, lower_ticks, upper_ticks, status, persistence, scores)."""
-    before = BY_SOURCE.orderBy("ordinal")
+    before = _by("ordinal")
     timed = numbered.withColumn("left_ordinal", F.lag("ordinal").over(before)).withColumn("lower_ticks", F.lag("ticks").over(before)).where("is_boundary")
     scored = timed.join(pairs.select("source_id", "ordinal", "changed_fraction", "cell_fraction"), ["source_id", "ordinal"])
     return scored.select(
@@ -38,7 +40,7 @@ def boundaries(numbered: DataFrame, pairs: DataFrame) -> DataFrame:
 def segment_bounds(numbered: DataFrame, sources: DataFrame) -> DataFrame:
     """First and last sample, and half-open times: from 0 for the first segment, to the duration for the last."""
     found = numbered.groupBy("source_id", "segment_ix").agg(F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"), F.min("ticks").alias("first_ticks"))
-    order = BY_SOURCE.orderBy("segment_ix")
+    order = _by("segment_ix")
     timed = found.withColumn("end_ticks", F.lead("first_ticks").over(order)).withColumn("start_ticks", F.when(F.col("segment_ix") == 0, F.lit(0).cast("long")).otherwise(F.col("first_ticks")))
     closed = timed.join(sources.select("source_id", "duration_ticks"), "source_id")
     return closed.select("source_id", "segment_ix", "first_ordinal", "last_ordinal", "start_ticks", F.coalesce("end_ticks", "duration_ticks").alias("end_ticks"), F.when(F.col("segment_ix") > 0, F.col("segment_ix") - 1).alias("start_boundary_ix"))
@@ -52,7 +54,7 @@ def pages_of_segments(segments: DataFrame) -> DataFrame:
 
 def ranked(pages: DataFrame) -> DataFrame:
     """Pages with their number from 1 in time order."""
-    return pages.withColumn("page", F.row_number().over(BY_SOURCE.orderBy("ticks")).cast("int"))
+    return pages.withColumn("page", F.row_number().over(_by("ticks")).cast("int"))
 
 
 def navigation(pages: DataFrame, sources: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def navigation(pages: DataFrame, sources: DataFrame) -> DataFrame:
 
     Page 1 starts at 0; a page ends where the next begins, the last one at the duration; empty ranges are rejected.
     """
-    order = BY_SOURCE.orderBy("ticks")
+    order = _by("ticks")
     timed = ranked(pages).withColumn("next_ticks", F.lead("ticks").over(order)).join(sources.select("source_id", "duration_ticks", "tb_num", "tb_den"), "source_id")
     start = F.when(F.col("page") == 1, F.lit(0).cast("long")).otherwise(F.col("ticks"))
     timed = timed.withColumn("start_ticks", start).withColumn("end_ticks", F.coalesce("next_ticks", "duration_ticks"))

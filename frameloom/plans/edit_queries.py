@@ -23,7 +23,7 @@ class Fixture:
         self.pages = staged(found.pages.select(*pages.PAGE))
 
     def ranked(self) -> DataFrame:
-        return self.pages.withColumn("at", F.row_number().over(pages.BY_TIME)).withColumn("next_id", F.lead("page_id").over(pages.BY_TIME))
+        return self.pages.withColumn("at", F.row_number().over(pages.by_time())).withColumn("next_id", F.lead("page_id").over(pages.by_time()))
 
 
 def _edit(rows: DataFrame, kind: str, seq, ids=None, num=None, den: int = 1) -> DataFrame:
@@ -43,7 +43,7 @@ def adds(f: Fixture) -> DataFrame:
 def replaces(f: Fixture) -> DataFrame:
     """Every ninth page moves by 700 ticks; the second one onto the third's sample; one page is unknown, one stays."""
     every = f.ranked().where("at % 9 = 0")
-    onto = f.ranked().withColumn("next_ticks", F.lead("ticks").over(pages.BY_TIME)).where("at = 2 AND next_ticks IS NOT NULL")
+    onto = f.ranked().withColumn("next_ticks", F.lead("ticks").over(pages.by_time())).where("at = 2 AND next_ticks IS NOT NULL")
     first = f.ranked().where("at = 1")
     ids = F.array("page_id")
     return (
@@ -198,14 +198,14 @@ SQL = {
         """, lf AS (SELECT source_id, page_id, row_number() OVER (PARTITION BY source_id ORDER BY ticks) AS r, count(*) OVER (PARTITION BY source_id) AS n FROM pa WHERE NOT EXISTS (SELECT 1 FROM dl WHERE dl.source_id = pa.source_id AND dl.page_id = pa.page_id)),
         fd AS (SELECT source_id, min(pos) AS first FROM dl GROUP BY 1), ed AS (SELECT DISTINCT source_id FROM pa WHERE pos % 5 = 0 AND (CAST(source_id AS INT) % 2 = 0 OR source_id = '1') UNION SELECT '3')
         SELECT source_id, CAST(20 AS BIGINT) AS seq, CASE source_id WHEN '3' THEN 'no_op' WHEN '1' THEN 'rejected' ELSE 'changed' END AS status, CASE source_id WHEN '3' THEN 'EmptySelection' WHEN '1' THEN 'UnknownPage' END AS code, page_id AS focus
-        FROM ed LEFT JOIN fd USING (source_id) LEFT JOIN lf ON lf.source_id = ed.source_id AND r = least(first, n)""".replace("SELECT source_id, CAST(20", "SELECT ed.source_id, CAST(20").replace("CASE source_id", "CASE ed.source_id"),
+        FROM ed LEFT JOIN fd USING (source_id) LEFT JOIN lf ON lf.source_id = ed.source_id AND first IS NOT NULL AND r = least(first, n)""".replace("SELECT source_id, CAST(20", "SELECT ed.source_id, CAST(20").replace("CASE source_id", "CASE ed.source_id"),
         *_ALL,
     ).replace("\n,", ",", 1),
     "e05_merge_pages": fx.sql(_MERGED.format(cols=_COLS, t="pa", ok="ml.source_id NOT IN ('5', '7')"), *_ALL),
     "o03_latest_of_selection": fx.sql("SELECT source_id, max_by(page_id, ticks) AS page_id FROM pa WHERE pos % 4 = 1 GROUP BY 1", *_ALL),
     "o02_chronological_pages": fx.sql("SELECT source_id, CAST(pos AS INT) AS page, page_id, ticks FROM pa", *_ALL),
     "o04_navigate": fx.sql(
-        """SELECT source_id, CAST(a.pos * 10 + k AS INT) AS step, b.page_id FROM (SELECT pa.*, count(*) OVER (PARTITION BY source_id) AS n, k, d FROM pa, (VALUES (0, 2), (1, -3), (2, 1)) m(k, d)) a
+        """SELECT source_id, CAST(a.pos * 10 + k AS INT) AS step, b.page_id FROM (SELECT x.*, k, d FROM (SELECT *, count(*) OVER (PARTITION BY source_id) AS n FROM pa) x, (VALUES (0, 2), (1, -3), (2, 1)) m(k, d)) a
         JOIN pa b USING (source_id) WHERE b.pos = greatest(1, least(n, CASE WHEN k = 2 THEN 1 ELSE a.pos END + d))""",
         *_ALL,
     ),
