@@ -85,11 +85,12 @@ def crop(frames: DataFrame) -> DataFrame:
     """Frames cut to their ``roi`` (x, y, width, height); reject_code is set where it leaves the frame."""
     roi = F.col("roi")
     fits = (roi["x"] >= 0) & (roi["y"] >= 0) & (roi["width"] > 0) & (roi["height"] > 0) & (roi["x"] + roi["width"] <= F.col("width")) & (roi["y"] + roi["height"] <= F.col("height"))
-    out = pixels.cut(F.col("px"), F.col("width"), roi["y"], roi["x"], roi["height"], roi["width"])
-    return frames.select(
+    # The cut comes first: beside an alias ``width``, a lambda would take the alias for the column.
+    cut = frames.withColumn("px", F.when(fits, pixels.cut(F.col("px"), F.col("width"), roi["y"], roi["x"], roi["height"], roi["width"])))
+    return cut.select(
         *(c for c in frames.columns if c not in ("px", "width", "height", "roi", "reject_code")),
+        "px",
         F.when(fits, roi["width"]).alias("width"),
         F.when(fits, roi["height"]).alias("height"),
-        F.when(fits, out).alias("px"),
         F.when(~fits, F.lit("InvalidRegion")).alias("reject_code"),
     )

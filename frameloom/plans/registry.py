@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detector_queries, edit_queries, frame_queries, geometry_queries, job_queries, packet_queries, stream_queries
+from . import detector_queries, document_queries, edit_queries, frame_queries, geometry_queries, job_queries, packet_queries, stream_queries
 
-MODULES = (frame_queries, detector_queries, packet_queries, job_queries, geometry_queries, edit_queries, stream_queries)
+MODULES = (frame_queries, detector_queries, packet_queries, job_queries, geometry_queries, edit_queries, stream_queries, document_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
