@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, cut_lineage, documents, free_name, partitions, without
+from .common import add_columns, cut_lineage, documents, free_name, partitions
 from .components import components
 
 SHINGLE = 4
@@ -160,9 +160,15 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, subwords: i
     return pairs.repartition(partitions(prints.sparkSession)).mapInArrow(compare, "u long, v long")
 
 
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """A digest of a row's identifier and text: one key for exchanges, the same for repeated rows only."""
+    identifier = F.col(id_col).cast("string")
+    return F.md5(F.concat(F.when(identifier.isNull(), "n").otherwise(F.concat(F.lit("i"), identifier)), F.lit("/"), F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE, subwords: int | None = None) -> DataFrame:
-    """(id_col, text_key, fingerprint, component_id) for every row; text_key tells texts of one identifier apart."""
-    rows = with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key")), "text", "fp").drop("text")
+    """(id_col, text_key, fingerprint, component_id) for every row; text_key tells rows apart."""
+    rows = with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _row_key(docs, id_col, text_col).alias("text_key")), "text", "fp").drop("text")
     rows = cut_lineage(rows)  # some 50 bytes a row: the texts are read once
     prints = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
     roots = components(links(prints.select("fp"), radius, tile, subwords)).withColumnRenamed("node", "fp")
@@ -177,11 +183,11 @@ def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """The rows of ``docs`` that stay: of each component the row with the smallest identifier, once."""
     groups = simhash_groups(docs, id_col=id_col, text_col=text_col, radius=radius)
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("text_key"))
-    stay = groups.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col(f"first.{id_col}").alias("stay_id"), F.col("first.text_key").alias("stay_key"))
+    stay = groups.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.text_key").alias("stay_key"))
     key = free_name(docs, "text_key")
-    keyed = docs.withColumn(key, F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(stay, keyed[id_col].eqNullSafe(stay["stay_id"]) & (keyed[key] == stay["stay_key"]))
-    return joined.dropDuplicates([id_col, key]).select(*docs.columns)
+    # Both steps go by the same key, so the texts are exchanged once.
+    joined = docs.withColumn(key, _row_key(docs, id_col, text_col)).join(stay.hint("merge"), F.col(key) == F.col("stay_key"))
+    return joined.dropDuplicates([key]).select(*docs.columns)
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
