@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import subprocess
 import sys
+from functools import lru_cache
 from pathlib import Path
 
 import duckdb
 import pytest
 
-from frameloom.plans import registry
+from frameloom.plans import document_queries, edit_queries, registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ROOT = Path(__file__).resolve().parent.parent
@@ -23,6 +24,15 @@ def duck(smoke_dir):
     return con
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_inputs():
+    """What many edit and document queries start from is derived once for this module."""
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(edit_queries, "Fixture", lru_cache(edit_queries.Fixture))
+        patch.setattr(document_queries, "detailed", lru_cache(document_queries.detailed))
+        yield
+
+
 def plain(value):
     if isinstance(value, float):
         return float(f"{value:.12g}")
