@@ -166,24 +166,29 @@ def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
     return F.md5(F.concat(F.when(identifier.isNull(), "n").otherwise(F.concat(F.lit("i"), identifier)), F.lit("/"), F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE, subwords: int | None = None) -> DataFrame:
-    """(id_col, text_key, fingerprint, component_id) for every row; text_key tells rows apart."""
+def _rooted(docs: DataFrame, id_col: str, text_col: str, radius: int, tile: int, subwords: int | None) -> DataFrame:
+    """(id_col, text_key, fingerprint, component_id, root) for every row; root, a fingerprint, tells components apart."""
     rows = with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _row_key(docs, id_col, text_col).alias("text_key")), "text", "fp").drop("text")
     rows = cut_lineage(rows)  # some 50 bytes a row: the texts are read once
     prints = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
     roots = components(links(prints.select("fp"), radius, tile, subwords)).withColumnRenamed("node", "fp")
     grouped = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = grouped.join(least, "root").select("fp", "component_id")
-    found = rows.join(of_print, "fp").select(F.col("id").alias(id_col), "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    return found
+    of_print = grouped.join(least, "root").select("fp", "component_id", "root")
+    return rows.join(of_print, "fp").select(F.col("id").alias(id_col), "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+
+
+def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE, subwords: int | None = None) -> DataFrame:
+    """(id_col, text_key, fingerprint, component_id) for every row; text_key tells rows apart."""
+    return _rooted(docs, id_col, text_col, radius, tile, subwords).drop("root")
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest identifier, once."""
-    groups = simhash_groups(docs, id_col=id_col, text_col=text_col, radius=radius)
+    groups = _rooted(docs, id_col, text_col, radius, TILE, None)
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("text_key"))
-    stay = groups.groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.text_key").alias("stay_key"))
+    # Not by component_id: components without an identifier share the null, and repeated identifiers may be the smallest of several.
+    stay = groups.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.text_key").alias("stay_key"))
     key = free_name(docs, "text_key")
     # Both steps go by the same key, so the texts are exchanged once.
     joined = docs.withColumn(key, _row_key(docs, id_col, text_col)).join(stay.hint("merge"), F.col(key) == F.col("stay_key"))

@@ -122,6 +122,15 @@ def test_near_dedup_stage_keeps_one_of_each_group(spark):
     assert out.count() == len(set(labels))
 
 
+def test_near_dedup_keeps_components_apart_that_share_a_smallest_identifier(spark):
+    rnd = random.Random(11)
+    a, b, c, d = (prose(rnd, 60) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (7, c), (7, d), (8, d)]
+    assert len(set(brute_components([brute_print(t) for _, t in rows], 4))) == 4
+    out = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert rows_of(out) == sorted([(None, a), (None, b), (7, c), (7, d)], key=repr)
+
+
 def brute_repeats(rows: list[tuple], window: int) -> list[tuple]:
     texts = [words(r[1]) for r in rows]
     seen = Counter(tuple(t[k : k + window]) for t in texts for k in range(len(t) - window + 1))
