@@ -61,6 +61,9 @@ GLOBS = tuple(
     + [Rule(g, ALLOW, g, 2) for g in ("*.edu/**", "*.gov/**", "*.edu", "*.gov")]
 )
 
+#: The blocking host globs without a path, for URLs that have none. OP5_SQL is made of GLOBS alone and lets such URLs pass.
+BARE_HOSTS = tuple(Rule(g, BLOCK, g, 1) for g in (r.glob.removesuffix("/**") for r in GLOBS if r.verdict == BLOCK and r.glob.startswith("*.") and r.glob.endswith("/**")))
+
 
 class Automaton:
     """Shift-And masks of several globs: bit k is the state before a pattern's k-th sign (one more for its end)."""
@@ -146,7 +149,7 @@ def host_and_path(url: bytes) -> tuple[bytes, bytes]:
     return host.lower(), slash + path
 
 
-def judge(pages: DataFrame, rules: Iterable[Rule] = (*BASE_RULES, *GLOBS), *, url_col: str = "url", prefix: str = "") -> DataFrame:
+def judge(pages: DataFrame, rules: Iterable[Rule] = (*BASE_RULES, *GLOBS, *BARE_HOSTS), *, url_col: str = "url", prefix: str = "") -> DataFrame:
     """``pages`` with host, path, rule (a base rule's name, else null), verdict and pattern (the glob that decided, else null)."""
     rules = sorted(rules, key=lambda r: -r.rank)
     automaton = Automaton([r.glob for r in rules])

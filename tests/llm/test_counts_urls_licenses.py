@@ -106,6 +106,16 @@ def test_contract_rules(url, host, path, rule, verdict):
     assert (row["host"], row["path"], row["rule"], row["verdict"]) == (host, path, rule, verdict)
 
 
+def test_hosts_are_blocked_with_and_without_a_path(spark):
+    hosts = ["x.spam.net", "spam.net", "pills.org", "casino.example", "a.poker.com", "porn.net", "xxx.org", "torrent.net", "malware.com", "phish.net", "a.ads.net", "adserver1.net"]
+    urls = [(h, f"http://{h}{rest}") for h in hosts for rest in ("/", "", "?x=1", "#f")]
+    got = uf.judge(spark.createDataFrame(urls, "name string, url string"))
+    assert [r["url"] for r in got.where("verdict <> 'block'").collect()] == []
+    kept = [(u,) for u in ("http://spam.edu", "http://a.net/spam", "http://a.net?spam", "http://a.net#casino")]
+    assert {r["verdict"] for r in uf.judge(spark.createDataFrame(kept, "url string")).collect()} == {"allow"}
+    assert {r["pattern"] for r in uf.judge(spark.createDataFrame([("http://casino.example?x=1",)], "url string")).collect()} == {"*.*casino*"}
+
+
 def test_no_rules_and_no_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.com/en/")] * 2, "page_id long, url string")
     assert [r["verdict"] for r in uf.judge(pages, ()).collect()] == ["allow", "allow"]
