@@ -29,26 +29,29 @@ class Notice:
     words: str
     edits: int
     base: bool = False
+    #: Words that must be there unchanged, and words that may be edited between their first and last letter only.
+    tell: tuple[str, ...] = ()
+    ends: tuple[str, ...] = ()
 
 
 # Base phrases and labels of the contract (edits are ours).
 BASE = (
-    Notice("mit", "under the mit license", 2, True),
-    Notice("apache-2", "apache license version 2", 3, True),
+    Notice("mit", "under the mit license", 2, True, tell=("mit",)),
+    Notice("apache-2", "apache license version 2", 3, True, tell=("2",), ends=("apache",)),
     Notice("cc-by-nc", "cc by nc", 0, True),
 )
 
 #: Further short notices, as lower-case words.
 MORE = (
-    Notice("gpl", "gnu general public license", 3),
-    Notice("lgpl", "gnu lesser general public license", 3),
-    Notice("agpl", "gnu affero general public license", 3),
-    Notice("mpl", "mozilla public license", 2),
+    Notice("gpl", "gnu general public license", 3, ends=("gnu", "general")),
+    Notice("lgpl", "gnu lesser general public license", 3, ends=("gnu", "lesser")),
+    Notice("agpl", "gnu affero general public license", 3, ends=("gnu", "affero")),
+    Notice("mpl", "mozilla public license", 2, ends=("mozilla",)),
     Notice("bsd", "redistribution and use in source and binary forms", 4),
     Notice("isc", "permission to use copy modify and or distribute this software", 5),
     Notice("mit", "permission is hereby granted free of charge to any person", 5),
-    Notice("cc-by-sa", "creative commons attribution sharealike", 3),
-    Notice("cc0", "cc0 1 0 universal", 1),
+    Notice("cc-by-sa", "creative commons attribution sharealike", 3, ends=("sharealike",)),
+    Notice("cc0", "cc0 1 0 universal", 1, tell=("1", "0"), ends=("cc0",)),
     Notice("all-rights-reserved", "all rights reserved", 2),
 )
 
@@ -67,13 +70,41 @@ def pieces(words: bytes, edits: int) -> list[tuple[int, bytes]]:
     return [(a, words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def fuzzy(notice: Notice) -> bytes:
+    """The notice as a pattern: stretches with bounded errors between the letters that stay. The errors of all stretches are summed by who matches.
+
+    A number that tells versions apart is no other number's part, and no digit comes or goes beside it.
+    """
+    numbers = any(w.isdigit() for w in notice.tell)
+    bound = b"{e<=%d%s}" % (notice.edits, b":[^0-9]" if numbers else b"")
+    out, run = b"", ""
+
+    def stay(letters: str, before: bytes = b"", after: bytes = b"") -> bytes:
+        nonlocal run
+        edited = b"(?:%s)%s" % (regex.escape(run.encode(), special_only=True), bound) if run else b""
+        run = ""
+        return edited + before + letters.encode() + after
+
+    for k, word in enumerate(notice.words.split()):
+        run += " " * (k > 0)
+        if word in notice.tell:
+            out += stay(word, b"(?<![0-9])", b"(?![0-9])") if word.isdigit() else stay(word, b"(?<![^ ])", b"(?![^ ])")
+        elif word in notice.ends:
+            out += stay(word[0], b"(?<![^ ])")
+            run = word[1:-1]
+            out += stay(word[-1], after=b"(?![^ ])")
+        else:
+            run += word
+    return out + stay("")
+
+
 class Scanner:
     """The compiled notices; made once a Python worker."""
 
     def __init__(self, notices: Sequence[Notice]) -> None:
         self.notices = list(notices)
         self.pieces = [pieces(n.words.encode(), n.edits) for n in notices]
-        self.regexes = [regex.compile(rb"(?b)(?<![^ ])(?:%s){e<=%d}(?![^ ])" % (regex.escape(n.words.encode(), special_only=True), n.edits)) for n in notices]
+        self.regexes = [regex.compile(rb"(?b)(?<![^ ])%s(?![^ ])" % fuzzy(n)) for n in notices]
 
     def exact(self, text: bytes, starts: list[int]) -> list[tuple[int, int]]:
         """(notice, first word) of every place of a base phrase, overlapping ones included."""
@@ -102,7 +133,7 @@ class Scanner:
                 if low <= last:  # another piece of the find before
                     continue
                 got = pattern.search(text, low, min(len(text), low + n + 3 * notice.edits + 2))
-                if got:
+                if got and sum(got.fuzzy_counts) <= notice.edits:
                     found.add((k, got.start(), got.end(), sum(got.fuzzy_counts)))
                     last = got.start()
         return sorted(found)

@@ -165,6 +165,20 @@ def test_edits_are_found_and_bounded(spark):
     assert got[5] == ("all-rights-reserved", 0, "all-rights-reserved:0-2:1")
 
 
+NEAR_MISSES = [
+    "under the mpl license", "under the bit license", "under the mitre license", "undr the mpl license", "apache license version 1", "apache license version 1.1", "apache license version 1.2", "apache license version 12", "apache license version 3",
+    "the general public license", "any general public license", "bozilla public license", "nozilla public license", "cc0 2 0 universal", "cc0 1 1 universal",
+]
+
+
+def test_other_licenses_are_no_edits():
+    scanner = ls.Scanner((*ls.BASE, *ls.MORE))
+    for text in NEAR_MISSES:
+        assert scanner.spans(b" this is %s or so " % b" ".join(ls.reduced(text.encode()))) == [], text
+    for text, label, edits in (("under the mpl license or under the mit license", "mit", 0), ("apache license version 1 1 and apache licence version2", "apache-2", 2), ("undr the mit licnse", "mit", 2), ("gnu leser general publik license", "lgpl", 2), ("mozila public license", "mpl", 1)):
+        assert [(scanner.notices[k].label, n) for k, _, _, n in scanner.spans(b" this is %s or so " % text.encode())] == [(label, edits)], text
+
+
 def test_every_bounded_edit_of_a_notice_is_found():
     """Pigeonhole: up to k edits leave one of k + 1 pieces whole, so each edited notice is found."""
     rnd = random.Random(8)
