@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import detection_geometry
+
 HASH = "^[0-9a-f]{64}$"
 UUID = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 RFC3339 = r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-](([01]\d)|(2[0-3])):[0-5]\d)$"
@@ -36,7 +38,30 @@ def _rounded(num: Column, den: Column) -> Column:
     return div_half_even(num, den)
 
 
-def rules() -> dict[str, Column]:
+def _inside(r: Column) -> Column:
+    return (F.least(r["width"], r["height"]) >= 1) & (F.least(r["x"], r["y"]) >= 0) & (r["x"] + r["width"] <= _d("source.display_width")) & (r["y"] + r["height"] <= _d("source.display_height"))
+
+
+def _cache() -> tuple[Column, Column]:
+    width = F.least(F.lit(640), _d("source.display_width"))
+    return width, F.greatest(F.lit(1), F.bround(_d("source.display_height") * width / _d("source.display_width")).cast("long"))
+
+
+def _detector() -> Column:
+    """The fixed policy of the detector, and the ranges of its thresholds."""
+    detector, spatial, rep = _d("detector"), _d("detector.spatial"), _d("detector.representative")
+    ok = (detector["algorithm"] == "spatial-groups-v1") & (detector["image_max_width"] == 320) & (detector["mask_dilation_px"] == 1) & (detector["input_policy"] == "all")
+    for delta in (spatial["pixel_delta"], rep["edge_delta"]):
+        ok = ok & delta.between(0, 255)
+    for count in (spatial["tile_size"], rep["support_samples"], rep["overlay_missing_edges"]):
+        ok = ok & (count >= 1)
+    for part in (*(spatial[c] for c in ("changed_fraction", "cell_fraction", "cell_changed_fraction")), *(rep[c] for c in ("core_edge_fraction", "overlay_fraction", "transient_penalty"))):
+        ok = ok & (part > 0) & (part <= 1)
+    return ok
+
+
+def rules(detectable: Column) -> dict[str, Column]:
+    """``detectable``: whether region and mask leave the detector enough pixels."""
     s, samples, bounds, segs, pages, nav, art = (_d(x) for x in ("source", "samples", "detected_boundaries", "detected_segments", "pages", "navigation_ranges", "artifact"))
     roi, masks = _d("roi"), _d("ignore_masks")
     base = lambda c: (F.length(c) > 0) & ~c.rlike(r"[/\\]")
@@ -45,11 +70,9 @@ def rules() -> dict[str, Column]:
     turned = s["rotation_cw"].isin(90, 270)
     shown = (s["display_width"] == F.when(turned, s["coded_height"]).otherwise(square)) & (s["display_height"] == F.when(turned, square).otherwise(s["coded_height"]))
     source = base(s["basename"]) & base(s["codec"]) & s["chunk_sha256"].rlike(HASH) & positive & (s["stream_index"] >= 0) & s["rotation_cw"].isin(0, 90, 180, 270) & (s["time_origin"] == "first_display_frame") & shown & (_d("duration_s") > 0) & _d("duration_kind").isin("video_metadata", "container_estimate")
-    inside = lambda r: (F.least(r["width"], r["height"]) >= 1) & (F.least(r["x"], r["y"]) >= 0) & (r["x"] + r["width"] <= s["display_width"]) & (r["y"] + r["height"] <= s["display_height"])
-    region = inside(roi) & (F.size(masks) <= 1) & ~_broken(masks, lambda r, i: inside(r))
+    region = _inside(roi) & (F.size(masks) <= 1) & ~_broken(masks, lambda r, i: _inside(r)) & detectable
     seconds = lambda x: ((x["source_pts"] - s["origin_pts"]) * s["time_base_num"]).cast("double") / s["time_base_den"]
-    cache_w = F.least(F.lit(640), s["display_width"])
-    cache_h = F.greatest(F.lit(1), F.bround(s["display_height"] * cache_w / s["display_width"]).cast("long"))
+    cache_w, cache_h = _cache()
     sample = lambda x, i: (x["sample_id"] == _id("s", i)) & (x["ordinal"] == i) & (x["source_pts"] >= s["origin_pts"]) & (x["timestamp_s"] == seconds(x)) & (x["timestamp_s"] < _d("duration_s")) & ((i == 0) | (x["source_pts"] > _at(samples, i - 1)["source_pts"])) & (x["cache_width"] == cache_w) & (x["cache_height"] == cache_h)
     sampling = (_d("sampling.algorithm") == "decoder-keyframes-v1") & (_d("sampling.cache_max_width") == 640) & (_d("sampling.jpeg_quality") == 90) & (_d("sampling.selection_policy") == "all") & (F.size(samples) > 0)
     by_id = lambda x: F.when(x.rlike("^s[0-9]{6,}$"), _at(samples, F.substring(x, 2, 19).try_cast("long")))
@@ -83,7 +106,7 @@ def rules() -> dict[str, Column]:
         "V2.source": source,
         "V3.region": region,
         "V4.samples": ~_broken(samples, sample),
-        "V5.observation": sampling & (_d("schema_version") == 6) & (_d("detector.input_policy") == "all"),
+        "V5.observation": sampling & (_d("schema_version") == 6) & _detector(),
         "V6.boundaries": ~_broken(bounds, boundary),
         "V7.segments": (F.size(segs) == F.size(bounds) + 1) & ~_broken(segs, segment),
         "V8.pages": (F.size(pages) > 0) & unique & ~_broken(pages, page),
@@ -95,5 +118,11 @@ def rules() -> dict[str, Column]:
 
 def violations(documents: DataFrame) -> DataFrame:
     """Adds ``broken``: the names of the rules that a parsed document ``d`` breaks, in order."""
-    found = F.array(*(F.when(bad, F.lit(name)) for name, bad in rules().items()))
-    return documents.withColumn("broken", F.filter(found, lambda x: x.isNotNull()))
+    roi, mask, (cache_w, cache_h) = _d("roi"), F.get(_d("ignore_masks"), F.lit(0)), _cache()
+    # The document's own columns are kept aside: the geometry adds many. What is no rectangle of the picture counts as none there.
+    rows = documents.select(
+        F.struct("*").alias("row"), "d", _d("source.display_width").alias("display_w"), _d("source.display_height").alias("display_h"),
+        cache_w.alias("cache_w"), cache_h.alias("cache_h"), F.when(_inside(roi), roi).alias("roi"), F.when(_inside(mask), mask).alias("mask"),
+    )
+    found = F.array(*(F.when(bad, F.lit(name)) for name, bad in rules(F.col("reject_code").isNull()).items()))
+    return detection_geometry(rows).select("row.*", F.filter(found, lambda x: x.isNotNull()).alias("broken"))
