@@ -6,8 +6,16 @@ a window around the join is encoded anew and grown until it repeats tokens of th
 tokens of the right side behind it; the left tokens up to the first agreement, the window's tokens and the right
 tokens from the last agreement are the joint encoding. If the window grows to both whole sides, it is the answer.
 
-Inside a leaf, the library's results are kept by word: this tokenizer drops white space and never merges, matches
-or composes across an ASCII blank, so a text's ids are those of its blank-separated words in turn.
+Why agreement proves equality. Within a pre-token, BPE tokens are the encoding of their text if and only if each
+neighbouring pair is the encoding of its own text. Every pair of the joint encoding stands in one of the three
+encodings it is made of: the left tokens end, and the window's begin, with the same token at the same place, and so on
+the right. Pre-tokens are cut by looking forward from where the last one ended, so two scans that cut at one
+place go on alike; inside a run of one kind of signs both end it at the same sign. One agreeing token would do for
+this; ``AGREE`` in a row, a quarter window away from any cut, keep clear of normalization (composed signs) at cut ends.
+
+Inside a leaf, the library's results are kept by word where a tokenizer's file has the very normalizer and pre-tokenizer
+that ``PLAIN_SETUP`` names: it drops white space and never merges, matches or composes across an ASCII blank, so a
+text's ids are those of its blank-separated words in turn. Texts of any other tokenizer go through the whole library.
 
 Defined results: a null text counts as empty and has no ids and an empty decoded text; repeated rows give
 repeated rows; an empty table gives an empty result; columns of the input that bear an output name give way.
@@ -16,6 +24,7 @@ Special tokens' strings in a text are encoded as the library does by default (as
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from collections.abc import Iterator
@@ -38,10 +47,25 @@ WINDOW = 256
 AGREE = 3
 #: Leaves whose tokens a task holds at once.
 LEAVES = 32
-#: Words, and pieces of words, whose ids a Python worker keeps.
-KEPT_WORDS = 200_000
-
-# The tokenizer's own pre-tokenization, written for words of printable ASCII and Latin-1 letters in lower
+#: Words, and pieces of words, whose ids a Python worker keeps, and the longest of them in bytes: some 60 MB each at most.
+KEPT_WORDS = 150_000
+KEPT_BYTES = 64
+
+# The setup of the tokenizer whose words can be encoded one by one.
+PLAIN_SETUP = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "decoder": None,
+}
+
+# That tokenizer's own pre-tokenization, written for words of printable ASCII and Latin-1 letters in lower
 # case, and the byte-level alphabet (a byte that prints stands for itself, the others follow from code point 256 on).
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
@@ -59,7 +83,7 @@ class Encoder:
 
     A plain word needs no normalization but lower case, so its pre-tokens go straight to the library's BPE
     model, and are kept too: words that differ in case or punctuation share them. Any other word is encoded by the whole
-    library.
+    library, and so is any text of a tokenizer of another setup.
     """
 
     def __init__(self, path: str) -> None:
@@ -68,6 +92,9 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
+        with open(path, encoding="utf-8") as file:
+            setup = json.load(file)
+        self.by_word = {k: setup[k] for k in PLAIN_SETUP} == PLAIN_SETUP and setup["model"]["type"] == "BPE" and not setup["model"]["dropout"]
         self.model = self.lib.model
         self.words: dict[bytes, tuple[bytes, str | None]] = {}
         self.pieces: dict[str, tuple[bytes, str]] = {}
@@ -75,7 +102,9 @@ class Encoder:
     def _piece(self, piece: str) -> tuple[bytes, str]:
         own = piece if piece.isascii() else "".join([_BYTE_SIGNS[b] for b in piece.encode()])
         tokens = self.model.tokenize(own)
-        kept = self.pieces[piece] = (array("I", [t.id for t in tokens]).tobytes(), " ".join([t.value for t in tokens]))
+        kept = (array("I", [t.id for t in tokens]).tobytes(), " ".join([t.value for t in tokens]))
+        if len(piece) <= KEPT_BYTES:
+            self.pieces[piece] = kept
         return kept
 
     def _word(self, word: bytes) -> tuple[bytes, str | None]:
@@ -87,11 +116,15 @@ class Encoder:
         else:
             ids = self.lib.encode(text, add_special_tokens=False).ids
             kept = (array("I", ids).tobytes(), self.lib.decode(ids, skip_special_tokens=False) if ids else None)
-        self.words[word] = kept
+        if len(word) <= KEPT_BYTES:
+            self.words[word] = kept
         return kept
 
     def encode(self, text: bytes) -> tuple[bytes, str]:
         """The ids of a text as little-endian unsigned 32-bit integers, and the decoded text."""
+        if not self.by_word:
+            ids = self.lib.encode(text.decode(), add_special_tokens=False).ids
+            return array("I", ids).tobytes(), self.decode(ids)
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
         if len(self.pieces) > KEPT_WORDS:
@@ -106,8 +139,8 @@ class Encoder:
         at = np.asarray(got.offsets, np.int64).reshape(-1, 2)
         return np.asarray(got.ids, np.int64), at[:, 0], at[:, 1]
 
-    def decode(self, ids: np.ndarray) -> str:
-        return self.lib.decode(ids.tolist(), skip_special_tokens=False)
+    def decode(self, ids: list[int]) -> str:
+        return self.lib.decode(ids, skip_special_tokens=False)
 
 
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, starts, ends
@@ -179,7 +212,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
         return list(zip(*map(tok.encode, texts), strict=True))
 
     fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
-    short = add_columns(docs.where(F.length("text") <= leaf), "text", fields, whole).drop("text")
+    short = add_columns(docs.where(F.length("text") <= leaf), "text", fields, whole, back=["id"])
 
     long = docs.where(F.length("text") > leaf).withColumn("key", F.md5("text"))
     # Halved, and halved again, until no piece is longer than a leaf: 2 ** depth pieces.
@@ -211,7 +244,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
             ids, first, last = (np.frombuffer(x, "<u4").astype(np.int64) for x in packed)
             parts.append((ids, first + s, last + s))
         ids = join_all(tok, "".join(own["piece"]), parts, starts)[0]
-        row = pd.DataFrame({"id": own["id"].iloc[:1], "ids": [ids.astype("<u4").tobytes()], "decoded": [tok.decode(ids)]})
+        row = pd.DataFrame({"id": own["id"].iloc[:1], "ids": [ids.astype("<u4").tobytes()], "decoded": [tok.decode(ids.tolist())]})
         return pd.concat([row] * copies)
 
     joined_as = T.StructType([T.StructField("id", T.StringType()), *fields])
@@ -234,6 +267,6 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: ids and digests by document."""
+    """The last stage: ids and digests by document; null texts have no ids, an empty table gives no rows."""
     encoded = encode_texts(docs, default_tokenizer())
     return encoded.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -1,7 +1,8 @@
 """Connected components of an edge table, in rounds of star contraction (large star, small star).
 
 Edges never grow in number beyond one round's two stars; each round is cut with a checkpoint, so a lost executor
-costs one round at most. Minima are pre-aggregated before every exchange, so a hub of many links stays cheap.
+costs one round at most. Minima are pre-aggregated before every exchange, and a hub's edges are not exchanged to meet
+its minimum: the minima of hubs are broadcast (see ``join_hot``).
 """
 
 from __future__ import annotations
@@ -9,20 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, join_hot
 
 
 def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): root is the smallest node that can be reached.
 
-    Self loops and repeated edges do no harm; nodes without an edge are not listed; no edges give no rows.
+    Nodes are of any type that has an order, structs included. Self loops and repeated edges do no harm; nodes without an
+    edge are not listed; no edges give no rows.
     """
     links = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     told = _state(links)
     for _ in range(most_rounds):
         if not told[0]:
             break
-        links = cut_lineage(_small_star(_large_star(links)))
+        links = cut_lineage(_small_star(cut_lineage(_large_star(links, told[0])), told[0]))
         now = _state(links)
         if now == told:
             break
@@ -37,16 +39,17 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v").cast("long"))).first())
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("hub"), F.least("u", "m").alias("m"))
-    # links hold (larger, smaller): the larger end hangs on the smaller end's least.
-    return links.join(least, links["v"] == least["hub"]).select(F.col("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    # links hold (larger, smaller): the larger end hangs on the smaller end's least; n counts the links a node is the smaller end of.
+    ends = links.select("u", "v", F.lit(0).alias("below")).union(links.select("v", "u", F.lit(1)))
+    least = ends.groupBy("u").agg(F.min("v").alias("m"), F.sum("below").alias("n")).where("n > 0")
+    least = least.select(F.col("u").alias("v"), F.least("u", "m").alias("m"), "n")
+    return join_hot(links, least, "v", "n", total).select("u", F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Every smaller neighbour of a node, and the node, is linked to the least of them."""
-    least = links.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "hub")
-    moved = links.join(least, links["u"] == least["hub"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.union(least.select(F.col("hub").alias("u"), F.col("m").alias("v"))).distinct()
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_hot(links, least, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()

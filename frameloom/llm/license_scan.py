@@ -2,8 +2,9 @@
 
 A notice of n letters with at most k edits, cut into k + 1 pieces, holds one piece unchanged (pigeonhole). Each
 text, reduced to lower-case words with one blank between them, is searched for the pieces exactly; around each find the
-regex library matches the whole notice with bounded errors, which verifies the edits and gives the span. The finds
-without an edit are also counted word by word, overlapping ones included, for the base phrases.
+regex library matches the whole notice with bounded errors, which verifies the edits and gives the span. Words that tell
+licenses apart are matched without errors, and of notices that claim the same words the closest one wins. The base
+phrases are also counted word by word, without errors and overlapping ones included.
 
 Defined results: a null text counts as empty and has no words, places or labels and a score of 0; nothing is found
 twice at one place; repeated rows give repeated rows; an empty table gives an empty result; columns of the
@@ -118,7 +119,7 @@ class Scanner:
                     at = text.find(phrase, at + 1)
         return found
 
-    def spans(self, text: bytes) -> list[tuple[int, int, int, int]]:
+    def finds(self, text: bytes) -> list[tuple[int, int, int, int]]:
         """(notice, begin, end, edits), in bytes of the reduced text, of all verified finds."""
         found = set()
         for k, (notice, seeds, pattern) in enumerate(zip(self.notices, self.pieces, self.regexes, strict=True)):
@@ -132,15 +133,26 @@ class Scanner:
             for low in sorted(windows):
                 if low <= last:  # another piece of the find before
                     continue
-                got = pattern.search(text, low, min(len(text), low + n + 3 * notice.edits + 2))
+                # Up to a blank, so that the end of what is searched is no end of a word by itself.
+                high = text.find(b" ", low + n + 3 * notice.edits + 2)
+                got = pattern.search(text, low, high + 1 or len(text))
                 if got and sum(got.fuzzy_counts) <= notice.edits:
                     found.add((k, got.start(), got.end(), sum(got.fuzzy_counts)))
                     last = got.start()
         return sorted(found)
 
+    def spans(self, text: bytes) -> list[tuple[int, int, int, int]]:
+        """The finds, less those that share a word with a find of another label that has fewer edits (or as many, and is longer)."""
+        taken: list[tuple[int, int, int, int]] = []
+        for find in sorted(self.finds(text), key=lambda f: (f[3], f[1] - f[2], f)):
+            k, begin, end, _ = find
+            if not any(begin < e and b < end and self.notices[o].label != self.notices[k].label for o, b, e, _ in taken):
+                taken.append(find)
+        return sorted(taken)
+
 
-def scan(docs: DataFrame, notices: Sequence[Notice] = (*BASE, *MORE), *, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` with n_words, n_base, first_word, last_word, base_labels, labels, score and spans.
+def scan(docs: DataFrame, notices: Sequence[Notice] = (*BASE, *MORE), *, text_col: str = "text", prefix: str = "", back: list[str] | None = None) -> DataFrame:
+    """``docs`` (of its columns, ``back``: all) with n_words, n_base, first_word, last_word, base_labels, labels, score and spans.
 
     spans: ``label:first word-last word:edits`` of every verified find, joined by commas. score: 1 less the share of
     edited letters of the best find.
@@ -173,8 +185,8 @@ def scan(docs: DataFrame, notices: Sequence[Notice] = (*BASE, *MORE), *, text_co
 
     longs = [T.StructField(prefix + n, T.LongType()) for n in ("n_words", "n_base", "first_word", "last_word")]
     strings = [T.StructField(prefix + n, T.StringType()) for n in ("base_labels", "labels")]
-    return add_columns(docs, text_col, [*longs, *strings, T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "spans", T.StringType())], score)
+    return add_columns(docs, text_col, [*longs, *strings, T.StructField(prefix + "score", T.DoubleType()), T.StructField(prefix + "spans", T.StringType())], score, back)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    return scan(documents(spark, sf_dir).select("doc_id", "text"), back=["doc_id"])

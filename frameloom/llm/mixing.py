@@ -15,6 +15,7 @@ an empty table gives an empty result; columns of the input that bear an output n
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -30,7 +31,8 @@ CAP = 3
 WEIGHTS = (1, 2, 3)
 #: Rows of one (source, size) that are ranked together, on average, when extra copies are dealt.
 RANKED = 10_000
-NEWTON_STEPS = 80
+#: A step bound that no convex dual comes near: each fourth step halves the bracket. Beyond it, solve_tilts raises.
+NEWTON_STEPS = 400
 
 
 def water_fill(sizes: Sequence[int], weights: Sequence[float], cap: float = CAP) -> list[float]:
@@ -54,7 +56,9 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], cap: float = CAP)
 def solve_tilts(stats: DataFrame, targets: dict, scales: dict, cap: float = CAP, most_steps: int = NEWTON_STEPS) -> dict:
     """lambda by source. ``stats`` is (source, size, n); None stands for a rate of ``cap`` throughout.
 
-    The driver holds one row a source of the mix (the targets are given by source anyway), Spark the sums.
+    The driver holds one row a source of the mix (the targets are given by source anyway), Spark the sums. A tilt is settled when
+    the tokens miss their target by 1e-9 of it at most, or the bracket is as narrow as doubles allow; if that takes more than
+    ``most_steps``, RuntimeError is raised.
     """
     spark = stats.sparkSession
     tilt: dict = {}
@@ -66,9 +70,11 @@ def solve_tilts(stats: DataFrame, targets: dict, scales: dict, cap: float = CAP,
             tilt[s] = 0.0
         else:
             bounds[s] = (0.0, math.inf, 0.0) if target > total else (-math.inf, 0.0, 0.0)
-    for _ in range(most_steps):
+    for turn in itertools.count(1):
         if not bounds:
-            break
+            return tilt
+        if turn > most_steps:
+            raise RuntimeError(f"the tilts of {len(bounds)} sources did not settle in {most_steps} steps")
         now = spark.createDataFrame([(s, b[2], scales[s]) for s, b in bounds.items()], "of string, lam double, scale double")
         x = F.col("size") / F.col("scale")
         rate = F.least(F.lit(float(cap)), F.exp(F.col("lam") * x))
@@ -88,10 +94,9 @@ def solve_tilts(stats: DataFrame, targets: dict, scales: dict, cap: float = CAP,
                 continue
             low, high = (low, at) if miss > 0 else (at, high)
             step = at - miss / row["h"] if row["h"] > 0 else math.nan
-            if not low < step < high:
+            if not low < step < high or turn % 4 == 0:
                 step = (low + high) / 2 if math.isfinite(low + high) else (2 * at + 1 if math.isinf(high) else 2 * at - 1)
             bounds[s] = (low, high, step)
-    return tilt | {s: b[2] for s, b in bounds.items()}
 
 
 def deal_extras(strata: pd.DataFrame) -> pd.DataFrame:
@@ -111,14 +116,19 @@ def deal_extras(strata: pd.DataFrame) -> pd.DataFrame:
     return strata.assign(extra=np.asarray(extras, np.int64))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, cap: int = CAP, ranked: int = RANKED, prefix: str = "") -> DataFrame:
-    """``docs`` with size, source_size, target, rate and copies. ``weights`` repeat over the sources in code-point order."""
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, cap: int = CAP, ranked: int = RANKED, prefix: str = "", size_col: str | None = None) -> DataFrame:
+    """``docs`` with size, source_size, target, rate and copies. ``weights`` repeat over the sources in code-point order.
+
+    ``size_col`` names a column of known sizes, where texts have been counted before.
+    """
     spark = docs.sparkSession
     names = [prefix + n for n in ("size", "source_size", "target", "rate", "copies")]
+    known = docs.withColumn(names[0], words_of(F.col(text_col))) if size_col is None else docs.withColumn(names[0], F.col(size_col))
     docs = without(docs, names)
-    size, salt, place = (free_name(docs, f"mix_{x}") for x in ("size", "salt", "place"))
-    sized = docs.withColumn(size, words_of(F.col(text_col)))
-    light = sized.select(F.col(source_col).alias("source"), F.col(size).alias("size"), F.col(id_col).alias("id"))
+    size, place = (free_name(docs, f"mix_{x}") for x in ("size", "place"))
+    sized = known.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"`{names[0]}`").alias(size))
+    # The texts are counted once for all sums, and once more where whole rows are dealt.
+    light = cut_lineage(sized.select(F.col(source_col).alias("source"), F.col(size).alias("size"), F.col(id_col).alias("id")))
     stats = cut_lineage(light.groupBy("source", "size").agg(F.count("*").alias("n")))
     totals = stats.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum(F.col("n")).alias("rows"), F.sum((F.col("size") * F.col("size") * F.col("n")).cast("decimal(38,0)")).cast("double").alias("square"))
     found = sorted(totals.collect(), key=lambda r: (r["source"] is None, r["source"] or ""))  # one row a source of the mix
@@ -159,12 +169,13 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    sized = cut_lineage(documents(spark, sf_dir).select("doc_id", "source", words_of(F.col("text")).alias("size")))
+    mixed = mix(sized, size_col="size")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: a document without words stays once."""
+    """Each document as often as the mix takes it: a document without words stays once, an empty table stays empty."""
     prefix = free_name(docs, "mix_") + "_"
     mixed = mix(docs, prefix=prefix)
     return mixed.withColumn(prefix + "copies", F.explode(F.expr(f"array_repeat(1, CAST(`{prefix}copies` AS INT))"))).select(*docs.columns)

@@ -3,7 +3,7 @@
 A text's features are its words and their character n-grams, hashed into ``BUCKETS`` rows of a learned table of
 vectors. The vectors are averaged over the document; a softmax layer gives the two classes. Both are trained together
 by stochastic gradient descent in numpy, on at most ``TRAIN_ROWS`` labelled rows (those with the smallest hashes of their
-identifiers), whose features are counted by Spark. Since the hidden layer is linear, the trained network scores a text
+identifiers) and ``TRAIN_BYTES`` of features, which are counted by Spark. Since the hidden layer is linear, the trained network scores a text
 as the mean of one number a feature, which is what the tasks get.
 
 Nothing but the text is an input of a score. Defined results: null and empty texts have no features and get the
@@ -22,14 +22,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import add_columns, bytes_of, documents
+from .common import add_columns, bytes_of, cut_lineage, documents, small_batches
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4)
 DIMENSIONS = 16
 #: The bound of the training sample: labelled rows at most.
 TRAIN_ROWS = 2000
+#: The bound of what these rows' features take, 8 bytes each: rows beyond it, in the order of the sample, are left out.
+TRAIN_BYTES = 128 << 20
 EPOCHS = 10
 RATE = 0.6
 SEED = 7
@@ -67,8 +70,12 @@ def held_out(identifier: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(identifier.cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, bound: int = TRAIN_ROWS) -> list:
-    """(label, buckets, counts) of at most ``bound`` labelled rows that are not held out, in the order of a hash."""
+def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, bound: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> list:
+    """(label, buckets, counts) of at most ``bound`` labelled rows that are not held out, in the order of a hash.
+
+    Rows are taken as long as their features fit in ``most_bytes`` together, so the driver holds no more than that.
+    """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     sample = known.orderBy(F.xxhash64(F.col("id"), F.lit(SEED)), "id").limit(bound)
@@ -82,7 +89,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col:
             yield pa.RecordBatch.from_arrays([*keys, batch.column(2), *packed], names=["key", "label", "buckets", "counts"])
 
     counted = rows.select("id", "text", "label").mapInArrow(count, "key string, label int, buckets binary, counts binary")
-    found = counted.orderBy("key").limit(bound).collect()
+    counted = cut_lineage(counted.orderBy("key").limit(bound))  # a rank over ``bound`` rows at most
+    before = F.sum(F.octet_length("buckets") + F.octet_length("counts")).over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    found = counted.withColumn("held", before).where(F.col("held") <= most_bytes).orderBy("key").drop("held").collect()
     return [(r["label"], np.frombuffer(r["buckets"], "<u4").astype(np.int64), np.frombuffer(r["counts"], "<u4").astype(np.float64)) for r in found]
 
 
@@ -115,8 +124,8 @@ def train(rows: list, epochs: int = EPOCHS, rate: float = RATE) -> tuple[np.ndar
     return vectors @ (softmax[1] - softmax[0]), float(bias[1] - bias[0])
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", prefix: str = "") -> DataFrame:
-    """``docs`` with held_out, score and predicted."""
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", prefix: str = "", back: list[str] | None = None) -> DataFrame:
+    """``docs`` (of its columns, ``back``: all) with held_out, score and predicted."""
     weights, bias = train(training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
     kept: dict[bytes, tuple[float, int]] = {}
 
@@ -137,10 +146,10 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
         return [np.asarray(found)]
 
     name = prefix + "score"
-    scored = add_columns(docs, text_col, [T.StructField(name, T.DoubleType())], score)
+    scored = add_columns(docs, text_col, [T.StructField(name, T.DoubleType())], score, back)
     return scored.withColumns({prefix + "held_out": held_out(F.col(id_col)), prefix + "predicted": (F.col(name) >= GOOD_FROM).cast("int")})
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return classify(documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+    return classify(documents(spark, sf_dir).select("doc_id", "text"), labels, back=["doc_id"]).select("doc_id", "held_out", "score", "predicted")

@@ -17,11 +17,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, bytes_of, documents, free_name
+from .common import add_columns, bytes_of, documents, free_name, small_batches
 
 #: Size of the hashed n-gram space; what reaches the driver is two numbers a bucket, whatever the corpus.
 BUCKETS = 1 << 16
@@ -31,6 +31,8 @@ THRESHOLD = -0.1
 SMOOTHING = 5.0
 #: The window of the repetition rule.
 REPEAT_WINDOW = 8
+#: Words of 32 bits in the filter of identifiers: 4 MB are broadcast, whatever the number of labels.
+FILTER_WORDS = 1 << 20
 
 _SYMBOLS = [ord(c) for c in "#*$%&|<>"]
 _SPACES = [9, 10, 11, 12, 13, 32]
@@ -91,6 +93,23 @@ def ngram_buckets(ids: np.ndarray, seen: dict[bytes, int], buckets: int) -> np.n
     return (np.concatenate([one, two]) % np.uint64(buckets)).astype(np.int64)
 
 
+def perhaps(docs: DataFrame, id_col: str, ids: DataFrame, mark: str, words: int = FILTER_WORDS) -> DataFrame:
+    """``docs`` with ``mark``: false where the identifier is surely none of ``ids`` (one column), by a bit map of their hashes.
+
+    The map has ``words`` words at most, so it is broadcast at every size; it lets pass all identifiers only where there are
+    many times more of them than bits.
+    """
+
+    def place(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(32 * words))
+
+    bits = ids.select(place(ids.columns[0]).alias("place")).select((F.col("place") / 32).cast("int").alias("word"), F.expr("shiftleft(1, CAST(place % 32 AS INT))").alias("bit"))
+    table = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    own = F.expr(f"shiftleft(1, CAST(pmod(xxhash64(`{id_col}`), {32 * words}) % 32 AS INT))")
+    joined = docs.join(F.broadcast(table), (place(id_col) / 32).cast("int") == F.col("word"), "left")
+    return joined.withColumn(mark, F.coalesce(F.col("bits").bitwiseAND(own) != 0, F.lit(False))).drop("word", "bits")
+
+
 def count_ngrams(docs: DataFrame, text: str, trusted: str, buckets: int) -> DataFrame:
     """(bucket, raw, target): n-gram counts of all rows and of those with ``trusted`` true.
 
@@ -109,6 +128,7 @@ def count_ngrams(docs: DataFrame, text: str, trusted: str, buckets: int) -> Data
         full = np.flatnonzero(raw)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "raw": raw[full], "target": target[full]})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(text), F.col(trusted)).mapInArrow(count, "bucket int, raw long, target long")
     return rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
@@ -127,17 +147,19 @@ def log_ratios(counts: DataFrame, buckets: int, smoothing: float = SMOOTHING) ->
     return np.log(p_target / p_raw)
 
 
-def quality_rules(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
+def quality_rules(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD, prefix: str = "", back: list[str] | None = None) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, llr, base_failed and kept.
 
     ``trusted_ids`` holds, in its first column, the ids of the rows of the trusted target. ``prefix`` is put
-    before each new column's name.
+    before each new column's name. ``back`` names the columns of ``docs`` that are returned (all).
     """
-    mark = free_name(docs, "trusted")
-    good = trusted_ids.select(F.col(f"`{trusted_ids.columns[0]}`").alias("good_id")).where("good_id is not null").distinct()
-    # Labels grow with the documents, so they are never broadcast: the texts are exchanged once, at every size.
-    marked = docs.select(F.col(id_col), F.col(text_col)).join(good.hint("merge"), F.col(id_col) == F.col("good_id"), "left").withColumn(mark, F.col("good_id").isNotNull())
-    ratios = log_ratios(count_ngrams(marked, text_col, mark, buckets), buckets)
+    maybe, mark = free_name(docs, "maybe"), free_name(docs, "trusted")
+    good = trusted_ids.select(F.col(f"`{trusted_ids.columns[0]}`").alias("good_id")).where("good_id IS NOT NULL").distinct()
+    # Labels grow with the documents, so they are never broadcast. Only texts that may be trusted are exchanged to meet them.
+    asked = perhaps(docs.select(F.col(id_col), F.col(text_col)), id_col, good, maybe)
+    sure = asked.where(~F.col(maybe)).select(F.col(text_col), F.lit(False).alias(mark))
+    met = asked.where(F.col(maybe)).join(good.hint("shuffle_hash"), F.col(id_col) == F.col("good_id"), "left").select(F.col(text_col), F.col("good_id").isNotNull().alias(mark))
+    ratios = log_ratios(count_ngrams(sure, text_col, mark, buckets).union(count_ngrams(met, text_col, mark, buckets)).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), buckets)
 
     def score(texts: list[bytes]) -> list:
         rows = []
@@ -151,7 +173,7 @@ def quality_rules(docs: DataFrame, trusted_ids: DataFrame, *, id_col: str = "doc
 
     longs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     fields = [T.StructField(prefix + n, T.LongType()) for n in longs] + [T.StructField(prefix + "llr", T.DoubleType()), T.StructField(prefix + "base_failed", T.BooleanType()), T.StructField(prefix + "kept", T.BooleanType())]
-    return add_columns(docs, text_col, fields, score)
+    return add_columns(docs, text_col, fields, score, back)
 
 
 def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,9 +183,10 @@ def trusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return quality_rules(docs, trusted(spark, sf_dir)).drop("text")
+    return quality_rules(docs, trusted(spark, sf_dir), back=["doc_id"])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the rules keep, with the columns of ``docs``: null, empty and short texts fail the base rule and go; an empty table stays empty."""
     prefix = free_name(docs, "rule_") + "_"
     return quality_rules(docs, trusted(spark, sf_dir), prefix=prefix).where(F.col(prefix + "kept")).select(*docs.columns)

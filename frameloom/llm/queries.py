@@ -33,7 +33,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op4_token_counts": token_counts.OP4_SQL,
         "op5_url_filter": url_filter.OP5_SQL,
         "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,

@@ -7,8 +7,11 @@ population count). The remaining tile pairs are compared exactly, as numpy block
 fingerprints a tile. From a tile pair a task returns a spanning forest of its links, never all pairs of a
 group: the components are the same, and no link between different fingerprints is lost.
 
-The comparison is exact and so quadratic in the number of distinct fingerprints. Two sub-words leave about a third
-of the tile pairs, four about a tenth; four are used from ``FINER_FROM`` fingerprints on.
+The comparison is exact and so quadratic in the number of distinct fingerprints; the counts of three sub-words leave about
+a fifth of the tile pairs.
+
+A fingerprint is a node (none, first_id, fp) of the graph of links, in this order. So a component's root holds its smallest
+identifier, and nothing has to be looked up by component, however large one is.
 
 Defined results: null and empty texts have the fingerprint zero and are linked like any other; a text of
 fewer words than a shingle is one shingle; null identifiers are never a component's smallest unless it has no
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, cut_lineage, documents, free_name, partitions
+from .common import add_columns, cut_lineage, documents, free_name, join_hot, partitions, small_batches
 from .components import components
 
 SHINGLE = 4
@@ -36,7 +39,8 @@ RADIUS = 4
 SEED = 42
 #: Fingerprints a tile, at most on average: a tile pair is a block of TILE x TILE comparisons.
 TILE = 2048
-FINER_FROM = 2_000_000
+#: Parts of a fingerprint whose bits are counted.
+SUBWORDS = 3
 _ROWS = 1 << 14
 
 
@@ -62,12 +66,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprints(docs: DataFrame, text_col: str, name: str) -> DataFrame:
-    """``docs`` and the fingerprint of each row as a (signed) long."""
+    """``docs`` without its texts, and the fingerprint of each row as a (signed) long."""
 
     def score(texts: list[bytes]) -> list:
         return [np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)]
 
-    return add_columns(docs, text_col, [T.StructField(name, T.LongType())], score)
+    return add_columns(docs, text_col, [T.StructField(name, T.LongType())], score, back=[c for c in docs.columns if c != text_col])
 
 
 def linked(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,23 +109,27 @@ def _merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def _counts(fp: Column, subwords: int) -> list[Column]:
-    width = 64 // subwords
-    mask = F.lit(-1 if width == 64 else (1 << width) - 1)
-    return [F.bit_count(F.shiftrightunsigned(fp, k * width).bitwiseAND(mask)) for k in range(subwords)]
+    """Bits set in each sub-word; the sub-words have 64 / subwords bits, the first ones one more where that leaves a rest."""
+    cuts = [-(-64 * k // subwords) for k in range(subwords + 1)]
+    return [F.bit_count(F.shiftrightunsigned(fp, low).bitwiseAND(F.lit(-1 if high - low == 64 else (1 << high - low) - 1))) for low, high in zip(cuts, cuts[1:], strict=False)]
 
 
 def tile_pairs(prints: DataFrame, radius: int, tile: int, subwords: int) -> DataFrame:
-    """(a, b) packed fingerprints of every two tiles that may hold a link; b is null where a meets itself.
+    """(fps_a, ids_a, fps_b, ids_b): the nodes of every two tiles that may hold a link; the latter are null where a tile meets itself.
+
+    A node is shipped once for each tile that its tile meets, so it is two numbers: whether its identifier is null is told by that.
 
-    The table of cells (population counts) has at most (64 / subwords + 1) ** subwords rows, whatever the input.
+    The table of cells (population counts) has at most (64 / subwords + 2) ** subwords rows, whatever the input.
     """
-    base = 64 // subwords + 1
+    base = -(-64 // subwords) + 1
     code = sum((c * base**k for k, c in enumerate(_counts(F.col("fp"), subwords))), F.lit(0)).cast("int")
     celled = prints.withColumn("cell", code)
     cells = celled.groupBy("cell").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
     cells = cut_lineage(cells)
-    spread = celled.join(F.broadcast(cells), "cell")  # at most 83,521 cells of 8 bytes
-    tiles = spread.groupBy("cell", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int").alias("part")).agg(F.collect_list("fp").alias("fps"))
+    spread = celled.join(F.broadcast(cells), "cell")  # with three sub-words at most 12,167 cells of 8 bytes
+    rows = spread.select("cell", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("parts")).cast("int").alias("part"), F.struct("id", "fp").alias("node"))
+    tiles = rows.groupBy("cell", "part").agg(F.collect_list("node").alias("nodes"))
+    tiles = tiles.select("cell", "part", F.col("nodes.fp").alias("fps"), F.col("nodes.id").alias("ids"))
     steps = [s for s in product(range(-radius, radius + 1), repeat=subwords) if sum(map(abs, s)) <= radius]
     offsets = [s for s in steps if s > (0,) * subwords]  # each unordered pair of different cells once
     near = F.array(*(F.struct(*(F.lit(x).alias(f"d{k}") for k, x in enumerate(s)), F.lit(sum(x * base**k for k, x in enumerate(s))).alias("step")) for s in offsets))
@@ -135,29 +143,33 @@ def tile_pairs(prints: DataFrame, radius: int, tile: int, subwords: int) -> Data
     plan = meets.select(*own.columns).union(own)
     plan = plan.withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1))).withColumn("part_b", F.explode(F.sequence(F.lit(0), F.col("parts_b") - 1)))
     plan = plan.where("cell_a <> cell_b OR part_a <= part_b")
-    a = tiles.select(F.col("cell").alias("cell_a"), F.col("part").alias("part_a"), F.col("fps").alias("a"))
-    b = tiles.select(F.col("cell").alias("cell_b"), F.col("part").alias("part_b"), F.col("fps").alias("b"))
+    a, b = (tiles.select(*(F.col(c).alias(f"{c}_{side}") for c in ("cell", "part", "fps", "ids"))) for side in "ab")
     same = (F.col("cell_a") == F.col("cell_b")) & (F.col("part_a") == F.col("part_b"))
     met = plan.join(a, ["cell_a", "part_a"]).join(b, ["cell_b", "part_b"])
-    return met.select("a", F.when(same, F.lit(None)).otherwise(F.col("b")).alias("b"))
+    return met.select("fps_a", "ids_a", *(F.when(same, F.lit(None)).otherwise(F.col(c)).alias(c) for c in ("fps_b", "ids_b")))
+
 
+def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, subwords: int = SUBWORDS) -> DataFrame:
+    """(u, v): links between the nodes of ``prints`` (none, id, fp), whose fp differ, that span all components of the radius."""
+    node = T.StructType([prints.schema[c] for c in ("none", "id", "fp")]).simpleString()
 
-def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE, subwords: int | None = None) -> DataFrame:
-    """(u, v): links between distinct fingerprints ``prints`` (fp) that span all components of the radius."""
-    if subwords is None:
-        subwords = 2 if prints.count() < FINER_FROM else 4
+    def nodes(fps: pa.Array, ids: pa.Array, at: np.ndarray) -> pa.Array:
+        ids = ids.take(pa.array(at))
+        return pa.StructArray.from_arrays([ids.is_null(), ids, fps.take(pa.array(at))], names=["none", "id", "fp"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b = ((None if batch.column(c)[k].values is None else batch.column(c)[k].values.to_numpy().view(np.uint64)) for c in (0, 1))
-                child, root = linked(a, b, radius)
-                both = (a if b is None else np.concatenate([a, b])).view(np.int64)
+                fps, ids = ([batch.column(c)[k].values for c in cs if batch.column(c)[k].is_valid] for cs in ((0, 2), (1, 3)))
+                marks = [x.to_numpy().view(np.uint64) for x in fps]
+                child, root = linked(marks[0], marks[1] if len(marks) > 1 else None, radius)
                 if len(child):
-                    yield pa.RecordBatch.from_pydict({"u": both[child], "v": both[root]})
+                    both = pa.concat_arrays(fps), pa.concat_arrays(ids)
+                    yield pa.RecordBatch.from_arrays([nodes(*both, child), nodes(*both, root)], names=["u", "v"])
 
+    small_batches(prints.sparkSession)
     pairs = tile_pairs(prints, radius, tile, subwords)
-    return pairs.repartition(partitions(prints.sparkSession)).mapInArrow(compare, "u long, v long")
+    return pairs.repartition(partitions(prints.sparkSession)).mapInArrow(compare, f"u {node}, v {node}")
 
 
 def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
@@ -166,26 +178,29 @@ def _row_key(docs: DataFrame, id_col: str, text_col: str) -> Column:
     return F.md5(F.concat(F.when(identifier.isNull(), "n").otherwise(F.concat(F.lit("i"), identifier)), F.lit("/"), F.coalesce(F.col(text_col), F.lit(""))))
 
 
-def _rooted(docs: DataFrame, id_col: str, text_col: str, radius: int, tile: int, subwords: int | None) -> DataFrame:
+def _rooted(docs: DataFrame, id_col: str, text_col: str, radius: int, tile: int, subwords: int) -> DataFrame:
     """(id_col, text_key, fingerprint, component_id, root) for every row; root, a fingerprint, tells components apart."""
-    rows = with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _row_key(docs, id_col, text_col).alias("text_key")), "text", "fp").drop("text")
+    rows = with_fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _row_key(docs, id_col, text_col).alias("text_key")), "text", "fp")
     rows = cut_lineage(rows)  # some 50 bytes a row: the texts are read once
-    prints = cut_lineage(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
-    roots = components(links(prints.select("fp"), radius, tile, subwords)).withColumnRenamed("node", "fp")
-    grouped = prints.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of_print = grouped.join(least, "root").select("fp", "component_id", "root")
-    return rows.join(of_print, "fp").select(F.col("id").alias(id_col), "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
-
-
-def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE, subwords: int | None = None) -> DataFrame:
+    prints = rows.groupBy("fp").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    prints = cut_lineage(prints.select(F.col("id").isNull().alias("none"), "id", "fp", "n"))
+    found = components(links(prints.select("none", "id", "fp"), radius, tile, subwords))
+    roots = found.select(F.col("node.fp").alias("fp"), F.col("root.id").alias("component_id"), F.col("root.fp").alias("root"))
+    grouped = prints.join(roots, "fp", "left")  # a fingerprint is one row on either side
+    of_print = grouped.select("fp", "n", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("root", "fp").alias("root"))
+    # Copies share a fingerprint: the rows of frequent ones are not exchanged by it.
+    told = join_hot(rows, cut_lineage(of_print), "fp", "n", rows.count())
+    return told.select(F.col("id").alias(id_col), "text_key", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
+
+
+def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, tile: int = TILE, subwords: int = SUBWORDS) -> DataFrame:
     """(id_col, text_key, fingerprint, component_id) for every row; text_key tells rows apart."""
     return _rooted(docs, id_col, text_col, radius, tile, subwords).drop("root")
 
 
 def near_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row with the smallest identifier, once."""
-    groups = _rooted(docs, id_col, text_col, radius, TILE, None)
+    groups = _rooted(docs, id_col, text_col, radius, TILE, SUBWORDS)
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("text_key"))
     # Not by component_id: components without an identifier share the null, and repeated identifiers may be the smallest of several.
     stay = groups.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.text_key").alias("stay_key"))
@@ -200,4 +215,5 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each component, with the columns of ``docs``. All rows without words are one component; an empty table stays empty."""
     return near_dedup(docs)

@@ -2,12 +2,16 @@
 
 Documents are dealt into blocks. A task rolls the windows of its block into two polynomial hashes each, keeps the
 distinct ones in order, and sends them to buckets (ranges of the first hash) as packed, difference-coded rows: some
-eight bytes a window, with at most one entry a block for a passage that is everywhere. A bucket's task merges what all
+ten bytes a window, with at most one entry a block for a passage that is everywhere. A bucket's task merges what all
 blocks sent, and answers each block with one bit a window: whether the same window starts anywhere else. The
 blocks then merge repeated windows into maximal removal intervals.
 
-A window's key has 80 bits (64 of one hash, 16 of another, over two 61-bit fields): among N windows of which none
-repeats, N * N / 2 ** 81 chance pairs are to be expected, i.e. 1e-4 for the 8e9 windows of 30 GB.
+A window's key has 96 bits: 64 of one hash and 32 of another, over two 61-bit fields, each with word values of its own (the
+halves of a 128-bit hash of the word). Among N windows of which none repeats, N * N / 2 ** 97 chance pairs are to be
+expected: 4e-10 for the 8e9 windows of 30 GB, 2e-3 for those of 100 TB.
+
+A row is a block's part of a bucket. Once there are more of them than windows in a block, rows hold a window or two each and
+cost some seven times as many bytes: the growth stays linear in the input.
 
 Defined results: null and empty texts have no words; a text shorter than a window has none to remove; repeated rows
 are repeats of each other and lose every window; an empty table gives an empty result; columns of the
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, partitions
+from .common import documents, partitions, small_batches
 
 #: Words in a window.
 WINDOW = 35
@@ -73,30 +77,39 @@ def rolled(values: np.ndarray, window: int, multiplier: int) -> np.ndarray:
         span *= 2
 
 
-class _WordValues(dict):
-    """Field elements of words, remembered."""
+class _WordValues:
+    """Two field elements for each word, remembered."""
+
+    def __init__(self) -> None:
+        self.places: dict[bytes, int] = {}
+        self.halves: list[int] = []
+
+    def of(self, texts: list[list[bytes]], n: int) -> list[np.ndarray]:
+        """For all words of the texts in turn, the elements of one field and of the other."""
+        get, add = self.places.get, self._add
+        at = np.fromiter((p if (p := get(w)) is not None else add(w) for t in texts for w in t), np.int64, n)
+        table = np.array(self.halves, np.uint64).reshape(-1, 2) % np.uint64(_FIELD)
+        return [table[at, c] if len(table) else np.zeros(0, np.uint64) for c in (0, 1)]
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word) % _FIELD
-        self[word] = value
-        return value
+    def _add(self, word: bytes) -> int:
+        digest = xxhash.xxh3_128_intdigest(word)
+        self.halves += (digest >> 64, digest & 0xFFFFFFFFFFFFFFFF)
+        place = self.places[word] = len(self.places)
+        return place
 
 
 def window_keys(texts: list[list[bytes]], window: int, values: _WordValues) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First hash (64 bits), check (16 bits) and document of every window of the texts (as words)."""
+    """First hash (64 bits), check (32 bits) and document of every window of the texts (as words)."""
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    words = np.fromiter((values[w] for t in texts for w in t), np.uint64, int(lengths.sum()))
-    one, two = (rolled(words, window, m) for m in _MULTIPLIERS)
+    one, two = (rolled(x, window, m) for x, m in zip(values.of(texts, int(lengths.sum())), _MULTIPLIERS, strict=True))
     doc = np.repeat(np.arange(len(texts)), lengths)
     if not len(one):
-        return one, two.astype(np.uint16), doc[:0]
+        return one, two.astype(np.uint32), doc[:0]
     inside = doc[: len(one)] == doc[window - 1 :]
     one, two, doc = one[inside], two[inside], doc[: len(one)][inside]
-    # 61 bits of the first field element and 19 of the second: 64 + 16.
+    # 61 bits of the first field element and 35 of the second: 64 + 32.
     first = one << np.uint64(3) | two & np.uint64(7)
-    return first, (two >> np.uint64(3)).astype(np.uint16), doc
+    return first, (two >> np.uint64(3)).astype(np.uint32), doc
 
 
 def distinct_keys(first: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +128,7 @@ def pack(first: np.ndarray, check: np.ndarray, again: np.ndarray) -> bytes:
     width = max(1, (top.bit_length() + 7) // 8)
     head = np.array([len(first), first[0], width], "<u8").tobytes()
     body = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return head + np.ascontiguousarray(body).tobytes() + check.astype("<u2").tobytes() + np.packbits(again).tobytes()
+    return head + np.ascontiguousarray(body).tobytes() + check.astype("<u4").tobytes() + np.packbits(again).tobytes()
 
 
 def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,8 +137,8 @@ def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     wide = np.zeros((n, 8), np.uint8)
     wide[:, :width] = np.frombuffer(packed, np.uint8, n * width, at).reshape(n, width)
     at += n * width
-    check = np.frombuffer(packed, "<u2", n, at)
-    again = np.unpackbits(np.frombuffer(packed, np.uint8, offset=at + 2 * n), count=n).astype(bool)
+    check = np.frombuffer(packed, "<u4", n, at)
+    again = np.unpackbits(np.frombuffer(packed, np.uint8, offset=at + 4 * n), count=n).astype(bool)
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + np.uint64(start), check, again
 
 
@@ -150,6 +163,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """(id_col, n_words, n_removed, kept_text, removed) of every row; removed lists [start, end) word intervals."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # A row is a block's part of a bucket: both numbers follow the input, and fewer but fuller rows cost less.

@@ -2,26 +2,30 @@
 
 A change is a signed row: an insert counts a document's tokens up, a delete counts them down, a revision is a delete
 of the old count and an insert of the new one. A batch adds up its changes by source, language and tokenizer version
-and is committed under its identifier: one folder a batch, written once. A batch that is there already is not
-applied again, so a retried or repeated commit changes nothing. Totals are the sums over committed batches,
-which are additive, so they can be compacted at any time.
+and is committed under its identifier.
+
+A commit writes the sums to a folder of its own attempt and then renames that folder to the batch's name: a rename is done
+wholly or not at all, and refuses a name that is taken. So a batch is there whole or not there, of two writers of
+one batch one wins, and a batch that is there already is not applied again. Totals are the sums over committed batches
+alone, which are additive, so they can be compacted at any time. What a broken attempt leaves behind is never read.
 
 Only per-group sums are stored: a batch reads its own changes and never the documents of earlier ones.
 
 Defined results: a null text has no tokens; null sources, languages and versions are groups of their own; repeated
-rows count as often as they occur; an empty batch is committed as such; groups that cancel out to no documents
-stay with zero totals; further columns of the changes are ignored.
+rows count as often as they occur; an empty batch is committed as such; without a batch there are no totals; groups that
+cancel out to no documents stay with zero totals; further columns of the changes are ignored.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut_lineage, documents, words_of
+from .bpe import default_tokenizer, encoder
+from .common import add_columns, cut_lineage, documents, shared_folder, words_of
 
 GROUP = ("source", "lang", "version")
 _LEDGER = "source string, lang string, version string, docs long, tokens long, inserted long, deleted long, batch string"
@@ -42,72 +46,65 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _folder(self, batch: str):
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch={batch}")
-        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        jvm = spark.sparkContext._jvm
+        self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        self._store = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def committed(self, batch: str) -> bool:
-        """Whether the batch has been written to its end (Spark marks that with a _SUCCESS file)."""
-        at, store = self._folder(batch)
-        return store.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS"))
+        return self._store.exists(self._at(f"batch={batch}"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Add up and write the changes; False, and nothing happens, if the batch is committed already.
-
-        A batch that was begun but not ended is overwritten: its sums depend on the changes alone.
-        """
+        """Add up and write the changes; False, and nothing happens, if the batch is committed already."""
         if self.committed(batch):
             return False
         signed = F.col("sign") * F.col("tokens")
         sums = changes.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("docs"), F.sum(signed).alias("tokens"), F.count_if(F.col("sign") > 0).alias("inserted"), F.count_if(F.col("sign") < 0).alias("deleted"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        attempt = f"_attempt-{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.path}/{attempt}")
+        target = self._at(f"batch={batch}")
+        # A rename to a folder that is there would move the attempt into it on some stores, so this is asked for once more.
+        if self._store.exists(target) or not self._store.rename(self._at(attempt), target):
+            self._store.delete(self._at(attempt), True)
+            return False
         return True
 
     def batches(self) -> DataFrame:
-        return self.spark.read.schema(_LEDGER).parquet(self.path)
+        """The sums of all committed batches, with their batch."""
+        names = [x.getPath().toString() for x in self._store.globStatus(self._at("batch=*")) or ()]
+        read = self.spark.read.schema(_LEDGER).option("basePath", self.path)
+        return read.parquet(*names) if names else self.spark.createDataFrame([], _LEDGER)
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens, inserted, deleted), one row a group."""
         return self.batches().groupBy(*GROUP).agg(*(F.sum(c).alias(c) for c in ("docs", "tokens", "inserted", "deleted")))
 
 
-def pieces_of(text: Column) -> Column:
-    """Tokens of the second version: runs of letters and digits, and every other sign but white space."""
-    return F.coalesce(F.regexp_count(text, F.lit(PIECES)), F.lit(0)).cast("long")
+def encoded_sizes(docs: DataFrame, tokenizer: str, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` without its texts, and how many tokens each has in a tokenizer file; words are kept by worker, whole texts are encoded."""
+
+    def score(texts: list[bytes]) -> list:
+        tok = encoder(tokenizer)
+        return [[len(tok.encode(t)[0]) // 4 for t in texts]]
 
+    return add_columns(docs, text_col, [T.StructField(name, T.LongType())], score, back=[c for c in docs.columns if c != text_col])
 
-#: Also understood by RE2; bytes of no Unicode category in between.
-PIECES = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}\x20\x09-\x0D]"
+
+#: Tokenizer versions of the query: words between white space, and the tokens of the public word-level BPE file.
+OLD, NEW = "words-1", "word_bpe_49k"
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted under ``words-1``; those labelled toxic are deleted; all others are revised to
-    ``pieces-2``; then the first two batches arrive once more, which changes nothing."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-")
-    ledger = Ledger(spark, f"{shared.rstrip('/')}/token-counts-{uuid.uuid4().hex}")
-    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text")
+    ``word_bpe_49k``; then the first two batches arrive once more, which changes nothing."""
+    ledger = Ledger(spark, f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}")
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "text", words_of(F.col("text")).alias("words"))
     toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id").distinct()
-    words, pieces = words_of(F.col("text")), pieces_of(F.col("text"))
     # The texts are read and counted once; the batches exchange a few numbers a row.
-    counted = cut_lineage(docs.select("doc_id", "source", "lang", words.alias("words"), pieces.alias("pieces")))
-    old, new = ("words-1", F.col("words")), ("pieces-2", F.col("pieces"))
+    counted = cut_lineage(encoded_sizes(docs, default_tokenizer(), "encoded"))
+    old, new = (OLD, F.col("words")), (NEW, F.col("encoded"))
     insert = change(counted, 1, *old)
     delete = change(counted.join(toxic, "doc_id", "left_semi"), -1, *old)
     revise = revision(counted.join(toxic, "doc_id", "left_anti"), old, new)
     for batch, changes in (("b1-insert", insert), ("b2-delete", delete), ("b3-revise", revise), ("b1-insert", insert), ("b2-delete", delete)):
         ledger.commit(batch, changes)
     return ledger.totals()
-
-
-OP4_SQL = r"""
-WITH c AS (SELECT source, lang, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic,
-  len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
-  len(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}\x20\x09-\x0D]')) AS pieces FROM documents),
-e AS (SELECT source, lang, 'words-1' AS version, words AS tokens, 1 AS sign FROM c
-  UNION ALL SELECT source, lang, 'words-1', words, -1 FROM c
-  UNION ALL SELECT source, lang, 'pieces-2', pieces, 1 FROM c WHERE NOT coalesce(toxic, false))
-SELECT source, lang, version, CAST(sum(sign) AS BIGINT) AS docs, CAST(sum(sign * tokens) AS BIGINT) AS tokens,
-  count(*) FILTER (sign > 0) AS inserted, count(*) FILTER (sign < 0) AS deleted FROM e GROUP BY ALL
-"""

@@ -149,8 +149,22 @@ def host_and_path(url: bytes) -> tuple[bytes, bytes]:
     return host.lower(), slash + path
 
 
-def judge(pages: DataFrame, rules: Iterable[Rule] = (*BASE_RULES, *GLOBS, *BARE_HOSTS), *, url_col: str = "url", prefix: str = "") -> DataFrame:
-    """``pages`` with host, path, rule (a base rule's name, else null), verdict and pattern (the glob that decided, else null)."""
+#: Rules that a table may hold: they are compiled on the driver, some 20 masks of 64 bits each per 64 signs.
+MOST_RULES = 10_000
+
+
+def rules_of(table: DataFrame, most: int = MOST_RULES) -> list[Rule]:
+    """Rules from a table (glob, verdict, rank); names are the globs. Null or other verdicts, and more rows than ``most``, are refused."""
+    rows = table.select("glob", "verdict", "rank").distinct().orderBy("rank", "glob", "verdict").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    if any(r["glob"] is None or r["rank"] is None or r["verdict"] not in (ALLOW, BLOCK) for r in rows):
+        raise ValueError("a rule needs a glob, a rank and a verdict of allow or block")
+    return [Rule(r["glob"], r["verdict"], r["glob"], r["rank"]) for r in rows]
+
+
+def judge(pages: DataFrame, rules: Iterable[Rule] = (*BASE_RULES, *GLOBS, *BARE_HOSTS), *, url_col: str = "url", prefix: str = "", back: list[str] | None = None) -> DataFrame:
+    """``pages`` (of its columns, ``back``: all) with host, path, rule (a base rule's name, else null), verdict and pattern (the glob that decided, else null)."""
     rules = sorted(rules, key=lambda r: -r.rank)
     automaton = Automaton([r.glob for r in rules])
 
@@ -168,12 +182,12 @@ def judge(pages: DataFrame, rules: Iterable[Rule] = (*BASE_RULES, *GLOBS, *BARE_
             [r.glob if r else None for r in chosen],
         ]
 
-    return add_columns(pages, url_col, [T.StructField(prefix + n, T.StringType()) for n in ("host", "path", "rule", "verdict", "pattern")], score)
+    return add_columns(pages, url_col, [T.StructField(prefix + n, T.StringType()) for n in ("host", "path", "rule", "verdict", "pattern")], score, back)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    return judge(pages).select("page_id", "host", "path", "rule", "verdict", "pattern")
+    return judge(pages, back=["page_id"]).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
 def _sql() -> str:

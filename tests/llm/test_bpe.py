@@ -98,3 +98,30 @@ def test_plain_words_equal_the_library(tok):
         ids, text = tok.encode(word.encode())
         assert np.frombuffer(ids, "<u4").tolist() == library(tok, word), word
         assert text == tok.lib.decode(library(tok, word), skip_special_tokens=False), word
+
+
+def test_another_tokenizer_goes_through_the_whole_library(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = bpe.Encoder(path)
+    assert not other.by_word and bpe.Encoder(PATH).by_word
+    want = sorted(((i, library(other, text), other.lib.decode(library(other, text), skip_special_tokens=False)) for i, text, *_ in awkward_rows()), key=repr)
+    for leaf in (bpe.LEAF, 700):
+        got = bpe.encode_texts(awkward(spark), path, leaf=leaf).collect()
+        assert sorted(((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist(), r["decoded"]) for r in got), key=repr) == want
+
+
+def test_what_a_worker_keeps_is_bounded():
+    tok = bpe.Encoder(PATH)
+    tok.encode(b"short " + b"x" * 10_000)
+    assert max(map(len, tok.words)) <= bpe.KEPT_BYTES and max(map(len, tok.pieces)) <= bpe.KEPT_BYTES
+
+
+@pytest.mark.parametrize("alphabet", ["aaaaaaaab", "ab", "'", "-=-=_"])
+def test_long_unsplit_runs_join_exactly(tok, alphabet):
+    """No blank for many windows: the joins lie inside one pre-token, where only pairs of tokens decide."""
+    rnd = random.Random(alphabet)
+    for n in (3000, 9001):
+        text = "".join(rnd.choice(alphabet) for _ in range(n))
+        assert tree(tok, text, 500, window=64) == library(tok, text)

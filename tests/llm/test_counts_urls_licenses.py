@@ -33,15 +33,33 @@ def test_batches_add_up_and_are_applied_once(spark, tmp_path):
     assert rows_of(ledger.totals(), "source", "lang", "version", "docs", "tokens") == sorted([("a", "en", "v1", 0, 0), ("a", "en", "v2", 2, 24), ("b", None, "v1", 0, 0), (None, "fr", "v1", 1, 2)], key=repr)
 
 
-def test_a_batch_that_broke_off_is_written_again(spark, tmp_path):
-    path = tmp_path / "ledger"
-    ledger = tc.Ledger(spark, str(path))
+def test_a_batch_that_broke_off_counts_nowhere_and_is_written_again(spark, tmp_path, monkeypatch):
+    ledger = tc.Ledger(spark, str(tmp_path / "ledger"))
     changes = tc.change(counted(spark), 1, "v1", F.col("n"))
     ledger.commit("1", changes)
-    (path / "batch=1" / "_SUCCESS").unlink()
-    assert not ledger.committed("1")
-    assert ledger.commit("1", changes)
+    # An attempt that wrote all of its rows but was not renamed, and one that was cut off within them.
+    changes.groupBy(*tc.GROUP).agg(F.sum("sign").alias("docs"), F.sum("tokens").alias("tokens"), F.count("*").alias("inserted"), F.lit(0).alias("deleted")).write.parquet(f"{ledger.path}/_attempt-x")
+    (tmp_path / "ledger" / "_attempt-y").mkdir()
+    (tmp_path / "ledger" / "_attempt-y" / "part-0.parquet").write_bytes(b"half a")
+    assert not ledger.committed("2")
+    assert tuple(ledger.totals().agg(F.sum("docs"), F.sum("tokens")).first()) == (5, 20)
+    assert ledger.commit("2", changes)
+    assert tuple(ledger.totals().agg(F.sum("docs"), F.sum("tokens")).first()) == (10, 40)
+
+
+def test_of_two_writers_of_a_batch_one_wins(spark, tmp_path, monkeypatch):
+    ledger, other = (tc.Ledger(spark, str(tmp_path / "ledger")) for _ in range(2))
+    changes = tc.change(counted(spark), 1, "v1", F.col("n"))
+    answers = iter([False])
+    monkeypatch.setattr(ledger, "committed", lambda batch: next(answers))  # asked before the other one has ended
+    assert other.commit("1", changes)
+    assert not ledger.commit("1", changes)
     assert ledger.totals().agg(F.sum("docs")).first()[0] == 5
+    assert not list((tmp_path / "ledger").glob("_attempt*"))
+
+
+def test_no_batch_has_no_totals(spark, tmp_path):
+    assert tc.Ledger(spark, str(tmp_path / "none")).totals().count() == 0
 
 
 def test_an_empty_batch_is_committed(spark, tmp_path):
@@ -51,11 +69,36 @@ def test_an_empty_batch_is_committed(spark, tmp_path):
     assert ledger.totals().count() == 0
 
 
-def test_null_texts_have_no_tokens(spark):
-    got = awkward(spark).where("text IS NULL OR text = ''").select(tc.words_of(F.col("text")).alias("w"), tc.pieces_of(F.col("text")).alias("p")).collect()
-    assert {tuple(r) for r in got} == {(0, 0)}
-    got = spark.createDataFrame([("ab, c-d é!\n",)], "t string").select(tc.words_of(F.col("t")), tc.pieces_of(F.col("t"))).first()
-    assert tuple(got) == (3, 7)
+def test_encoded_sizes_equal_the_library(spark):
+    from frameloom.llm import bpe
+
+    tok = bpe.Encoder(bpe.default_tokenizer())
+    docs = awkward(spark).withColumn("encoded", F.lit("clash"))
+    got = tc.encoded_sizes(docs, bpe.default_tokenizer(), "encoded")
+    assert "text" not in got.columns
+    want = sorted(((i, len(tok.lib.encode(text or "", add_special_tokens=False).ids)) for i, text, *_ in awkward_rows()), key=repr)
+    assert rows_of(got, "doc_id", "encoded") == want
+
+
+def test_query_equals_brute_force(spark, smoke_dir):
+    from frameloom.llm import bpe
+
+    from .support import words
+
+    tok = bpe.Encoder(bpe.default_tokenizer())
+    toxic = {r["doc_id"] for r in spark.read.parquet(f"{smoke_dir}/labels.parquet").where("toxic = 1").collect()}
+    want: dict = {}
+    for r in spark.read.parquet(f"{smoke_dir}/documents.parquet").collect():
+        n = len(words(r["text"]))
+        changes = [(tc.OLD, n, 1), (tc.OLD, n, -1)]
+        if r["doc_id"] not in toxic:
+            changes.append((tc.NEW, len(tok.lib.encode(r["text"] or "", add_special_tokens=False).ids), 1))
+        for version, tokens, sign in changes:
+            own = want.setdefault((r["source"], r["lang"], version), [0, 0, 0, 0])
+            for k, x in enumerate((sign, sign * tokens, sign > 0, sign < 0)):
+                own[k] += x
+    got = rows_of(tc.op4_token_counts(spark, smoke_dir), *tc.GROUP, "docs", "tokens", "inserted", "deleted")
+    assert got == sorted(((*k, *v) for k, v in want.items()), key=repr)
 
 
 # URL filters
@@ -116,6 +159,17 @@ def test_hosts_are_blocked_with_and_without_a_path(spark):
     assert {r["pattern"] for r in uf.judge(spark.createDataFrame([("http://casino.example?x=1",)], "url string")).collect()} == {"*.*casino*"}
 
 
+def test_rules_may_come_from_a_table(spark):
+    table = spark.createDataFrame([("*.bad/**", "block", 1), ("**/ok*", "allow", 5), ("*.bad/**", "block", 1)], "glob string, verdict string, rank int")
+    pages = spark.createDataFrame([("http://x.bad/a",), ("http://x.bad/ok",), ("http://good/a",)], "url string")
+    rules = uf.rules_of(table)
+    assert len(rules) == 2
+    assert [(r["verdict"], r["pattern"]) for r in uf.judge(pages, rules).collect()] == [("block", "*.bad/**"), ("allow", "**/ok*"), ("allow", None)]
+    for wrong, most in ((table, 1), (table.withColumn("verdict", F.lit("perhaps")), 9)):
+        with pytest.raises(ValueError):
+            uf.rules_of(wrong, most)
+
+
 def test_no_rules_and_no_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.com/en/")] * 2, "page_id long, url string")
     assert [r["verdict"] for r in uf.judge(pages, ()).collect()] == ["allow", "allow"]
@@ -179,6 +233,91 @@ def test_other_licenses_are_no_edits():
         assert [(scanner.notices[k].label, n) for k, _, _, n in scanner.spans(b" this is %s or so " % text.encode())] == [(label, edits)], text
 
 
+def locks(notice: ls.Notice) -> list[tuple[str, bool, bool]]:
+    """Of each letter of a notice: how it is held (free, word: glued to the letter before, ends), blank before, blank behind."""
+    out: list[tuple[str, bool, bool]] = []
+    for word in notice.words.split():
+        if out:
+            out.append(("free", False, False))
+        for k in range(len(word)):
+            first, last = k == 0, k == len(word) - 1
+            if word in notice.tell:
+                out.append(("held" if first else "glued", first, last))
+            elif word in notice.ends and (first or last):
+                out.append(("held", first, last))
+            else:
+                out.append(("free", False, False))
+    return out
+
+
+def distance(notice: ls.Notice, text: str, begin: int, end: int) -> float:
+    """Edit distance of a notice and text[begin:end], whose held letters stay."""
+    held, letters, span = locks(notice), notice.words, text[begin:end]
+    digits = any(w.isdigit() for w in notice.tell)
+    inf = float("inf")
+    row = [inf if digits and any(c.isdigit() for c in span[:j]) else float(j) for j in range(len(span) + 1)]
+    for i, (how, before, behind) in enumerate(held):
+        new = [inf if how != "free" else row[0] + 1]
+        for j, c in enumerate(span):
+            at = begin + j
+            plain = letters[i].isdigit() and letters[i] == c and not (text[at - 1].isdigit() or text[at + 1].isdigit())
+            fits = letters[i] == c and (plain or letters[i].isdigit() is False and (not before or text[at - 1] == " ") and (not behind or text[at + 1] == " ") or (how == "free" and letters[i] == c))
+            free = how == "free" and not (digits and c.isdigit())
+            best = row[j] if fits else row[j] + 1 if free else inf
+            if how == "free":
+                best = min(best, row[j + 1] + 1)
+            follows = i + 1 < len(held) and held[i + 1][0] == "glued"
+            if not follows and not (digits and c.isdigit()):
+                best = min(best, new[j] + 1)
+            new.append(best)
+        row = new
+    return row[-1]
+
+
+def test_finds_equal_brute_force_by_edit_distance():
+    """All spans of words against all notices by plain dynamic programming: the same labels, and no find is closer than it says."""
+    rnd = random.Random(21)
+    notices = [n for n in (*ls.BASE, *ls.MORE) if len(n.words) < 30]
+    scanner = ls.Scanner(notices)
+    seen = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(rnd.randint(1, 3)):
+            letters = list(rnd.choice(notices).words)
+            for _ in range(rnd.randint(0, 4)):
+                at = rnd.randrange(len(letters))
+                letters[at : at + rnd.randint(0, 1)] = rnd.choice(["x", "2", "", " ", "e"])
+            parts += ["".join(letters), rnd.choice(["and", "mit", "2", "the gnu", ""])]
+        words = " ".join(parts).split()
+        text = f" {' '.join(words)} "
+        at = [k + 1 for k, c in enumerate(text[:-1]) if c == " "]
+        ends = [k for k, c in enumerate(text) if c == " "][1:]
+        want: dict = {}
+        for k, n in enumerate(notices):
+            for b in at:
+                for e in ends:
+                    if abs(e - b - len(n.words)) <= n.edits:
+                        d = distance(n, text, b, e)
+                        if d <= n.edits:
+                            want[k, b, e] = d
+        got = scanner.finds(text.encode())
+        assert {k for k, *_ in got} == {k for k, *_ in want}, text
+        for k, b, e, n in got:
+            assert want[k, b, e] <= n <= notices[k].edits, (text, notices[k].words)
+        # The closest of what claims the same words stays.
+        left = scanner.spans(text.encode())
+        for k, b, e, n in set(got) - set(left):
+            assert any(x < e and b < y and m <= n and notices[o].label != notices[k].label for o, x, y, m in left)
+        seen += len(got)
+    assert seen > 60
+
+
+def test_no_match_ends_inside_a_word():
+    scanner = ls.Scanner((ls.Notice("arr", "all rights reserved", 2),))
+    assert scanner.spans(b" all rights reservedxyzxyzxyz and so ") == []
+    assert [x[3] for x in scanner.spans(b" all rights reservedly and so ")] == [2]
+
+
 def test_every_bounded_edit_of_a_notice_is_found():
     """Pigeonhole: up to k edits leave one of k + 1 pieces whole, so each edited notice is found."""
     rnd = random.Random(8)

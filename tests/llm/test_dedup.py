@@ -6,10 +6,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from frameloom.llm import components, exact_dedup, simhash, substring_dedup
+from frameloom.llm import common, components, exact_dedup, simhash, substring_dedup
 
 from .support import awkward, awkward_rows, empty, prose, rows_of, words
 
@@ -33,16 +34,34 @@ def brute_exact(rows: list[tuple]) -> list[tuple]:
 
 def test_exact_dedup_equals_brute_force(spark):
     docs = awkward(spark).withColumn("keep_id", F.lit("clash")).withColumn("dedup_norm", F.lit(1))
-    for least_hot in (1000, 2):  # with 2, all groups of copies are hot
-        got = exact_dedup.exact_dedup(docs, least_hot=least_hot, salts=4)
+    for least, text in ((1000, True), (2, True), (2, False)):  # with 2, all groups of copies are cut into slots
+        got = exact_dedup.exact_dedup(docs, least=least, salts=4, text=text)
+        assert ("text" in got.columns) == text
         assert rows_of(got, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == brute_exact(awkward_rows())
     assert exact_dedup.exact_dedup(empty(spark)).count() == 0
 
 
 def test_exact_dedup_runs_no_python_and_one_text_exchange(spark):
-    plan = exact_dedup.exact_dedup(awkward(spark))._jdf.queryExecution().executedPlan().toString()
+    told, _ = exact_dedup.runs(awkward(spark), id_col="doc_id", text_col="text", least=25, salts=4)
+    plan = told._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
-    assert plan.count("rangepartitioning") == 1
+    assert plan.count("rangepartitioning") == 1 and "hashpartitioning(run_head" not in plan
+
+
+def test_frequent_beginnings_and_texts_are_cut_and_stitched(spark):
+    """One text in a third of all rows, and one beginning that a third shares: no range holds either whole."""
+    head = "the same beginning of very many documents "
+    rows = [(k, "a frequent text, again and again, longer than a head") for k in range(400)] + [(1000 + k, head + str(k // 2)) for k in range(400)] + [(2000 + k, f"text {k}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    told, own = exact_dedup.runs(docs, id_col="doc_id", text_col="text", least=5, salts=8)
+    spread = told.withColumn("part", F.spark_partition_id()).cache()
+    for part in ("doc_id < 1000", "doc_id BETWEEN 1000 AND 1999"):
+        assert spread.where(part).select("part").distinct().count() > 1, part
+    assert spread.where(F.col(own["cut"])).select("doc_id").where("doc_id >= 1000").count() == 0
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(docs, least=5, salts=8).collect()}
+    assert all(got[k] == (0, 400, k == 0) for k in range(400))
+    assert all(got[1000 + k] == (1000 + k // 2 * 2, 2, k % 2 == 0) for k in range(400))
+    assert all(got[2000 + k] == (2000 + k, 1, True) for k in range(400))
 
 
 def test_exact_stage_keeps_one_row_a_text(spark):
@@ -91,8 +110,8 @@ def test_links_span_all_components_for_any_tiling(spark):
     prints = {c ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(0, 5))) for c in centres for _ in range(40)} | {0, (1 << 64) - 1, 1}
     prints = sorted(prints)
     want = Counter(Counter(brute_components(prints, 4)).values())
-    frame = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
-    for tile, subwords in ((2048, 2), (50, 1), (100, 4)):
+    frame = spark.createDataFrame([(False, k, p - (1 << 64) if p >> 63 else p) for k, p in enumerate(prints)], "none boolean, id long, fp long")
+    for tile, subwords in ((2048, 3), (2048, 2), (50, 1), (100, 4)):
         found = components.components(simhash.links(frame, 4, tile, subwords))
         sizes = [r["count"] for r in found.groupBy("root").count().collect()]
         assert Counter(sizes) == Counter({k: v for k, v in want.items() if k > 1})
@@ -113,6 +132,31 @@ def test_components_of_paths_and_hubs(spark):
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_hubs_and_copies_are_not_exchanged_whole(spark):
+    """A component of a third of all fingerprints, and a fingerprint of a third of all rows."""
+    rnd = random.Random(12)
+    chain = prose(rnd, 300).split()
+    near = [(k, " ".join([*chain[:k], f"changed{k}", *chain[k + 1 :]])) for k in range(150)]
+    copies = [(1000 + k, "the very same words in all of these rows") for k in range(200)]
+    rows = near + copies + [(2000 + k, prose(rnd, 40)) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    prints = [brute_print(t) for _, t in rows]
+    labels = brute_components(prints, 4)
+    least = {c: min(i for (i, _), x in zip(rows, labels, strict=True) if x == c) for c in set(labels)}
+    want = sorted(((i, f"{p:016x}", least[c]) for (i, _), p, c in zip(rows, prints, labels, strict=True)), key=repr)
+    assert max(Counter(labels[:150]).values()) > 100
+    assert rows_of(simhash.simhash_groups(docs).drop("text_key")) == want
+
+
+@pytest.mark.parametrize("most", [1, 3, 10_000])
+def test_hot_join_is_a_plain_join(spark, most):
+    left = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(100)] + [(None, 1)], "key long, x long")
+    right = left.where("key IS NOT NULL").groupBy("key").count().withColumn("y", F.col("key") * 2)
+    got = common.join_hot(left, right, "key", "count", 100, most)
+    assert got.columns == ["key", "x", "y"]
+    assert rows_of(got) == sorted([(k % 7 if k % 3 else 0, k, 2 * (k % 7 if k % 3 else 0)) for k in range(100)], key=repr)
+
+
 def test_near_dedup_stage_keeps_one_of_each_group(spark):
     rows = awkward_rows()
     docs = awkward(spark).withColumn("text_key", F.lit("clash"))
@@ -168,11 +212,24 @@ def test_rolling_equals_the_polynomial():
             assert got == [sum(v * pow(m, window - 1 - j, field) for j, v in enumerate(values[k : k + window])) % field for k in range(200 - window + 1)]
 
 
+def test_keys_of_different_windows_differ():
+    """Each field has word values of its own, so words that meet in one differ in the other."""
+    rnd = random.Random(3)
+    texts = [[b"w%d" % rnd.randrange(50) for _ in range(400)] for _ in range(20)]
+    first, check, doc = substring_dedup.window_keys(texts, 5, substring_dedup._WordValues())
+    got = list(zip(first.tolist(), check.tolist(), strict=True))
+    want = [tuple(t[k : k + 5]) for t in texts for k in range(396)]
+    assert len(set(got)) == len(set(want)) == len(set(zip(got, want, strict=True)))
+    values = substring_dedup._WordValues()
+    one, two = values.of([[b"a", b"b", b"a"]], 3)
+    assert one[0] == one[2] and two[0] == two[2] and len({*one.tolist(), *two.tolist()}) == 4
+
+
 def test_packing_round_trip():
     rnd = np.random.default_rng(3)
     for n in (0, 1, 5, 1000):
         first = np.sort(rnd.integers(0, 1 << 63, n, dtype=np.uint64))
-        check, again = rnd.integers(0, 1 << 16, n).astype(np.uint16), rnd.random(n) < 0.3
+        check, again = rnd.integers(0, 1 << 32, n).astype(np.uint32), rnd.random(n) < 0.3
         if n:
             out = substring_dedup.unpack(substring_dedup.pack(first, check, again))
             assert all(np.array_equal(a, b) for a, b in zip(out, (first, check, again), strict=True))

@@ -50,6 +50,24 @@ def test_targets_are_met_and_rates_are_tilted(spark):
         assert len(slopes) <= 1
 
 
+def test_tilts_settle_or_raise(spark):
+    """Sizes far apart make the plain Newton step useless; a bound on steps that is reached is no result."""
+    stats = spark.createDataFrame([("a", 1, 10), ("a", 10_000_000, 3), ("a", 7, 0)], "source string, size long, n long")
+    total = 30_000_010
+    for target in (total * 0.9, total * 1.5, total * 2.999):
+        tilt = mixing.solve_tilts(stats, {"a": (total, target)}, {"a": 1e7})["a"]
+        assert sum(n * z * min(3, math.exp(tilt * z / 1e7)) for z, n in ((1, 10), (10_000_000, 3))) == pytest.approx(target, rel=1e-6)
+    with pytest.raises(RuntimeError):
+        mixing.solve_tilts(stats, {"a": (total, total * 1.5)}, {"a": 1e7}, most_steps=1)
+
+
+def test_known_sizes_are_taken(spark):
+    docs = skewed(spark, 300)
+    known = docs.select("doc_id", "source", mixing.words_of(F.col("text")).alias("size"))
+    names = ("doc_id", "size", "target", "rate", "copies")
+    assert rows_of(mixing.mix(known, size_col="size"), *names) == rows_of(mixing.mix(docs), *names)
+
+
 def test_rates_minimise_the_entropy(spark):
     """No exchange of words between two documents of a source lowers the relative entropy."""
     rows = [r for r in mixing.mix(skewed(spark, 400)).where("source = 'b' AND size > 0").collect()]

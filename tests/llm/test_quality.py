@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -53,6 +54,16 @@ def test_ratios_equal_brute_force(spark):
         assert row["llr"] == pytest.approx(want, abs=1e-12)
 
 
+@pytest.mark.parametrize("words", [1, 4, 1 << 20])
+def test_the_filter_of_identifiers_misses_none(spark, words):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"))
+    ids = docs.where("doc_id % 5 = 0")
+    marked = {r["doc_id"]: r["m"] for r in qr.perhaps(docs, "doc_id", ids, "m", words).collect()}
+    assert len(marked) == 500 and all(marked[k] for k in range(0, 500, 5))
+    if words > 4:
+        assert sum(marked.values()) <= 102
+
+
 def test_no_trusted_rows_and_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long")
     got = qr.quality_rules(awkward(spark), none)
@@ -110,3 +121,73 @@ def test_scores_do_not_depend_on_partitions(spark):
     docs = awkward(spark)
     good = spark.createDataFrame([(k,) for k in range(20)], "doc_id long")
     assert rows_of(qr.quality_rules(docs, good).drop("text")) == rows_of(qr.quality_rules(docs.repartition(7), good).drop("text"))
+
+
+def plain_features(text: str | None) -> Counter:
+    """Features and their numbers as the docstring states them, a word and a gram at a time."""
+    import xxhash
+
+    found: Counter = Counter()
+    for w in words(text):
+        found[xxhash.xxh3_64_intdigest(w.encode(), 1) % qc.BUCKETS] += 1
+        marked = f"<{w}>"
+        for n in qc.GRAMS:
+            for k in range(len(marked) - n + 1):
+                found[xxhash.xxh3_64_intdigest(marked[k : k + n].encode()) % qc.BUCKETS] += 1
+    return found
+
+
+def plain_training(rows: list[tuple[int, Counter]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stated network by loops over vectors: averaged features, softmax, one step a row, the rate falling to zero."""
+    draw = np.random.default_rng(qc.SEED)
+    vectors = draw.uniform(-1 / qc.DIMENSIONS, 1 / qc.DIMENSIONS, (qc.BUCKETS, qc.DIMENSIONS))
+    softmax, bias, done = np.zeros((2, qc.DIMENSIONS)), np.zeros(2), 0
+    for _ in range(qc.EPOCHS):
+        for k in draw.permutation(len(rows)):
+            label, found = rows[k]
+            rate, done = qc.RATE * (1 - done / (qc.EPOCHS * len(rows))), done + 1
+            total = max(1, sum(found.values()))
+            hidden = sum((n / total * vectors[f] for f, n in found.items()), np.zeros(qc.DIMENSIONS))
+            odds = np.exp(softmax @ hidden + bias)
+            miss = odds / odds.sum() - np.eye(2)[label]
+            back = miss @ softmax
+            softmax -= rate * np.array([m * hidden for m in miss])
+            bias -= rate * miss * 0.1
+            for f, n in found.items():
+                vectors[f] -= rate * qc.DIMENSIONS * n / total * back
+    return vectors, softmax, bias
+
+
+def test_classifier_equals_a_plain_one(spark):
+    """Features, training and scores anew: a sample of awkward texts, scored by the whole network."""
+    docs = awkward(spark).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("quality"))
+    rows = qc.training_rows(docs, labels, id_col="doc_id", text_col="text", label_col="quality")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = [i for i in texts if not (zlib.crc32(str(i).encode()) % 4 == 2)]
+    own = sorted((int(i % 3 == 0), sorted(plain_features(texts[i]).items())) for i in known)
+    assert sorted((label, list(zip(b.tolist(), c.astype(int).tolist(), strict=True))) for label, b, c in rows) == own
+    vectors, softmax, bias = plain_training([(label, Counter(dict(zip(b.tolist(), c.tolist(), strict=True)))) for label, b, c in rows])
+    for r in qc.classify(docs, labels).collect():
+        found = plain_features(r["text"])
+        hidden = sum((n / max(1, sum(found.values())) * vectors[f] for f, n in found.items()), np.zeros(qc.DIMENSIONS))
+        odds = np.exp(softmax @ hidden + bias)
+        assert r["score"] == pytest.approx(odds[1] / odds.sum(), abs=1e-6)
+
+
+def test_held_out_documents_are_told_apart(spark):
+    """Accuracy on the rows of the given documents whose labels were never seen."""
+    at = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in qc.op9_quality_classifier(spark, at).collect()}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{at}/labels.parquet").where("quality IS NOT NULL").collect()]
+    tested = [(got[i]["predicted"], q) for i, q in labels if i in got and got[i]["held_out"]]
+    assert len(tested) > 50 and np.mean([p == q for p, q in tested]) > 0.93
+
+
+def test_training_features_are_bounded_by_bytes(spark):
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("some text "), "id").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    args = {"id_col": "doc_id", "text_col": "text", "label_col": "quality"}
+    every = qc.training_rows(docs, labels, **args)
+    some = qc.training_rows(docs, labels, most_bytes=sum(8 * len(r[1]) for r in every[:10]), **args)
+    assert len(some) == 10 and all(np.array_equal(a[1], b[1]) for a, b in zip(some, every, strict=False))
