@@ -1,13 +1,18 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's docs."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's docs.
+
+Defined results: each stage takes nulls in any column, empty and very long texts, repeated rows, further columns and empty
+tables as its operator does, and all but the last return the columns of their input; an empty table stays empty
+through all stages. The mix repeats documents, so identifiers may occur up to three times in the last two.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from frameloom.llm import bpe, exact_dedup, mixing, quality_rules, simhash
+from frameloom.llm.common import shared_folder
 
 STAGES = [
     ("quality rules", quality_rules.stage),
@@ -22,12 +27,12 @@ ORACLE_SQL = None
 
 
 def folder(spark: SparkSession) -> str:
-    """Where stages are written: under the cluster's shared checkpoint folder, or our own where none is set."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return f"{(shared or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    """Where stages are written: under the cluster's shared checkpoint folder, or a local session's own where none is set."""
+    return f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows: ids, token counts and digests of every document that the mix takes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = folder(spark)
     for k, (_, stage) in enumerate(STAGES):
