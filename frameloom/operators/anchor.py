@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import AnchorSettings
+from . import kernels
 
 GROUP_SCHEMA = "source_id string, group_ix int, first_ordinal int, last_ordinal int, rep_ordinal int, start_ticks long, status string, persistence int"
 
@@ -136,19 +137,22 @@ def anchor_groups(frames: DataFrame, settings: AnchorSettings) -> DataFrame:
     ``frames`` has source_id, ordinal, ticks, width, height, px (array) and, if pixels are masked, ok (array).
     """
     ok = F.col("ok") if "ok" in frames.columns else F.lit(None).cast("array<boolean>")
+    kernels.small_batches(frames.sparkSession)
     ordered = frames.select("source_id", "ordinal", "ticks", "width", "height", "px", ok.alias("ok")).repartition("source_id").sortWithinPartitions("source_id", "ordinal")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, fold = None, None
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                if fold is None or row["source_id"] != source:
+            px, lengths = kernels.flat(batch.column("px"))
+            at, masks = kernels.begins(lengths).tolist(), batch.column("ok")
+            rows = zip(*(batch.column(c).to_pylist() for c in ("source_id", "ordinal", "ticks", "height", "width")), strict=True)
+            for k, (name, ordinal, ticks, h, w) in enumerate(rows):
+                if fold is None or name != source:
                     out += [(source, *g) for g in fold.finish()] if fold else []
-                    source, fold = row["source_id"], Fold(settings)
-                shape = (row["height"], row["width"])
-                mask = np.ones(shape, bool) if row["ok"] is None else np.array(row["ok"], bool).reshape(shape)
-                out += [(source, *g) for g in fold.feed((row["ordinal"], row["ticks"], np.array(row["px"], np.int64).reshape(shape), mask))]
+                    source, fold = name, Fold(settings)
+                mask = masks[k].values.to_numpy(zero_copy_only=False).reshape(h, w) if masks[k].is_valid else np.ones((h, w), bool)
+                out += [(source, *g) for g in fold.feed((ordinal, ticks, px[at[k] : at[k] + h * w].astype(np.int64).reshape(h, w), mask))]
             yield _batch(out)
         if fold:
             yield _batch([(source, *g) for g in fold.finish()])

@@ -1,18 +1,21 @@
 """One representative frame a segment, chosen by what its frames have in common.
 
-Tiles are exchanged once, by (source, segment, tile). A row of the working table is a chunk of at most CHUNK frames
-of one tile, so that a segment of any length is a stream of bounded rows: composites and supports are first reduced
-inside a chunk, then over a tile's chunks, and joined back to the chunks along the same partitioning.
+Tiles meet the numbers of their segments (a small table, which Spark broadcasts if it may) and are then exchanged by
+(source, segment, tile). A row of the working table is a chunk of at most CHUNK frames of one tile, so that a segment of any
+length is a stream of bounded rows: composites and supports are first reduced inside a chunk, by numpy kernels over Arrow
+batches, then over a tile's chunks, and joined back to the chunks along the same partitioning.
 """
 
 from __future__ import annotations
 
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels
 from ..settings import SpatialSettings
+from . import kernels
 
 CHUNK = 256
 TILE_KEY = ["source_id", "segment_ix", "ty", "tx"]
@@ -30,26 +33,40 @@ def _over(items: Column, combine, first: Column) -> Column:
     return F.aggregate(F.slice(items, 2, F.greatest(F.size(items), F.lit(1))), first, combine)
 
 
+_KEYS = "source_id string, segment_ix {ix}, ty int, tx int"
+
+
+def _keys(chunks: DataFrame) -> str:
+    return _KEYS.format(ix=chunks.schema["segment_ix"].dataType.simpleString())
+
+
 def composites(chunks: DataFrame) -> DataFrame:
     """Per segment and tile the brightest value of each pixel over the segment's frames, masked or not."""
-    own = _over(F.col("frames"), lambda m, f: pixels.brighter(m, f["px"]), F.get("frames", F.lit(0))["px"])
-    per_chunk = chunks.select(*TILE_KEY, own.alias("own"), F.size("frames").alias("k"))
-    return per_chunk.groupBy(*TILE_KEY).agg(F.collect_list("own").alias("parts"), F.sum("k").cast("long").alias("n_frames")).select(*TILE_KEY, "n_frames", _over(F.col("parts"), pixels.brighter, F.get("parts", F.lit(0))).alias("composite"))
 
+    def brightest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = kernels.Chunks(batch)
+        tops = [own.matrix("px", k).max(axis=0) for k in range(len(own))]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in TILE_KEY), kernels.lists(tops, pa.int16()), pa.array(own.counts.astype(np.int32))], names=[*TILE_KEY, "own", "k"])
 
-def darker(px: Column, composite: Column, ok: Column, delta: int) -> Column:
-    """Marks: pixels in sight that are darker than the composite by more than ``delta``."""
-    return pixels.both(F.zip_with(composite, px, lambda c, v: c.cast("int") - v.cast("int") > delta), ok)
+    per_chunk = kernels.mapped(chunks.select(*TILE_KEY, "frames"), f"{_keys(chunks)}, own array<smallint>, k int", brightest)
+    return per_chunk.groupBy(*TILE_KEY).agg(F.collect_list("own").alias("parts"), F.sum("k").cast("long").alias("n_frames")).select(*TILE_KEY, "n_frames", _over(F.col("parts"), pixels.brighter, F.get("parts", F.lit(0))).alias("composite"))
 
 
 def supports(chunks: DataFrame, brightest: DataFrame, settings: SpatialSettings) -> DataFrame:
     """Per segment and tile: composite, supported (marked in enough frames) and core (an edge in enough frames) pixels."""
-    joined = chunks.join(brightest, TILE_KEY)
-    zeros = F.transform("ok", lambda _: F.lit(0))
-    counter = lambda flags: F.aggregate(F.col("frames"), zeros, lambda s, f: F.zip_with(s, flags(f), lambda a, b: a + b.cast("int")))
-    marks = counter(lambda f: darker(f["px"], F.col("composite"), F.col("ok"), settings.pixel_delta))
-    edges = counter(lambda f: pixels.both(f["edge"], F.col("ok")))
-    counted = joined.select(*TILE_KEY, "composite", "n_frames", marks.alias("marks"), edges.alias("edges"))
+    delta = settings.pixel_delta
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = kernels.Chunks(batch)
+        marks, edges = [], []
+        for k, (top, ok) in enumerate(zip(own.rows("composite"), own.rows("ok"), strict=True)):
+            marks.append(((top.astype(np.int32) - own.matrix("px", k)) > delta).sum(axis=0, dtype=np.int32) * ok)
+            edges.append(own.matrix("edge", k).sum(axis=0, dtype=np.int32) * ok)
+        names = [*TILE_KEY, "composite", "n_frames"]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(kernels.lists(x, pa.int32()) for x in (marks, edges))], names=[*names, "marks", "edges"])
+
+    counted = kernels.mapped(chunks.join(brightest, TILE_KEY).select(*TILE_KEY, "composite", "n_frames", "ok", "frames"), f"{_keys(chunks)}, composite array<smallint>, n_frames long, marks array<int>, edges array<int>", count)
+    # A row a chunk and tile from here on, no longer a frame.
     summed = counted.groupBy(*TILE_KEY).agg(F.first("composite").alias("composite"), F.first("n_frames").alias("n_frames"), F.collect_list("marks").alias("marks"), F.collect_list("edges").alias("edges"))
     total = lambda name: _over(F.col(name), pixels.plus, F.get(name, F.lit(0)))
     summed = summed.select(*TILE_KEY, "composite", "n_frames", total("marks").alias("mark_counts"), total("edges").alias("edge_counts"))
@@ -60,17 +77,25 @@ def supports(chunks: DataFrame, brightest: DataFrame, settings: SpatialSettings)
 
 def tile_scores(chunks: DataFrame, supported: DataFrame, settings: SpatialSettings) -> DataFrame:
     """Per frame and tile: retained, transient and missing pixels, and whether the tile may be covered."""
-    joined = chunks.join(supported.select(*TILE_KEY, "composite", "supported", "core"), TILE_KEY).withColumn("frame", F.explode("frames"))
-    rows = joined.select(*TILE_KEY, F.col("frame.ordinal").alias("ordinal"), "ok", "supported", "core", F.col("frame.edge").alias("edge"), darker(F.col("frame.px"), F.col("composite"), F.col("ok"), settings.pixel_delta).alias("marks"))
-    count = pixels.count_true
-    lost = F.zip_with("core", pixels.both(F.col("edge"), F.col("ok")), lambda c, e: c & ~e)
-    rows = rows.select(
-        *TILE_KEY, "ordinal",
-        count(F.col("ok")).alias("valid"), count(F.col("marks")).alias("marked"), count(lost).alias("lost"),
-        count(pixels.both(F.col("marks"), F.col("supported"))).alias("retained"),
-        count(F.zip_with("marks", "supported", lambda m, s: m & ~s)).alias("transient"),
-        count(F.zip_with("supported", "marks", lambda s, m: s & ~m)).alias("missing"),
-    )
+    delta = settings.pixel_delta
+    names = ("valid", "marked", "lost", "retained", "transient", "missing")
+
+    def score(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = kernels.Chunks(batch)
+        found: list[list[np.ndarray]] = [[] for _ in names]
+        columns = (own.rows(c) for c in ("composite", "ok", "supported", "core"))
+        for k, (top, ok, held, core) in enumerate(zip(*columns, strict=True)):
+            marks = ((top.astype(np.int32) - own.matrix("px", k)) > delta) & ok
+            kept = marks & held
+            marked, retained = marks.sum(axis=1), kept.sum(axis=1)
+            lost = (core & ~(own.matrix("edge", k) & ok)).sum(axis=1)
+            for into, x in zip(found, (np.full(len(marks), ok.sum()), marked, lost, retained, marked - retained, held.sum() - retained), strict=True):
+                into.append(x)
+        again = pa.array(np.repeat(np.arange(len(own)), own.counts))
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(again) for c in TILE_KEY), pa.array(own.ordinals), *(pa.array(np.concatenate(x).astype(np.int32)) for x in found)], names=[*TILE_KEY, "ordinal", *names])
+
+    joined = chunks.join(supported.select(*TILE_KEY, "composite", "supported", "core"), TILE_KEY).select(*TILE_KEY, "ok", "frames", "composite", "supported", "core")
+    rows = kernels.mapped(joined, f"{_keys(chunks)}, ordinal int, {', '.join(f'{n} int' for n in names)}", score)
     covered = (F.col("valid") > 0) & (F.col("marked") / F.col("valid") >= settings.overlay_fraction) & (F.col("lost") >= settings.overlay_missing_edges)
     return rows.withColumn("covered", covered)
 

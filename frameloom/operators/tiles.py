@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pixels
+from . import kernels
 
 TILE_SCHEMA = "source_id string, ordinal int, ty int, tx int, px array<smallint>, edge array<boolean>, ok array<boolean>"
+#: Tiles as kernels like them: a byte a pixel, which moves between JVM, exchanges and Python in one piece.
+PACKED_SCHEMA = "source_id string, ordinal int, ty int, tx int, px binary, edge binary, ok binary"
 
 
 def valid_array(width: Column, height: Column, excluded: Column | None) -> Column:
@@ -39,8 +42,11 @@ def split_tiles(frames: DataFrame, tile: int, edge_delta: int) -> DataFrame:
     return rows.select("source_id", "ordinal", "ty", "tx", part("px"), part("edge"), part("ok"))
 
 
-def split_tiles_binary(frames: DataFrame, tile: int, edge_delta: int) -> DataFrame:
-    """The same from frames whose gray is one binary value a frame, by a numpy kernel over Arrow batches."""
+def split_tiles_binary(frames: DataFrame, tile: int, edge_delta: int, packed: bool = False) -> DataFrame:
+    """The same from frames whose gray is one binary value a frame, by a numpy kernel over Arrow batches.
+
+    If ``packed``, px, edge and ok are binary, a byte a pixel.
+    """
     masked = "excluded" in frames.columns
     columns = [F.col(c) for c in ("source_id", "ordinal", "width", "height", "gray")]
     if masked:
@@ -48,7 +54,7 @@ def split_tiles_binary(frames: DataFrame, tile: int, edge_delta: int) -> DataFra
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in batch.to_pylist():  # a frame is one binary value: no object a pixel
                 h, w = row["height"], row["width"]
                 px = np.frombuffer(row["gray"], np.uint8).reshape(h, w)
                 ok = np.ones((h, w), bool)
@@ -56,6 +62,7 @@ def split_tiles_binary(frames: DataFrame, tile: int, edge_delta: int) -> DataFra
                     ok[row["e_y"] : row["e_y"] + row["e_height"], row["e_x"] : row["e_x"] + row["e_width"]] = False
                 edge = edge_flags(px, edge_delta)
                 places = [(y, x) for y in range(0, h, tile) for x in range(0, w, tile)]
+                array = (lambda cells, _: pa.array([c.tobytes() for c in cells], pa.binary())) if packed else kernels.lists
                 cut = lambda a: [a[y : y + tile, x : x + tile].ravel() for y, x in places]  # noqa: B023, E731
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -63,13 +70,14 @@ def split_tiles_binary(frames: DataFrame, tile: int, edge_delta: int) -> DataFra
                         "ordinal": pa.array([row["ordinal"]] * len(places), pa.int32()),
                         "ty": pa.array([y // tile for y, _ in places], pa.int32()),
                         "tx": pa.array([x // tile for _, x in places], pa.int32()),
-                        "px": pa.array(cut(px.astype(np.int16)), pa.list_(pa.int16())),
-                        "edge": pa.array(cut(edge), pa.list_(pa.bool_())),
-                        "ok": pa.array(cut(ok), pa.list_(pa.bool_())),
+                        "px": array(cut(px if packed else px.astype(np.int16)), pa.int16()),
+                        "edge": array(cut(edge), pa.bool_()),
+                        "ok": array(cut(ok), pa.bool_()),
                     }
                 )
 
-    return frames.select(*columns).mapInArrow(split, TILE_SCHEMA)
+    kernels.small_batches(frames.sparkSession)
+    return frames.select(*columns).mapInArrow(split, PACKED_SCHEMA if packed else TILE_SCHEMA)
 
 
 def edge_flags(px: np.ndarray, delta: int) -> np.ndarray:

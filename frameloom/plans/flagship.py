@@ -28,8 +28,12 @@ class Analysis:
 
 
 def analyse(frames: DataFrame, sources: DataFrame, samples: DataFrame, settings: SpatialSettings) -> Analysis:
-    """frames (source_id, ordinal, width, height, px[, excluded]), sources (…, duration_ticks, tb_num, tb_den), samples (source_id, ordinal, ticks)."""
-    cut = tiles.split_tiles(frames, settings.tile, settings.edge_delta)
+    """frames (source_id, ordinal, width, height, px or gray[, excluded]), sources (…, duration_ticks, tb_num, tb_den), samples (source_id, ordinal, ticks).
+
+    px is an array, gray a binary value a frame: the form for frames of real size.
+    """
+    sizes = (settings.tile, settings.edge_delta)
+    cut = tiles.split_tiles_binary(frames, *sizes, packed=True) if "gray" in frames.columns else tiles.split_tiles(frames, *sizes)
     pairs = changes.spatial_changes(cut, settings)
     numbered = segments.segment_numbers(samples, segments.spatial_flags(pairs, settings))
     bounds = segments.segment_bounds(numbered, sources)

@@ -198,3 +198,36 @@ def test_role_segments_number_from_zero(spark):
     rows = spark.createDataFrame([("a", k, r) for k, r in enumerate("xxyyx")], "source_id string, ordinal int, role string")
     flags = rows.withColumn("is_boundary", F.col("ordinal").isin(2, 4))
     assert [r["segment_ix"] for r in segments.segment_numbers(rows, flags).orderBy("ordinal").collect()] == [0, 0, 1, 1, 2]
+
+
+def test_kernels_equal_the_jvm_forms(spark):
+    """Masked and unmasked frames, sizes that leave partial tiles, ties between tiles, tiles without a pixel in sight."""
+    import random
+
+    rnd = random.Random(17)
+    rows = []
+    for source, (h, w) in (("a", (7, 9)), ("b", (4, 4)), ("c", (1, 5))):
+        for k in range(6):
+            rows.append((source, k, w, h, [rnd.choice([0, 0, 90, 200]) for _ in range(h * w)], None if source == "b" else (0, 0, 4, 4)))
+    frames = spark.createDataFrame(rows, "source_id string, ordinal int, width int, height int, px array<smallint>, excluded struct<x int, y int, width int, height int>")
+    cut = tiles.split_tiles(frames, 3, 25)
+    assert sorted(map(repr, changes.tile_changes(cut, 60).collect())) == sorted(map(repr, changes.tile_changes_in_jvm(cut, 60).collect()))
+    whole = frames.select("source_id", "ordinal", "width", "height", "px", tiles.valid_array(F.col("width"), F.col("height"), F.col("excluded")).alias("ok"))
+    other = whole.select("source_id", (F.col("ordinal") + 1).alias("ordinal"), F.col("px").alias("other"))
+    pairs = whole.join(other, ["source_id", "ordinal"])
+    for tile, stride in ((3, 2), (20, 10), (2, 1)):
+        anchor_settings = AnchorSettings(tile=tile, stride=stride)
+        assert sorted(map(repr, changes.local_changes(pairs, anchor_settings).collect())) == sorted(map(repr, changes.local_changes_in_jvm(pairs, anchor_settings).collect()))
+
+
+def test_packed_tiles_give_the_same_analysis(spark):
+    """Frames as one binary value each, against the same frames as arrays: pairs, representatives and diagnostics."""
+    rows = movie(5, 30) + movie(6, 9, excluded=(1, 1, 3, 3), source="b")
+    frames = spark.createDataFrame(rows, SCHEMA)
+    samples = frames.select("source_id", "ordinal", F.col("pts").alias("ticks"))
+    sources = samples.groupBy("source_id").agg((F.max("ticks") + 5).alias("duration_ticks"), F.lit(1).cast("long").alias("tb_num"), F.lit(1000).cast("long").alias("tb_den"))
+    gray = spark.createDataFrame([(r[0], r[1], r[3], r[4], bytes(r[5]), r[6]) for r in rows], "source_id string, ordinal int, width int, height int, gray binary, excluded struct<x:int,y:int,width:int,height:int>")
+    a, b = (flagship.analyse(f, sources, samples, SETTINGS) for f in (frames.drop("pts"), gray))
+    assert dict(b.tiles.dtypes)["px"] == "binary"
+    for part in ("pairs", "reps", "bounds"):
+        assert sorted(map(repr, getattr(a, part).collect())) == sorted(map(repr, getattr(b, part).collect()))
