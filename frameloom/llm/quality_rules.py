@@ -31,8 +31,8 @@ THRESHOLD = -0.1
 SMOOTHING = 5.0
 #: The window of the repetition rule.
 REPEAT_WINDOW = 8
-#: Words of 32 bits in the filter of identifiers: 4 MB are broadcast, whatever the number of labels.
-FILTER_WORDS = 1 << 20
+#: Words of 64 bits in the filter of identifiers: so many rows are broadcast at most, some 16 MB, whatever the number of labels.
+FILTER_WORDS = 1 << 17
 
 _SYMBOLS = [ord(c) for c in "#*$%&|<>"]
 _SPACES = [9, 10, 11, 12, 13, 32]
@@ -101,12 +101,12 @@ def perhaps(docs: DataFrame, id_col: str, ids: DataFrame, mark: str, words: int
     """
 
     def place(column: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(32 * words))
+        return F.pmod(F.xxhash64(column), F.lit(64 * words))
 
-    bits = ids.select(place(ids.columns[0]).alias("place")).select((F.col("place") / 32).cast("int").alias("word"), F.expr("shiftleft(1, CAST(place % 32 AS INT))").alias("bit"))
+    bits = ids.select(place(ids.columns[0]).alias("place")).select((F.col("place") / 64).cast("int").alias("word"), F.expr("shiftleft(1L, CAST(place % 64 AS INT))").alias("bit"))
     table = bits.groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    own = F.expr(f"shiftleft(1, CAST(pmod(xxhash64(`{id_col}`), {32 * words}) % 32 AS INT))")
-    joined = docs.join(F.broadcast(table), (place(id_col) / 32).cast("int") == F.col("word"), "left")
+    own = F.expr(f"shiftleft(1L, CAST(pmod(xxhash64(`{id_col}`), {64 * words}) % 64 AS INT))")
+    joined = docs.join(F.broadcast(table), (place(id_col) / 64).cast("int") == F.col("word"), "left")
     return joined.withColumn(mark, F.coalesce(F.col("bits").bitwiseAND(own) != 0, F.lit(False))).drop("word", "bits")
 
 
