@@ -1,28 +1,34 @@
 """All-or-nothing publication of a run's tables.
 
-Tables are written below ``<root>/run_id=<id>/``; one manifest file with their counts and digests, written last, makes
-them visible. Readers go by the manifest, so a run that broke off is not there, and can be written again.
+Each attempt writes its tables to a folder of its own. A manifest with their places, counts and digests, written beside and
+renamed last, makes them visible, all at once. Readers go by the latest manifest of a run, so an attempt that broke off is
+not there, and overwriting a run leaves the old one whole until the new one is.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-MANIFEST = "run_id string, name string, n_rows long, digest string, status string"
+MANIFEST = "run_id string, name string, n_rows long, digest string, status string, path string, attempt long"
 
 
 class RunExists(ValueError):
     pass
 
 
+def measures(columns: list[str]) -> list[Column]:
+    """Sums that do not depend on the rows' order or partitions: their number and two row hashes."""
+    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(columns))), {"ignoreNullFields": "false"})
+    return [F.count(F.lit(1)).alias("n"), *(F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(38,0)")).cast("string").alias(f"h{seed}") for seed in (1, 2))]
+
+
 def digest(df: DataFrame) -> tuple[int, str]:
-    """How many rows, and a digest that does not depend on their order or partitions (a sum of two row hashes)."""
-    row = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    wide = lambda seed: F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(38,0)")).cast("string")
-    n, a, b = df.select(F.count("*"), wide(1), wide(2)).first()
+    """How many rows, and a digest of them."""
+    n, a, b = df.select(*measures(df.columns)).first()
     return n, f"{a}:{b}"
 
 
@@ -30,13 +36,19 @@ class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
+    def _files(self, name: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def runs(self) -> DataFrame:
-        """The manifest rows of published runs."""
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        """The manifest rows of published runs: of each run those of its last attempt."""
+        at, store = self._files("manifest/*/attempt-*")
+        names = [x.getPath().toString() for x in store.globStatus(at) or ()]
+        if not names:
             return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).json(f"{self.root}/manifest/*")
+        rows = self.spark.read.schema(MANIFEST).json(names)
+        last = rows.groupBy("run_id").agg(F.max("attempt").alias("attempt"))
+        return rows.join(last, ["run_id", "attempt"]).select(rows.columns)
 
     def is_published(self, run_id: str) -> bool:
         return bool(self.runs().where(F.col("run_id") == run_id).limit(1).count())
@@ -44,30 +56,38 @@ class Store:
     def publish(self, run_id: str, tables: dict[str, DataFrame], overwrite: bool = False, guards: dict[str, DataFrame] | None = None) -> str:
         """Writes all tables, then the manifest. Guards are DataFrames that must be empty. Returns the status.
 
-        A digest that differs after writing leaves the run published, and says ``published_unverified``.
+        Digests of the rows on their way to the files and of what the files hold are compared; where they differ, the run is
+        published nevertheless, and says ``published_unverified``.
         """
         if self.is_published(run_id) and not overwrite:
             raise RunExists(run_id)
         broken = [name for name, rows in (guards or {}).items() if rows.limit(1).count()]
         if broken:
             raise ValueError(f"guards not met: {', '.join(broken)}")
-        entries = []
+        lines, same = [], True
+        last = self.runs().where(F.col("run_id") == run_id).agg(F.max("attempt")).first()[0]
+        attempt, folder = (last or 0) + 1, f"{self.root}/run_id={run_id}/{uuid.uuid4().hex}"
         for name, df in tables.items():
-            path = f"{self.root}/run_id={run_id}/{name}"
-            df.write.mode("overwrite").parquet(path)
-            entries.append((run_id, name, path))
-        facts = [(r, name, *digest(self.spark.read.parquet(path))) for r, name, path in entries]
-        again = [digest(self.spark.read.parquet(path)) for _, _, path in entries]
-        status = "published" if [f[2:] for f in facts] == again else "published_unverified"
-        lines = [(json.dumps({"run_id": r, "name": n, "n_rows": k, "digest": d, "status": status}),) for r, n, k, d in facts]
-        self.spark.createDataFrame(lines, "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/manifest/{run_id}")
+            path, seen = f"{folder}/{name}", Observation()
+            df.observe(seen, *measures(df.columns)).write.parquet(path)  # what was to be written is summed up on its way
+            n, told = digest(self.spark.read.parquet(path))
+            same = same and (n, told) == (seen.get["n"], f"{seen.get['h1']}:{seen.get['h2']}")
+            lines.append({"run_id": run_id, "name": name, "n_rows": n, "digest": told, "path": path, "attempt": attempt})
+        status = "published" if same else "published_unverified"
+        draft, at = (self._files(x)[0] for x in (f"draft/{uuid.uuid4().hex}", f"manifest/{run_id}/attempt-{attempt:06d}"))
+        self.spark.createDataFrame([(json.dumps(x | {"status": status}),) for x in lines], "value string").coalesce(1).write.text(draft.toString())
+        _, store = self._files("manifest")
+        store.mkdirs(at.getParent())
+        if store.exists(at) or not store.rename(draft, at):
+            raise RunExists(f"{run_id}: another writer has published attempt {attempt}")
         return status
 
     def read(self, run_id: str, name: str) -> DataFrame:
         """A table of a published run; a run without a manifest has none."""
-        if not self.runs().where((F.col("run_id") == run_id) & (F.col("name") == name)).limit(1).count():
+        found = self.runs().where((F.col("run_id") == run_id) & (F.col("name") == name)).select("path").first()
+        if found is None:
             raise ValueError(f"run {run_id} has no published table {name}")
-        return self.spark.read.parquet(f"{self.root}/run_id={run_id}/{name}")
+        return self.spark.read.parquet(found["path"])
 
 
 def page_frames(pages: DataFrame, frames: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,13 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: as the cluster says in ``spark.checkpoint.dir``, else our own."""
+    """The folder that driver and executors share: as the cluster says in ``spark.checkpoint.dir``; a local session's own else."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return (named or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="spark-")
 
 
 def staged(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir", "") and not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

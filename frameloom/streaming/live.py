@@ -40,20 +40,33 @@ def _keyed(stream: DataFrame, fold, schema: str) -> DataFrame:
     return stream.groupBy("source_id").applyInPandasWithState(fold, schema, "blob binary", "append", "NoTimeout")
 
 
-def spatial_hit(a: np.ndarray, b: np.ndarray, settings: SpatialSettings) -> bool:
-    """Whether two frames (in sight throughout) lie on different sides of a boundary."""
-    moved = np.abs(a.astype(np.int16) - b.astype(np.int16)) > settings.pixel_delta
-    if moved.mean() < settings.changed_fraction:
+def sight(row: dict, shape: tuple[int, int]) -> np.ndarray:
+    """True but for the pixels inside the row's ``excluded`` rectangle, if it has one."""
+    ok = np.ones(shape, bool)
+    out = row.get("excluded")
+    if out is not None:
+        y, x = out["y"], out["x"]
+        ok[y : y + out["height"], x : x + out["width"]] = False
+    return ok
+
+
+def spatial_hit(a: np.ndarray, b: np.ndarray, settings: SpatialSettings, ok: np.ndarray | None = None) -> bool:
+    """Whether two frames lie on different sides of a boundary; only pixels in sight, and tiles that have one, count."""
+    ok = np.ones(a.shape, bool) if ok is None else ok
+    moved = (np.abs(a.astype(np.int16) - b.astype(np.int16)) > settings.pixel_delta) & ok
+    if not ok.any() or moved.sum() / ok.sum() < settings.changed_fraction:
         return False
     size = settings.tile
-    shares = [moved[y : y + size, x : x + size].mean() for y in range(0, a.shape[0], size) for x in range(0, a.shape[1], size)]
+    cells = [(moved[y : y + size, x : x + size].sum(), ok[y : y + size, x : x + size].sum()) for y in range(0, a.shape[0], size) for x in range(0, a.shape[1], size)]
+    shares = [m / n for m, n in cells if n]
     return sum(s >= settings.cell_changed_fraction for s in shares) / len(shares) >= settings.cell_fraction
 
 
 def live_segments(stream: DataFrame, settings: SpatialSettings) -> DataFrame:
     """Closed segments (row = segment) and rejects (row = reject) of a stream of frames.
 
-    ``stream``: source_id, ordinal, pts, width, height, px (array), is_end. An end row carries the end of the source as pts.
+    ``stream``: source_id, ordinal, pts, width, height, px (array), is_end and, if pixels are masked, excluded. An end row
+    carries the end of the source as pts.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -71,7 +84,7 @@ def live_segments(stream: DataFrame, settings: SpatialSettings) -> DataFrame:
             px = np.asarray(row["px"], np.int16).reshape(row["height"], row["width"])
             if now is None:
                 now = {"origin": row["pts"], "segment_ix": 0, "first": row["ordinal"], "start": 0, "ended": False}
-            elif spatial_hit(px, now["px"], settings):
+            elif spatial_hit(px, now["px"], settings, sight(row, px.shape)):
                 ticks = row["pts"] - now["origin"]
                 out.append(_segment(key[0], now, ticks))
                 now |= {"segment_ix": now["segment_ix"] + 1, "first": row["ordinal"], "start": ticks}
@@ -142,19 +155,25 @@ def live_edits(stream: DataFrame) -> DataFrame:
     """A log of resolved edits on a stream, the page list in the state; rows of kind ``load`` bring the first pages.
 
     ``stream``: source_id, seq, kind, page_ids, to_ordinal, to_ticks, to_segment_ix, new_id. Puts out what each edit did.
+    An edit that does not come after its source's last one, or pages that come after an edit, are rejected as ``OutOfOrder``.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        pages = json.loads(state.get[0]) if state.exists else []
+        now = json.loads(state.get[0]) if state.exists else {"pages": [], "seq": None}
+        pages, last = now["pages"], now["seq"]
         out = []
         for row in _rows(frames, ["seq", "to_ticks"]):
             edit = row | {c: None if pd.isna(row[c]) else int(row[c]) for c in ("to_ordinal", "to_ticks", "to_segment_ix")} | {"page_ids": None if row["page_ids"] is None else list(row["page_ids"])}
+            if last is not None and edit["seq"] <= last:
+                out.append({"source_id": key[0], "seq": edit["seq"], "status": "rejected", "code": "OutOfOrder", "focus": None, "n_pages": len(pages)})
+                continue
             if edit["kind"] == "load":
                 pages = sorted([*pages, {"page_id": edit["new_id"], "rep_ordinal": edit["to_ordinal"], "ticks": edit["to_ticks"]}], key=lambda p: p["ticks"])
                 continue
+            last = int(edit["seq"])
             pages, status, code, focus = apply_edit(pages, edit)
             out.append({"source_id": key[0], "seq": edit["seq"], "status": status, "code": code, "focus": focus, "n_pages": len(pages)})
-        state.update((json.dumps(pages).encode(),))
+        state.update((json.dumps({"pages": pages, "seq": last}).encode(),))
         yield from _frame(out, OUTCOMES)
 
     return _keyed(stream, fold, OUTCOMES)

@@ -138,3 +138,62 @@ def test_a_run_is_visible_only_with_its_manifest(spark, tmp_path):
     assert store.publish("r1", {"t": rows.limit(1)}, overwrite=True) == "published"
     assert store.read("r1", "t").count() == 1 and store.runs().count() == 1
     assert publish.digest(rows) == publish.digest(rows.repartition(3).select("v", "k"))
+
+
+def test_an_overwrite_that_breaks_off_leaves_the_old_run(spark, tmp_path, monkeypatch):
+    store = publish.Store(spark, str(tmp_path / "runs"))
+    rows = spark.range(20).withColumn("v", F.col("id") * 2)
+    assert store.publish("r", {"a": rows, "b": rows}) == "published"
+    broken = rows.withColumn("v", F.when(F.col("id") == 19, F.raise_error(F.lit("lost"))).otherwise(F.col("v")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        store.publish("r", {"a": rows.limit(3), "b": broken}, overwrite=True)
+    assert store.read("r", "a").count() == store.read("r", "b").count() == 20
+    assert store.publish("r", {"a": rows.limit(3)}, overwrite=True) == "published"
+    assert store.read("r", "a").count() == 3
+    with pytest.raises(ValueError, match="no published"):
+        store.read("r", "b")
+    assert store.runs().count() == 1
+
+
+def test_rows_that_change_on_their_way_are_seen(spark, tmp_path, monkeypatch):
+    """The digest of the source's rows is held against the files', not the files' against themselves."""
+    store = publish.Store(spark, str(tmp_path / "runs"))
+    real = publish.digest
+    monkeypatch.setattr(publish, "digest", lambda df: real(df.where("id <> 3")))
+    assert store.publish("r", {"a": spark.range(9)}) == "published_unverified"
+
+
+def test_masked_sources_are_cut_alike_live_and_in_batch(spark):
+    from frameloom.plans import flagship
+    from frameloom.settings import SpatialSettings
+    from frameloom.streaming import live, runs
+
+    from .test_detectors import SCHEMA, movie
+
+    settings = SpatialSettings(pixel_delta=20, edge_delta=25, tile=3, cell_changed_fraction=0.5, changed_fraction=0.25, cell_fraction=0.25, overlay_missing_edges=1)
+    rows = movie(8, 24, excluded=(0, 0, 5, 5)) + movie(8, 24, source="b")
+    # Two more sources change in five rows at every frame; these rows are masked in one of them.
+    for name, mask in (("c", (0, 0, 8, 5)), ("d", None)):
+        rows += [(name, k, 100 * k, 8, 7, [240 * (k % 2)] * 40 + [10] * 16, mask) for k in range(24)]
+    frames = spark.createDataFrame(rows, SCHEMA)
+    samples = frames.select("source_id", "ordinal", F.col("pts").alias("ticks"))
+    sources = samples.groupBy("source_id").agg((F.max("ticks") + 5).alias("duration_ticks"), F.lit(1).cast("long").alias("tb_num"), F.lit(1000).cast("long").alias("tb_den"))
+    batch = flagship.analyse(frames.drop("pts"), sources, samples, settings).numbered.groupBy("source_id").agg(F.max("segment_ix").alias("n"))
+    path = runs.stage_in_turns(frames.withColumn("is_end", F.lit(False)), ["ordinal < 9", "ordinal >= 9"])
+    live_rows = runs.run(live.live_segments(runs.read_in_turns(spark, path), settings), path)
+    closed = live_rows.where("row = 'segment'").groupBy("source_id").count()
+    want = {r["source_id"]: r["n"] for r in batch.collect()}
+    got = {r["source_id"]: r["count"] for r in closed.collect()}
+    assert {k: got.get(k, 0) for k in want} == want
+    assert (want["c"], want["d"]) == (0, 23)
+
+
+def test_repeated_edits_are_rejected(spark):
+    from frameloom.streaming import live, runs
+
+    schema = "source_id string, seq long, kind string, page_ids array<string>, to_ordinal int, to_ticks long, to_segment_ix int, new_id string"
+    rows = [("a", 0, "load", None, 1, 10, 0, "p1"), ("a", 0, "load", None, 5, 50, 1, "p2"), ("a", 3, "delete", ["p1"], None, None, None, None), ("a", 2, "delete", ["p2"], None, None, None, None), ("a", 4, "delete", ["p1"], None, None, None, None)]
+    log = spark.createDataFrame([(*r, t) for r, t in zip(rows, (0, 0, 1, 2, 3), strict=True)] + [(*rows[2], 2)], schema + ", turn int")
+    path = runs.stage_in_turns(log, [f"turn = {k}" for k in range(4)])
+    got = [tuple(r) for r in runs.run(live.live_edits(runs.read_in_turns(spark, path)), path).select("seq", "status", "code", "n_pages").collect()]
+    assert sorted(got, key=repr) == sorted([(3, "changed", None, 1), (2, "rejected", "OutOfOrder", 1), (3, "rejected", "OutOfOrder", 1), (4, "rejected", "UnknownPage", 1)], key=repr)
