@@ -19,6 +19,9 @@ from ..settings import AnchorSettings
 from . import kernels
 
 GROUP_SCHEMA = "source_id string, group_ix int, first_ordinal int, last_ordinal int, rep_ordinal int, start_ticks long, status string, persistence int"
+_SCORES = "struct<global_mad:double,max_tile_mad:double,changed_fraction:double>"
+#: What opened a group: the differences from the frame before, and from the anchor of the group before.
+SCORED_SCHEMA = f"{GROUP_SCHEMA}, adjacent {_SCORES}, anchor {_SCORES}"
 
 
 @dataclass(frozen=True)
@@ -31,6 +34,9 @@ class Metrics:
     max_sum: int
     max_count: int
 
+    def scores(self) -> dict[str, float]:
+        return {"global_mad": self.global_sum / (255 * max(1, self.valid)), "max_tile_mad": self.max_sum / (255 * max(1, self.max_count)), "changed_fraction": self.changed / max(1, self.valid)}
+
     def hit(self, s: AnchorSettings) -> bool:
         if self.changed < s.changed_fraction * self.valid:
             return False
@@ -64,7 +70,7 @@ def compare(a: np.ndarray, b: np.ndarray, ok: np.ndarray, s: AnchorSettings) ->
 
 @dataclass
 class Fold:
-    """State of one source: feed() takes frames in order, finish() ends it. Both return the groups that are closed."""
+    """State of one source: feed() takes frames in order, finish() ends it. Both return the groups that are closed, with scores if ``scored``."""
 
     settings: AnchorSettings
     anchor: tuple | None = None
@@ -76,6 +82,8 @@ class Fold:
     stable: int = 0
     groups: int = 0
     opened_by: tuple = (None, None)
+    scores: tuple = (None, None)
+    scored: bool = False
     closed: list = field(default_factory=list)
 
     def _hit(self, a: tuple, b: tuple) -> bool:
@@ -120,19 +128,21 @@ class Fold:
     def _commit(self, frame: tuple, status: str, persistence: int) -> None:
         self._close(self.previous[0])
         self.groups += 1
+        if self.scored:
+            self.scores = tuple(compare(x[2], frame[2], x[3] & frame[3], self.settings).scores() for x in (self.previous, self.anchor))
         self.anchor, self.first, self.stable = frame, frame[0], frame[0]
         self.start_ticks, self.opened_by = frame[1], (status, persistence)
 
     def _close(self, last: int) -> None:
-        self.closed.append((self.groups, self.first, last, max(self.first, self.stable), self.start_ticks, *self.opened_by))
+        self.closed.append((self.groups, self.first, last, max(self.first, self.stable), self.start_ticks, *self.opened_by, *(self.scores if self.scored else ())))
 
     def _out(self) -> list:
         done, self.closed = self.closed, []
         return done
 
 
-def anchor_groups(frames: DataFrame, settings: AnchorSettings) -> DataFrame:
-    """Closed groups of each source: first, last and representative frame, where they start, and what opened them.
+def anchor_groups(frames: DataFrame, settings: AnchorSettings, scored: bool = False) -> DataFrame:
+    """Closed groups of each source: first, last and representative frame, where they start, and what opened them (``scored``: by how much).
 
     ``frames`` has source_id, ordinal, ticks, width, height, px (array) and, if pixels are masked, ok (array).
     """
@@ -150,18 +160,19 @@ def anchor_groups(frames: DataFrame, settings: AnchorSettings) -> DataFrame:
             for k, (name, ordinal, ticks, h, w) in enumerate(rows):
                 if fold is None or name != source:
                     out += [(source, *g) for g in fold.finish()] if fold else []
-                    source, fold = name, Fold(settings)
+                    source, fold = name, Fold(settings, scored=scored)
                 mask = masks[k].values.to_numpy(zero_copy_only=False).reshape(h, w) if masks[k].is_valid else np.ones((h, w), bool)
                 out += [(source, *g) for g in fold.feed((ordinal, ticks, px[at[k] : at[k] + h * w].astype(np.int64).reshape(h, w), mask))]
-            yield _batch(out)
+            yield _batch(out, scored)
         if fold:
-            yield _batch([(source, *g) for g in fold.finish()])
+            yield _batch([(source, *g) for g in fold.finish()], scored)
 
-    return ordered.mapInArrow(walk, GROUP_SCHEMA)
+    return ordered.mapInArrow(walk, SCORED_SCHEMA if scored else GROUP_SCHEMA)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), *[pa.int32()] * 4, pa.int64(), pa.string(), pa.int32()]
-    names = [f.split()[0] for f in GROUP_SCHEMA.split(", ")]
+def _batch(rows: list[tuple], scored: bool) -> pa.RecordBatch:
+    scores = pa.struct([(n, pa.float64()) for n in ("global_mad", "max_tile_mad", "changed_fraction")])
+    kinds = [pa.string(), *[pa.int32()] * 4, pa.int64(), pa.string(), pa.int32(), *[scores] * (2 * scored)]
+    names = [f.split()[0] for f in GROUP_SCHEMA.split(", ")] + ["adjacent", "anchor"] * scored
     columns = list(zip(*rows, strict=True)) or [()] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..functions import pixels, tables
-from ..operators import segments, tiles, validate
+from ..operators import anchor, segments, tiles, validate
 from ..sources import frames as frame_source
 from ..sources import timelines as documents
-from . import flagship, frame_queries, publish, timelines
+from . import detector_queries, flagship, frame_queries, publish, timelines
 from .staging import shared_folder, staged
 
 
@@ -73,16 +73,8 @@ def s06_simple_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.simple_documents(frame_queries.w05_navigation(spark, sf_dir))
 
 
-def detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = fx.frames(spark, sf_dir)
-    sources = staged(fx.frame_sources(frames))
-    samples = staged(fx.timed_samples(frames, sources))
-    run = flagship.analyse(frames, sources, samples, fx.SMALL)
-    run = flagship.Analysis(**{n: staged(getattr(run, n)) if n in ("pairs", "numbered", "reps") else getattr(run, n) for n in run.__dataclass_fields__})
-    bounds = staged(segments.segment_bounds(run.numbered, sources))
-    closed = bounds.join(run.reps.select("source_id", "segment_ix", "rep_ordinal"), ["source_id", "segment_ix"])
-    pages = segments.pages_of_segments(closed).join(samples.select("source_id", F.col("ordinal").alias("rep_ordinal"), "ticks"), ["source_id", "rep_ordinal"])
-    run = flagship.Analysis(run.tiles, run.pairs, run.numbered, segments.boundaries(run.numbered, run.pairs), bounds, run.chunks, run.reps, closed, pages, segments.navigation(pages, sources))
+def _described(sources: DataFrame, **more) -> DataFrame:
+    """A description of each source, as a probe and an editor would give it."""
     long = lambda v: F.lit(v).cast("long")
     hash_ = F.sha2("source_id", 256)
     rect = F.struct(long(0).alias("x"), long(0).alias("y"), long(64).alias("width"), long(48).alias("height"))
@@ -93,20 +85,72 @@ def detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
     artifact = F.struct(
         F.lit("00000000-0000-4000-8000-000000000000").alias("export_id"), long(0).alias("project_revision"), F.lit("2024-01-01T00:00:00Z").alias("created_at"), F.lit("1").alias("generator_version"), F.concat("source_id", F.lit(".slides.pdf")).alias("pdf_basename"), hash_.alias("pdf_sha256")
     )
-    described = sources.select("source_id", source.alias("source"), rect.alias("roi"), artifact.alias("artifact"), F.lit(64).alias("cache_w"), F.lit(48).alias("cache_h"))
+    return sources.select("source_id", source.alias("source"), rect.alias("roi"), artifact.alias("artifact"), F.lit(64).alias("cache_w"), F.lit(48).alias("cache_h"), *(c.alias(n) for n, c in more.items()))
+
+
+def _spatial_run(frames: DataFrame, sources: DataFrame, samples: DataFrame) -> timelines.Findings:
+    run = flagship.analyse(frames, sources, samples, fx.SMALL)
+    pairs, numbered, reps = staged(run.pairs), staged(run.numbered), staged(run.reps)
+    bounds = staged(segments.segment_bounds(numbered, sources))
+    closed = bounds.join(reps.select("source_id", "segment_ix", "rep_ordinal"), ["source_id", "segment_ix"])
+    pages = segments.pages_of_segments(closed).join(samples.select("source_id", F.col("ordinal").alias("rep_ordinal"), "ticks"), ["source_id", "rep_ordinal"])
+    return timelines.Findings(segments.boundaries(numbered, pairs), closed, pages, segments.navigation(pages, sources))
+
+
+def detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spatial documents of all frames (version 6)."""
+    frames = fx.frames(spark, sf_dir)
+    sources = staged(fx.frame_sources(frames))
+    samples = staged(fx.timed_samples(frames, sources))
+    return staged(timelines.detailed_documents(_spatial_run(frames, sources, samples), samples, sources, _described(sources), fx.SMALL))
+
+
+def half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spatial documents of every second frame, with all samples in the index (version 7); two of three sources have a mask."""
+    frames = fx.frames(spark, sf_dir)
+    sources = staged(fx.frame_sources(frames))
+    samples = staged(fx.timed_samples(frames, sources))
+    run = _spatial_run(frames.where("ordinal % 2 = 0"), sources, samples.where("ordinal % 2 = 0"))
+    long = lambda v: F.lit(v).cast("long")
+    mask = F.when(F.col("source_id").cast("int") % 3 != 0, F.struct(long(32).alias("x"), long(0).alias("y"), long(32).alias("width"), long(48).alias("height")))
+    described = _described(sources, mask=mask, policy=F.lit("half"), index_complete=F.lit(True))
     return staged(timelines.detailed_documents(run, samples, sources, described, fx.SMALL))
 
 
-def s07_detailed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Detailed documents, read back strictly: sizes and ends of what they hold, and the rules they break (none)."""
-    good, _ = documents.parse(detailed(spark, sf_dir))
+def anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the anchor detector: of all samples (version 4), or, for odd sources, of a half index without the others (version 6)."""
+    frames = fx.frames(spark, sf_dir)
+    sources = staged(fx.frame_sources(frames))
+    samples = staged(fx.timed_samples(frames, sources))
+    groups = staged(anchor.anchor_groups(frames.join(samples.select("source_id", "ordinal", "ticks"), ["source_id", "ordinal"]), fx.SMALL_ANCHOR, scored=True))
+    described = _described(sources, policy=F.when(F.col("source_id").cast("int") % 2 == 0, "all").otherwise("half"))
+    return staged(timelines.detailed_documents(timelines.anchor_findings(groups, samples, sources), samples, sources, described, fx.SMALL_ANCHOR))
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """Documents read back strictly: sizes and ends of what they hold, and the rules they break."""
+    good, _ = documents.parse(rows)
     told = validate.violations(good)
     return told.select(
         "source_id", F.col("d.schema_version").alias("version"), *(F.size(f"d.{c}").cast("long").alias(n) for c, n in (("samples", "n_samples"), ("detected_boundaries", "n_boundaries"), ("detected_segments", "n_segments"), ("pages", "n_pages"))),
-        F.element_at("d.navigation_ranges", -1)["end_s"].alias("end_s"), F.array_join(F.transform("d.pages", lambda p: p["representative_sample_id"]), ",").alias("representatives"), F.array_join("broken", ",").alias("broken"),
+        F.element_at("d.navigation_ranges", -1)["end_s"].alias("end_s"), F.array_join(F.transform("d.pages", lambda p: p["representative_sample_id"]), ",").alias("representatives"), F.array_join("broken", ",").alias("broken"), "d",
     )
 
 
+def s07_detailed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(detailed(spark, sf_dir)).drop("d")
+
+
+def s07_half_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _told(half(spark, sf_dir))
+    return told.select("*", F.size(F.filter("d.samples", lambda x: x["is_analysis_observation"])).cast("long").alias("n_observed"), F.size("d.ignore_masks").cast("long").alias("n_masks")).drop("d")
+
+
+def s07_anchor_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _told(anchored(spark, sf_dir))
+    return told.select("*", F.size(F.filter("d.detected_boundaries", lambda x: x["status"] == "confirmed")).cast("long").alias("n_confirmed")).drop("d")
+
+
 #: One change of a document's text for each rule, and what must be said of it.
 MUTATIONS = {
     "duplicate": (r'^\{"schema_version":6', '{"schema_version":6,"schema_version":6', "json: duplicate field"),
@@ -126,20 +170,56 @@ MUTATIONS = {
     "page": (r'"pdf_page":1,', '"pdf_page":2,', "V8.pages"),
     "navigation": (r'"is_slide_boundary":false', '"is_slide_boundary":true', "V8.navigation"),
     "artifact": (r'"created_at":"2024', '"created_at":"24', "V8.artifact"),
+    "version 4": (r'^\{"schema_version":6(.*),"selection_policy":"all"', '{"schema_version":4$1', "detector: fields"),
+    "version 5": (r'^\{"schema_version":6(.*),"selection_policy":"all"', '{"schema_version":5$1', ""),
+    "version 7": (r'"schema_version":6', '"schema_version":7', "sampling: fields"),
 }
 
 
-def v01_document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document, unchanged and with one fault each: what the strict reader or the rules say."""
-    base = detailed(spark, sf_dir)
+#: The same for half and for anchor documents.
+HALF_MUTATIONS = {
+    "policy": (r'"selection_policy":"half"', '"selection_policy":"third"', "V5.observation,V6.boundaries,V7.segments"),
+    "all observed": (r'"selection_policy":"half"', '"selection_policy":"all"', "V5.observation,V6.boundaries,V7.segments"),
+    "not observed": (r'"is_analysis_observation":true', '"is_analysis_observation":false', "V5.observation"),
+    "input": (r'"input_policy":"half"', '"input_policy":"all"', "V5.observation"),
+    "no flag": (r'"keyframe_index_complete":true', '"keyframe_index_complete":1', "keyframe_index_complete: type"),
+    "version 6": (r'"schema_version":7', '"schema_version":6', "sampling: fields"),
+    "version 8": (r'"schema_version":7', '"schema_version":8', "schema_version: unknown"),
+    "index": (r'"keyframe_index_complete":true', '"keyframe_index_complete":false', "V5.observation,V6.boundaries,V7.segments"),
+}
+ANCHOR_MUTATIONS = {
+    "algorithm": (r'"algorithm":"masked-anchor-tile-v1"', '"algorithm":"other"', "V5.observation"),
+    "debounce": (r'"debounce_samples":2', '"debounce_samples":3', "V5.observation"),
+    "share": (r'"min_tile_valid_fraction":0.5', '"min_tile_valid_fraction":0.25', "V5.observation"),
+    "stride": (r'"tile_stride":[0-9]+', '"tile_stride":0', "V5.observation"),
+    "threshold": (r'"global_mad":[0-9.]+,"tile_mad"', '"global_mad":1.5,"tile_mad"', "V5.observation"),
+    "flag": (r'"keep_unconfirmed":true', '"keep_unconfirmed":1', "keep_unconfirmed: type"),
+    "spatial": (r'"debounce_samples":2', '"debounce_samples":2,"input_policy":"all"', "detector: fields"),
+}
+
+
+def _mutated(base: DataFrame, mutations: dict) -> DataFrame:
+    """(source_id, mutation, said): every document, unchanged and with one fault each: what the strict reader or the rules say."""
     first = lambda find, put: F.expr(f"regexp_replace(document, {_quoted(find)}, {_quoted(put)})")
-    changes = [F.struct(F.lit("none").alias("fault"), F.col("document").alias("text"))] + [F.struct(F.lit(n).alias("fault"), first(f, p).alias("text")) for n, (f, p, _) in MUTATIONS.items()]
+    changes = [F.struct(F.lit("none").alias("fault"), F.col("document").alias("text"))] + [F.struct(F.lit(n).alias("fault"), first(f, p).alias("text")) for n, (f, p, _) in mutations.items()]
     rows = base.select("source_id", F.explode(F.array(*changes)).alias("m")).select("source_id", F.col("m.fault").alias("mutation"), F.col("m.text").alias("document"))
     good, bad = documents.parse(rows)
     said = validate.violations(good).select("source_id", "mutation", F.array_join("broken", ",").alias("said"))
     return said.unionByName(bad.select("source_id", "mutation", F.col("fault").alias("said")))
 
 
+def v01_document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mutated(detailed(spark, sf_dir), MUTATIONS)
+
+
+def v01_half_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mutated(half(spark, sf_dir), HALF_MUTATIONS)
+
+
+def v01_anchor_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mutated(anchored(spark, sf_dir), ANCHOR_MUTATIONS)
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -162,9 +242,18 @@ def s09_publish_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("r1", "pages").withColumn("run_id", F.lit("r1")).join(manifest, "run_id").select("source_id", "page_id", "ticks", "run_id", "n_rows", "status")
 
 
-QUERIES = {f.__name__: f for f in (s03_frame_check, p10_binary_tiles, p09_prepare_frames, p17_crop, u01_sql_pixels, u03_frame_tiles, s06_simple_documents, s07_detailed_documents, v01_document_rules, s08_page_frames, s09_publish_run)}
+QUERIES = {f.__name__: f for f in (s03_frame_check, p10_binary_tiles, p09_prepare_frames, p17_crop, u01_sql_pixels, u03_frame_tiles, s06_simple_documents, s07_detailed_documents, s07_half_documents, s07_anchor_documents, v01_document_rules, v01_half_rules, v01_anchor_rules, s08_page_frames, s09_publish_run)}
 
 _F, _S, _R = fx.FRAMES_SQL, fx.SEGMENTS_SQL, fx.REPRESENTATIVES_SQL
+#: The same over every second frame.
+_HALF = (_F.replace("range(1, 65) t(i)", "range(1, 65) t(i) WHERE ordinal % 2 = 0"), _S.replace("q.ordinal + 1", "q.ordinal + 2"), _R)
+
+
+def _mutations_sql(mutations: dict) -> str:
+    faults = ", ".join(f"('{n}', '{said}')" for n, (_, _, said) in {"none": ("", "", ""), **mutations}.items())
+    return f"SELECT source_id, mutation, said FROM (SELECT DISTINCT CAST(label AS VARCHAR) AS source_id FROM embeddings), (VALUES {faults}) m(mutation, said)"
+
+
 _NAV = frame_queries.SQL["w05_navigation"]
 SQL = {
     "s03_frame_check": fx.sql("SELECT source_id, CASE WHEN source_id IN ('2', '4', '6') THEN 0 ELSE count(*) END AS n, CASE source_id WHEN '2' THEN 'DecodeFailed' WHEN '4' THEN 'InvalidTiming' WHEN '6' THEN 'SourceChanged' END AS reject_code FROM k GROUP BY source_id", _F),
@@ -188,7 +277,20 @@ SQL = {
         string_agg(format('s{:06d}', rep_ordinal), ',' ORDER BY ticks) AS representatives, '' AS broken FROM g GROUP BY source_id""",
         _F, _S, _R,
     ),
-    "v01_document_rules": "SELECT source_id, mutation, said FROM (SELECT DISTINCT CAST(label AS VARCHAR) AS source_id FROM embeddings), (VALUES ('none', ''), " + ", ".join(f"('{n}', '{said}')" for n, (_, _, said) in MUTATIONS.items()) + ") m(mutation, said)",
+    "s07_half_documents": fx.sql(
+        """SELECT source_id, 7 AS version, (SELECT count(*) FROM s WHERE s.source_id = g.source_id) AS n_samples, count(*) - 1 AS n_boundaries, count(*) AS n_segments, count(*) AS n_pages, (SELECT duration_ticks / 1000 FROM d WHERE d.source_id = g.source_id) AS end_s,
+        string_agg(format('s{:06d}', rep_ordinal), ',' ORDER BY ticks) AS representatives, '' AS broken, (SELECT count(*) FROM s WHERE s.source_id = g.source_id AND ordinal % 2 = 0) AS n_observed, CAST(CAST(source_id AS INT) % 3 <> 0 AS BIGINT) AS n_masks FROM g GROUP BY source_id""",
+        *_HALF,
+    ),
+    "s07_anchor_documents": fx.sql(
+        f"""SELECT source_id, CASE WHEN CAST(source_id AS INT) % 2 = 0 THEN 4 ELSE 6 END AS version, (SELECT count(*) FROM s WHERE s.source_id = w.source_id) AS n_samples, count(*) - 1 AS n_boundaries, count(*) AS n_segments, count(*) AS n_pages,
+        (SELECT duration_ticks / 1000 FROM d WHERE d.source_id = w.source_id) AS end_s, string_agg(format('s{{:06d}}', rep_ordinal), ',' ORDER BY group_ix) AS representatives, '' AS broken, count(*) FILTER (status = 'confirmed') AS n_confirmed
+        FROM ({detector_queries.SQL["w08_anchor_detector"]}) w GROUP BY source_id""",
+        _F,
+    ),
+    "v01_document_rules": _mutations_sql(MUTATIONS),
+    "v01_half_rules": _mutations_sql(HALF_MUTATIONS),
+    "v01_anchor_rules": _mutations_sql(ANCHOR_MUTATIONS),
     "s08_page_frames": fx.sql(
         """SELECT g.source_id, page, pts, 5 AS width, 6 AS height, string_agg(CAST(v AS VARCHAR), ' ' ORDER BY y, x) AS px FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY ticks) AS INT) AS page FROM g) g
         JOIN k ON k.source_id = g.source_id AND k.ordinal = g.rep_ordinal JOIN p ON p.source_id = g.source_id AND p.ordinal = g.rep_ordinal WHERE x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 6 GROUP BY ALL""",

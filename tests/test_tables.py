@@ -15,7 +15,7 @@ from frameloom.operators import checks, jobs, lookups, pages, policies
 from frameloom.plans import publish
 from frameloom.sources import packets
 from frameloom.sources import timelines as documents
-from frameloom.sources.fingerprint import fingerprint
+from frameloom.sources.fingerprint import fingerprint, read_fingerprints
 
 
 def test_rounding_equals_fractions(spark):
@@ -117,6 +117,24 @@ def test_fingerprint_blocks(spark):
         assert spark.createDataFrame([(data,)], "c binary").select(fingerprint(F.col("c"), 4).alias("f")).first()["f"] == want
 
 
+def test_fingerprints_of_files_by_range_reads(spark, tmp_path):
+    import hashlib
+
+    big = 5 * 2**30 + 3
+    with open(tmp_path / "big one.mp4", "wb") as file:  # sparse: above what one binary value can hold
+        file.write(b"head")
+        file.seek(big - 4)
+        file.write(b"tail")
+    (tmp_path / "small.mp4").write_bytes(b"0123456")
+    (tmp_path / "empty.mp4").write_bytes(b"")
+    got = {r["path"].rsplit("/", 1)[1].replace("%20", " "): (r["size_bytes"], r["fingerprint"]) for r in read_fingerprints(spark, str(tmp_path)).collect()}
+    block, mid = 1 << 20, (big - (1 << 20)) // 2
+    lines = b"size:%d\n" % big + b"0:%d\n" % block + b"head".ljust(block, b"\0") + b"%d:%d\n" % (mid, block) + bytes(block) + b"%d:%d\n" % (big - block, block) + b"tail".rjust(block, b"\0")
+    assert got["big one.mp4"] == (big, hashlib.sha256(lines).hexdigest())
+    assert got["small.mp4"] == (7, hashlib.sha256(b"size:7\n0:7\n0123456").hexdigest())
+    assert got["empty.mp4"] == (0, None)
+
+
 def test_strict_documents(spark):
     texts = ["{}", "[1", None, '{"schema_version":1,"schema_version":2}', '{"a":NaN}', "{} x"]
     good, bad = documents.parse(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, document string"))
