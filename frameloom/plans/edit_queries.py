@@ -54,6 +54,11 @@ def replaces(f: Fixture) -> DataFrame:
     )
 
 
+def moves(f: Fixture) -> DataFrame:
+    """The replaces above that change nothing (onto another page, of an unknown one, onto itself), and the fourth page by 700 ticks."""
+    return replaces(f).where("seq >= 1000").union(_edit(f.ranked().where("at = 4"), "replace", F.lit(1003), F.array("page_id"), F.col("ticks") + 700))
+
+
 def deletes(f: Fixture) -> DataFrame:
     """Even sources delete every fifth page; source 1 names an unknown one too; source 3 chooses nothing."""
     label = F.col("source_id").cast("int")
@@ -144,12 +149,12 @@ def o04_navigate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = Fixture(spark, sf_dir)
-    log = adds(f).union(deletes(f)).union(merges(f))
+    log = adds(f).union(deletes(f)).union(merges(f)).union(moves(f))
     return pages.replay(f.pages, pages.resolve(log, f.samples, f.segments))
 
 
 def e06_replay_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adds, then deletes, then merges in one log; the same as the three one after the other."""
+    """Adds, deletes, merges and replaces in one log; the same as the four one after the other."""
     return _pages(_log(spark, sf_dir).where("row = 'page'"))
 
 
@@ -180,12 +185,33 @@ ml AS MATERIALIZED (SELECT source_id, page_id FROM pa a WHERE pos % 7 = 0 AND ne
 """
 _ALL = (fx.FRAMES_SQL, fx.SEGMENTS_SQL, fx.REPRESENTATIVES_SQL, _PG)
 _COLS = "source_id, page_id, rep_ordinal, ticks, origin, derived_segment_ix, last_edit"
+#: What the log of adds, deletes, merges and replaces does: pd, pm: pages after the deletes and merges; mo: the move of the fourth page; dj, mj, rj: outcomes.
+_ADDED = "SELECT source_id, CAST(seq AS BIGINT) AS seq, CASE WHEN there IS NULL AND rank = 1 THEN 'changed' ELSE 'no_op' END AS status, CASE WHEN NOT (there IS NULL AND rank = 1) THEN 'AlreadySelected' END AS code FROM ad"
+_DELETED = """
+pd AS MATERIALIZED (SELECT {cols} FROM pb WHERE NOT EXISTS (SELECT 1 FROM dl WHERE dl.source_id = pb.source_id AND dl.page_id = pb.page_id)),
+ed AS MATERIALIZED (SELECT DISTINCT source_id FROM pa WHERE pos % 5 = 0 AND (CAST(source_id AS INT) % 2 = 0 OR source_id = '1') UNION SELECT '3'),
+dj AS MATERIALIZED (SELECT source_id, CAST(20 AS BIGINT) AS seq, CASE source_id WHEN '3' THEN 'no_op' WHEN '1' THEN 'rejected' ELSE 'changed' END AS status, CASE source_id WHEN '3' THEN 'EmptySelection' WHEN '1' THEN 'UnknownPage' END AS code FROM ed)
+"""
+_LOG_MERGED = """
+ok AS MATERIALIZED (SELECT source_id FROM ml LEFT JOIN pd USING (source_id, page_id) GROUP BY source_id HAVING count(*) = count(pd.ticks)),
+pm AS MATERIALIZED ({merged}),
+mj AS MATERIALIZED (SELECT DISTINCT source_id, CAST(30 AS BIGINT) AS seq, CASE WHEN source_id = '5' THEN 'no_op' WHEN source_id = '7' OR source_id NOT IN (SELECT source_id FROM ok) THEN 'rejected' ELSE 'changed' END AS status,
+  CASE WHEN source_id = '5' THEN 'NeedMultiplePages' WHEN source_id = '7' OR source_id NOT IN (SELECT source_id FROM ok) THEN 'UnknownPage' END AS code FROM ml)
+"""
+_MOVED = """
+mr AS MATERIALIZED (SELECT pa.source_id, pa.page_id, s.ordinal AS o, s.ticks AS t FROM pa JOIN s ON s.source_id = pa.source_id WHERE pos = 4 QUALIFY row_number() OVER (PARTITION BY pa.source_id ORDER BY abs(pa.ticks + 700 - s.ticks), s.ticks) = 1),
+mo AS MATERIALIZED (SELECT mr.*, n.segment_ix AS seg, CASE WHEN me.rep_ordinal = o THEN 'SameSample' WHEN hd.page_id IS NOT NULL THEN 'DuplicateSample' END AS code FROM mr JOIN n ON n.source_id = mr.source_id AND n.ordinal = o
+  JOIN {t} me ON me.source_id = mr.source_id AND me.page_id = mr.page_id LEFT JOIN {t} hd ON hd.source_id = mr.source_id AND hd.rep_ordinal = o),
+rj AS MATERIALIZED (SELECT source_id, CAST(seq AS BIGINT) AS seq, CASE WHEN code IS NULL THEN 'changed' WHEN code = 'SameSample' THEN 'no_op' ELSE 'rejected' END AS status, code FROM (SELECT source_id, 1003 AS seq, code FROM mo
+  UNION ALL SELECT source_id, 1000, 'DuplicateSample' FROM pa WHERE pos = 2 AND next_ticks IS NOT NULL UNION ALL SELECT source_id, 1001, 'UnknownPage' FROM pa WHERE pos = 1 UNION ALL SELECT source_id, 1002, 'SameSample' FROM pa WHERE pos = 1))
+"""
 #: Merges of a page table (source_id, page_id, ticks): which pages go; sources 5 and 7 are left alone.
 _MERGED = "SELECT {cols} FROM {t} t WHERE NOT EXISTS (SELECT 1 FROM ml JOIN {t} u USING (source_id, page_id) WHERE {ok} AND ml.source_id = t.source_id AND ml.page_id = t.page_id AND t.ticks < (SELECT max(v.ticks) FROM ml JOIN {t} v USING (source_id, page_id) WHERE ml.source_id = t.source_id))"
+_REPLAY = (*_ALL, _DELETED.format(cols=_COLS), _LOG_MERGED.format(merged=_MERGED.format(cols=_COLS, t="pd", ok="ml.source_id NOT IN ('5', '7') AND ml.source_id IN (SELECT source_id FROM ok)")), _MOVED.format(t="pm"))
 SQL = {
     "j01_sample_lookup": fx.sql("SELECT g.source_id, page_id, rep_ordinal, s.ticks, pts FROM g JOIN s ON s.source_id = g.source_id AND s.ordinal = rep_ordinal", *_ALL),
     "e01_add_pages": fx.sql(f"SELECT {_COLS} FROM pb", *_ALL),
-    "e01_add_outcomes": fx.sql("SELECT source_id, CAST(seq AS BIGINT) AS seq, CASE WHEN there IS NULL AND rank = 1 THEN 'changed' ELSE 'no_op' END AS status, CASE WHEN NOT (there IS NULL AND rank = 1) THEN 'AlreadySelected' END AS code FROM ad", *_ALL),
+    "e01_add_outcomes": fx.sql(_ADDED, *_ALL),
     "e02_replace_pages": fx.sql(
         """SELECT pa.source_id, pa.page_id, coalesce(m.o, pa.rep_ordinal) AS rep_ordinal, coalesce(m.t, ticks) AS ticks, origin, CASE WHEN m.o IS NULL THEN derived_segment_ix ELSE m.seg END AS derived_segment_ix, CASE WHEN m.o IS NULL THEN last_edit ELSE 'replace' END AS last_edit
         FROM pa LEFT JOIN (SELECT * FROM rp WHERE code IS NULL) m ON m.source_id = pa.source_id AND m.page_id = pa.page_id""",
@@ -210,9 +236,13 @@ SQL = {
         *_ALL,
     ),
     "e06_replay_pages": fx.sql(
-        f""", pd AS (SELECT {_COLS} FROM pb WHERE NOT EXISTS (SELECT 1 FROM dl WHERE dl.source_id = pb.source_id AND dl.page_id = pb.page_id)),
-        ok AS (SELECT source_id FROM ml LEFT JOIN pd USING (source_id, page_id) GROUP BY source_id HAVING count(*) = count(pd.ticks))
-        {_MERGED.format(cols=_COLS, t="pd", ok="ml.source_id NOT IN ('5', '7') AND ml.source_id IN (SELECT source_id FROM ok)")}""",
-        *_ALL,
-    ).replace("\n,", ",", 1),
+        """SELECT pm.source_id, pm.page_id, coalesce(m.o, rep_ordinal) AS rep_ordinal, coalesce(m.t, ticks) AS ticks, origin, CASE WHEN m.o IS NULL THEN derived_segment_ix ELSE m.seg END AS derived_segment_ix, CASE WHEN m.o IS NULL THEN last_edit ELSE 'replace' END AS last_edit
+        FROM pm LEFT JOIN (SELECT * FROM mo WHERE code IS NULL) m ON m.source_id = pm.source_id AND m.page_id = pm.page_id""",
+        *_REPLAY,
+    ),
+    "e06_replay_outcomes": fx.sql(
+        f"""SELECT *, CAST(count(*) FILTER (status = 'changed') OVER (PARTITION BY source_id ORDER BY seq) AS INT) AS revision
+        FROM ({_ADDED} UNION ALL SELECT * FROM dj UNION ALL SELECT * FROM mj UNION ALL SELECT * FROM rj)""",
+        *_REPLAY,
+    ),
 }

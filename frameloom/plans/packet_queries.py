@@ -104,13 +104,7 @@ def j05_exact_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_id", "event_id", "pts", "value", F.lit(None).cast("string").alias("reject_code")).unionByName(failed.select("source_id", "event_id", "pts", F.lit(None).cast("double").alias("value"), F.lit("FrameNotFound").alias("reject_code")))
 
 
-def t05_latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..streaming import progress
-
-    return progress.latest(events(spark, sf_dir).select("source_id", F.col("pts").alias("counter")))
-
-
-QUERIES = {f.__name__: f for f in (s02_key_packets, w01_time_gaps, a01_gap_policy, p01_media_time, p11_observations, p18_resolve_policy, j02_covering_segment, j03_nearest_sample, j04_reconcile, j05_exact_frames, t05_latest_progress)}
+QUERIES = {f.__name__: f for f in (s02_key_packets, w01_time_gaps, a01_gap_policy, p01_media_time, p11_observations, p18_resolve_policy, j02_covering_segment, j03_nearest_sample, j04_reconcile, j05_exact_frames)}
 
 _E = f"""
 ev AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS source_id, epoch_us(ts) - {START} AS pts, event_type, value, event_id FROM events),
@@ -151,5 +145,4 @@ SQL = {
         LEFT JOIN (SELECT * FROM ev WHERE event_type IN ('view', 'click')) f ON f.source_id = a.source_id AND f.pts = a.at""",
         _E,
     ),
-    "t05_latest_progress": fx.sql("SELECT source_id, max(pts) AS counter FROM ev GROUP BY source_id", _E),
 }

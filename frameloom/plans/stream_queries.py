@@ -20,20 +20,16 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.select(*ends.columns).unionByName(ends)
 
 
-def _frame_stream(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
-    path = runs.stage_in_turns(_frames(spark, sf_dir), ["ordinal < 13 AND NOT is_end", "ordinal BETWEEN 13 AND 30 AND NOT is_end", "ordinal > 30 OR is_end"])
-    return path, runs.read_in_turns(spark, path)
+_TURNS = ["ordinal < 13 AND NOT is_end", "ordinal BETWEEN 13 AND 30 AND NOT is_end", "ordinal > 30 OR is_end"]
 
 
 def t01_live_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, stream = _frame_stream(spark, sf_dir)
-    got = runs.run(live.live_segments(stream, fx.SMALL), path)
+    got = runs.run_in_turns(_frames(spark, sf_dir), _TURNS, lambda stream: live.live_segments(stream, fx.SMALL))
     return got.where("row = 'segment'").select("source_id", "segment_ix", "first_ordinal", "last_ordinal", "start_ticks", "end_ticks")
 
 
 def t02_live_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, stream = _frame_stream(spark, sf_dir)
-    got = runs.run(live.live_anchor_groups(stream, fx.SMALL_ANCHOR), path)
+    got = runs.run_in_turns(_frames(spark, sf_dir), _TURNS, lambda stream: live.live_anchor_groups(stream, fx.SMALL_ANCHOR))
     return got.where("row = 'group'").drop("row", "pts")
 
 
@@ -44,26 +40,41 @@ def t03_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = frames.withColumn("early", early)
     late = frames.where("early AND ordinal % 5 = 0").withColumn("turn", F.lit(1))
     rows = frames.withColumn("turn", F.when(F.col("early"), 0).otherwise(2)).unionByName(late)
-    path = runs.stage_in_turns(rows, ["turn = 0", "turn = 1", "turn = 2"])
-    got = runs.run(live.live_segments(runs.read_in_turns(spark, path), fx.SMALL), path)
+    got = runs.run_in_turns(rows, ["turn = 0", "turn = 1", "turn = 2"], lambda stream: live.live_segments(stream, fx.SMALL))
     return got.where("row = 'reject'").select("source_id", "pts")
 
 
 def t04_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of users' events with pauses under 12 hours (batch form of the watermarked stream)."""
+    """Sessions of users' events with pauses under 12 hours, put out as the watermark passes them.
+
+    The events come in three turns by time; a last row, far beyond them, moves the watermark past all sessions.
+    """
     rows = fx.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("is_end"))
-    got = progress.stalls(rows, "12 HOURS")
+    span = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    if span["low"] is None:
+        return progress.stalls(rows, "12 HOURS").select("source_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n", "finished")
+    third = (span["high"] - span["low"]) / 3
+    cuts = [span["low"] + third, span["low"] + 2 * third]
+    turned = rows.withColumn("turn", F.when(F.col("ts") < F.lit(cuts[0]), 0).when(F.col("ts") < F.lit(cuts[1]), 1).otherwise(2))
+    beyond = rows.sparkSession.range(1).select(F.lit("").alias("source_id"), (F.lit(span["high"]) + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(True).alias("is_end"), F.lit(3).alias("turn"))
+    got = runs.run_in_turns(turned.unionByName(beyond), [f"turn = {k}" for k in range(4)], lambda stream: progress.stalls(stream, "12 HOURS", "0 SECONDS"))
     return got.select("source_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n", "finished")
 
 
+def t05_latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' largest counters in update mode; they arrive out of order, a fifth of the events first."""
+    rows = packet_queries.events(spark, sf_dir).select("source_id", F.col("pts").alias("counter"), (F.col("event_id") % 5).alias("turn"))
+    got = runs.run_in_turns(rows, ["turn = 4", "turn < 2", "turn BETWEEN 2 AND 3"], progress.latest, "update")
+    return runs.latest_rows(got, ["source_id"])
+
+
 def t06_live_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = edit_queries.Fixture(spark, sf_dir)
-    resolved = page_ops.resolve(edit_queries.adds(f).union(edit_queries.deletes(f)), f.samples, f.segments)
+    resolved = page_ops.resolve(edit_queries.adds(f).union(edit_queries.deletes(f)).union(edit_queries.moves(f)), f.samples, f.segments)
     resolved = resolved.withColumn("new_id", page_ops.manual_id(F.col("source_id"), F.col("to_ordinal"), F.col("seq")))
     columns = ["source_id", "seq", "kind", "page_ids", "to_ordinal", "to_ticks", "to_segment_ix", "new_id"]
     first = f.pages.select("source_id", F.lit(0).cast("long").alias("seq"), F.lit("load").alias("kind"), F.lit(None).cast("array<string>").alias("page_ids"), F.col("rep_ordinal").alias("to_ordinal"), F.col("ticks").alias("to_ticks"), F.col("derived_segment_ix").alias("to_segment_ix"), F.col("page_id").alias("new_id"))
-    path = runs.stage_in_turns(first.unionByName(resolved.select(*columns)), ["seq = 0", "seq BETWEEN 1 AND 2", "seq > 2"])
-    got = runs.run(live.live_edits(runs.read_in_turns(spark, path)), path)
+    got = runs.run_in_turns(first.unionByName(resolved.select(*columns)), ["seq = 0", "seq BETWEEN 1 AND 2", "seq > 2"], live.live_edits)
     return got.select("source_id", "seq", "status", "code")
 
 
@@ -71,12 +82,11 @@ def t07_live_gap_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = packet_queries.key_times(spark, sf_dir).select("source_id", F.col("ticks").alias("pts"), F.lit(False).alias("is_end"))
     ends = keys.select("source_id").distinct().select("source_id", F.lit(packet_queries.DURATION).alias("pts"), F.lit(True).alias("is_end"))
     half = packet_queries.DURATION // 2
-    path = runs.stage_in_turns(keys.unionByName(ends), [f"pts < {half}", f"pts >= {half}"])
-    got = runs.run(live.live_gap_policy(runs.read_in_turns(spark, path), packet_queries.LIMIT), path)
+    got = runs.run_in_turns(keys.unionByName(ends), [f"pts < {half}", f"pts >= {half}"], lambda stream: live.live_gap_policy(stream, packet_queries.LIMIT))
     return got.where("row = 'policy'").select("source_id", "n", "max_gap", "policy")
 
 
-QUERIES = {f.__name__: f for f in (t01_live_segments, t02_live_anchor, t03_out_of_order, t04_stalls, t06_live_edits, t07_live_gap_policy)}
+QUERIES = {f.__name__: f for f in (t01_live_segments, t02_live_anchor, t03_out_of_order, t04_stalls, t05_latest_progress, t06_live_edits, t07_live_gap_policy)}
 
 SQL = {
     "t01_live_segments": fx.sql("SELECT source_id, segment_ix, first_ordinal, last_ordinal, start_ticks, end_ticks FROM b", fx.FRAMES_SQL, fx.SEGMENTS_SQL),
@@ -87,11 +97,7 @@ WITH e AS (SELECT CAST(user_id AS VARCHAR) AS source_id, epoch_us(ts) AS t, even
 n AS (SELECT *, sum(CASE WHEN before IS NULL OR t - before >= 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY t) AS k FROM (SELECT *, lag(t) OVER (PARTITION BY source_id ORDER BY t) AS before FROM e))
 SELECT source_id, min(t) AS started, max(t) AS ended, count(*) AS n, bool_or(is_end) AS finished FROM n GROUP BY source_id, k
 """,
-    "t06_live_edits": fx.sql(
-        """, ed AS (SELECT DISTINCT source_id FROM pa WHERE pos % 5 = 0 AND (CAST(source_id AS INT) % 2 = 0 OR source_id = '1') UNION SELECT '3')
-        SELECT source_id, CAST(seq AS BIGINT) AS seq, CASE WHEN there IS NULL AND rank = 1 THEN 'changed' ELSE 'no_op' END AS status, CASE WHEN NOT (there IS NULL AND rank = 1) THEN 'AlreadySelected' END AS code FROM ad
-        UNION ALL SELECT source_id, 20, CASE source_id WHEN '3' THEN 'no_op' WHEN '1' THEN 'rejected' ELSE 'changed' END, CASE source_id WHEN '3' THEN 'EmptySelection' WHEN '1' THEN 'UnknownPage' END FROM ed""",
-        *edit_queries._ALL,
-    ).replace("\n,", ",", 1),
+    "t05_latest_progress": fx.sql("SELECT source_id, max(pts) AS counter FROM ev GROUP BY source_id", packet_queries._E),
+    "t06_live_edits": fx.sql(f"{edit_queries._ADDED} UNION ALL SELECT * FROM dj UNION ALL SELECT * FROM rj", *edit_queries._ALL, edit_queries._DELETED.format(cols=edit_queries._COLS), edit_queries._MOVED.format(t="pd")),
     "t07_live_gap_policy": fx.sql("SELECT source_id, n, max_gap, policy FROM po", packet_queries._E),
 }

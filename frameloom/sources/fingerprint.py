@@ -46,7 +46,7 @@ def read_fingerprints(spark: SparkSession, path: str, block: int = BLOCK, partit
     """(path, size_bytes, mtime_ns, fingerprint) of the files under a path, of any size.
 
     Spark lists the files without their content; each is then opened by the task that has its row, which reads the three
-    blocks only. Listed files are spread over ``partitions`` tasks (else Spark's default parallelism).
+    blocks only. Empty files have no fingerprint, and Spark lists none of them. Listed files are spread over ``partitions`` tasks (else Spark's default parallelism).
     """
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("p"), F.col("length").alias("n"), (F.unix_micros("modificationTime") * 1000).alias("m"))
     files = files.repartition(partitions or spark.sparkContext.defaultParallelism, "p")

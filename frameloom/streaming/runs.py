@@ -1,30 +1,40 @@
-"""Streams over staged files, run to their end."""
+"""Streams over staged files, run to their end turn by turn."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..plans.staging import shared_folder
 
 
-def stage_in_turns(rows: DataFrame, cuts: list[str]) -> str:
-    """Rows written batch by batch, one for each predicate of ``cuts``, to a folder of their own."""
-    path = f"{shared_folder(rows.sparkSession)}/stream-{uuid.uuid4().hex}"
-    for predicate in cuts:
-        rows.where(predicate).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return path
-
+def run_in_turns(rows: DataFrame, cuts: list[str], transform: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What a streaming ``transform`` puts out as the rows arrive in turns, one for each predicate of ``cuts``.
 
-def read_in_turns(spark: SparkSession, path: str) -> DataFrame:
-    """The staged batches as a stream, one a trigger."""
-    schema = spark.read.parquet(f"{path}/in").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    Each turn is written by as many tasks as its rows have partitions, and is one micro-batch; all turns go on from one
+    checkpoint. In update mode a batch's rows replace what an earlier try of the batch wrote; the column ``batch`` tells
+    the batches apart.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-def run(stream: DataFrame, path: str) -> DataFrame:
-    """The rows that a stream appends until its input is used up."""
-    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+    for predicate in cuts:
+        rows.where(predicate).write.mode("append").parquet(f"{path}/in")
+        stream = transform(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
+        out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
+        out = out.foreachBatch(keep) if mode == "update" else out.format("parquet").option("path", f"{path}/out")
+        out.start().awaitTermination()
+    schema = stream.schema if mode == "append" else stream.schema.add("batch", "long")
+    return spark.read.schema(schema).parquet(f"{path}/out")
+
+
+def latest_rows(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows that a stream put out in update mode, the last of each key."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")

@@ -132,7 +132,7 @@ def test_fingerprints_of_files_by_range_reads(spark, tmp_path):
     lines = b"size:%d\n" % big + b"0:%d\n" % block + b"head".ljust(block, b"\0") + b"%d:%d\n" % (mid, block) + bytes(block) + b"%d:%d\n" % (big - block, block) + b"tail".rjust(block, b"\0")
     assert got["big one.mp4"] == (big, hashlib.sha256(lines).hexdigest())
     assert got["small.mp4"] == (7, hashlib.sha256(b"size:7\n0:7\n0123456").hexdigest())
-    assert got["empty.mp4"] == (0, None)
+    assert len(got) == 2
 
 
 def test_strict_documents(spark):
@@ -197,8 +197,7 @@ def test_masked_sources_are_cut_alike_live_and_in_batch(spark):
     samples = frames.select("source_id", "ordinal", F.col("pts").alias("ticks"))
     sources = samples.groupBy("source_id").agg((F.max("ticks") + 5).alias("duration_ticks"), F.lit(1).cast("long").alias("tb_num"), F.lit(1000).cast("long").alias("tb_den"))
     batch = flagship.analyse(frames.drop("pts"), sources, samples, settings).numbered.groupBy("source_id").agg(F.max("segment_ix").alias("n"))
-    path = runs.stage_in_turns(frames.withColumn("is_end", F.lit(False)), ["ordinal < 9", "ordinal >= 9"])
-    live_rows = runs.run(live.live_segments(runs.read_in_turns(spark, path), settings), path)
+    live_rows = runs.run_in_turns(frames.withColumn("is_end", F.lit(False)), ["ordinal < 9", "ordinal >= 9"], lambda stream: live.live_segments(stream, settings))
     closed = live_rows.where("row = 'segment'").groupBy("source_id").count()
     want = {r["source_id"]: r["n"] for r in batch.collect()}
     got = {r["source_id"]: r["count"] for r in closed.collect()}
@@ -212,6 +211,5 @@ def test_repeated_edits_are_rejected(spark):
     schema = "source_id string, seq long, kind string, page_ids array<string>, to_ordinal int, to_ticks long, to_segment_ix int, new_id string"
     rows = [("a", 0, "load", None, 1, 10, 0, "p1"), ("a", 0, "load", None, 5, 50, 1, "p2"), ("a", 3, "delete", ["p1"], None, None, None, None), ("a", 2, "delete", ["p2"], None, None, None, None), ("a", 4, "delete", ["p1"], None, None, None, None)]
     log = spark.createDataFrame([(*r, t) for r, t in zip(rows, (0, 0, 1, 2, 3), strict=True)] + [(*rows[2], 2)], schema + ", turn int")
-    path = runs.stage_in_turns(log, [f"turn = {k}" for k in range(4)])
-    got = [tuple(r) for r in runs.run(live.live_edits(runs.read_in_turns(spark, path)), path).select("seq", "status", "code", "n_pages").collect()]
+    got = [tuple(r) for r in runs.run_in_turns(log, [f"turn = {k}" for k in range(4)], live.live_edits).select("seq", "status", "code", "n_pages").collect()]
     assert sorted(got, key=repr) == sorted([(3, "changed", None, 1), (2, "rejected", "OutOfOrder", 1), (3, "rejected", "OutOfOrder", 1), (4, "rejected", "UnknownPage", 1)], key=repr)
