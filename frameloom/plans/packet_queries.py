@@ -14,6 +14,8 @@ from ..sources import packets as source
 START = 1_704_067_200_000_000  # 2024-01-01 in microseconds
 DURATION = 31 * 86_400_000_000
 LIMIT = 561_600_000_000  # 6.5 days
+#: Ticks of a stretch, a day: longer sources are ordered by a task a stretch.
+STRETCH = 86_400_000_000
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +79,7 @@ def j02_covering_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("source_id").orderBy("ticks")
     spans = samples(spark, sf_dir).select("source_id", F.col("ordinal").alias("segment_ix"), F.col("ticks").alias("start_ticks"), F.coalesce(F.lead("ticks").over(order), F.least(F.col("ticks") + 86_400_000_000, F.lit(DURATION))).alias("end_ticks"))
     asks = events(spark, sf_dir).where("event_type = 'purchase'").select("source_id", F.col("pts").alias("ticks"), "event_id")
-    return lookups.covering_segment(asks, spans)
+    return lookups.covering_segment(asks, spans, STRETCH)
 
 
 def j03_nearest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +87,7 @@ def j03_nearest_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("source_id").orderBy("ticks")
     middles = samples(spark, sf_dir).withColumn("next", F.lead("ticks").over(order)).where("ordinal % 5 = 0 AND next IS NOT NULL").select("source_id", (F.col("ticks") + F.col("next")).alias("at_num"), F.lit(2).cast("long").alias("at_den"), (-F.col("ordinal") - 1).cast("long").alias("event_id"))
     asks = events(spark, sf_dir).where("event_type = 'purchase'").select("source_id", (F.col("pts") * 3 + 1).alias("at_num"), F.lit(3).cast("long").alias("at_den"), "event_id")
-    return lookups.nearest_sample(asks.unionByName(middles), samples(spark, sf_dir))
+    return lookups.nearest_sample(asks.unionByName(middles), samples(spark, sf_dir), STRETCH)
 
 
 def j04_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:

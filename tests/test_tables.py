@@ -213,3 +213,18 @@ def test_repeated_edits_are_rejected(spark):
     log = spark.createDataFrame([(*r, t) for r, t in zip(rows, (0, 0, 1, 2, 3), strict=True)] + [(*rows[2], 2)], schema + ", turn int")
     got = [tuple(r) for r in runs.run_in_turns(log, [f"turn = {k}" for k in range(4)], live.live_edits).select("seq", "status", "code", "n_pages").collect()]
     assert sorted(got, key=repr) == sorted([(3, "changed", None, 1), (2, "rejected", "OutOfOrder", 1), (3, "rejected", "OutOfOrder", 1), (4, "rejected", "UnknownPage", 1)], key=repr)
+
+
+def test_lookups_by_stretches_equal_those_by_source(spark):
+    """Long sources are cut into stretches: whatever their length, finds are carried over empty ones, and ties stay."""
+    rnd = random.Random(5)
+    ticks = {s: sorted(rnd.sample(range(-300, 700), 12)) for s in ("a", "b")}
+    samples = spark.createDataFrame([(s, k, t) for s, own in ticks.items() for k, t in enumerate(own)], "source_id string, ordinal int, ticks long")
+    segments = spark.createDataFrame([(s, k, t, u) for s, own in ticks.items() for k, (t, u) in enumerate(zip(own, [*own[1:], own[-1] + 9], strict=True))], "source_id string, segment_ix int, start_ticks long, end_ticks long")
+    asks = spark.createDataFrame([(s, rnd.randint(-900, 1500), rnd.choice([1, 2, 3]), k) for k, s in enumerate(["a", "b", "c"] * 60)], "source_id string, at_num long, at_den long, name int")
+    at = asks.select("source_id", F.col("at_num").alias("ticks"), "name")
+    near, cover = (sorted(x.collect(), key=repr) for x in (lookups.nearest_sample(asks, samples), lookups.covering_segment(at, segments)))
+    assert len(near) == 120 and len(cover) == 180
+    for stretch in (1, 50, 10_000):
+        assert sorted(lookups.nearest_sample(asks, samples, stretch).collect(), key=repr) == near
+        assert sorted(lookups.covering_segment(at, segments, stretch).collect(), key=repr) == cover
