@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, license_scan, mixing, quality_classifier, quality_rules, simhash, substring_dedup, token_counts, url_filter
+from . import backoff_model, bpe, centroid_clustering, exact_dedup, license_scan, mixing, quality_classifier, quality_rules, ranked_search, simhash, substring_dedup, token_counts, url_filter
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_license_scan": license_scan.op8_license_scan,
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+        "op11_lm_scoring": backoff_model.op11_lm_scoring,
+        "op12_centroid_clustering": centroid_clustering.op12_centroid_clustering,
+        "op13_ranked_search": ranked_search.op13_ranked_search,
         "pipeline": pipeline,
     }
 
@@ -36,4 +39,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_url_filter": url_filter.OP5_SQL,
         "op6_substring_dedup": substring_dedup.OP6_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
+        "op12_centroid_clustering": centroid_clustering.OP12_SQL,
+        "op13_ranked_search": ranked_search.OP13_SQL,
     }
