@@ -10,8 +10,11 @@ Why agreement proves equality. Within a pre-token, BPE tokens are the encoding o
 neighbouring pair is the encoding of its own text. Every pair of the joint encoding stands in one of the three
 encodings it is made of: the left tokens end, and the window's begin, with the same token at the same place, and so on
 the right. Pre-tokens are cut by looking forward from where the last one ended, so two scans that cut at one
-place go on alike; inside a run of one kind of signs both end it at the same sign. One agreeing token would do for
-this; ``AGREE`` in a row, a quarter window away from any cut, keep clear of normalization (composed signs) at cut ends.
+place go on alike; inside a run of one kind of signs both end it at the same sign. All this is about the normalized text, and normalization (NFC) does
+look across a cut: it orders and composes whole runs of combining marks, however long. So a window begins and ends only where NFC cannot
+reach across (before a starter that composes with nothing before it, see ``parted``), covers the whole run that a join may lie in, and agreement is looked for
+outside that run only: there both encodings are of the same normalized text. One agreeing token would do then; ``AGREE`` in a row, a quarter window
+away from the run, are taken.
 
 Inside a leaf, the library's results are kept by word where a tokenizer's file has the very normalizer and pre-tokenizer
 that ``PLAIN_SETUP`` names: it drops white space and never merges, matches or composes across an ASCII blank, so a
@@ -26,6 +29,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -47,6 +52,8 @@ WINDOW = 256
 AGREE = 3
 #: Leaves whose tokens a task holds at once.
 LEAVES = 32
+#: Rows that are the same in identifier and text, as they are repeated at once.
+COPIES = 4096
 #: Words, and pieces of words, whose ids a Python worker keeps, and the longest of them in bytes: some 60 MB each at most.
 KEPT_WORDS = 150_000
 KEPT_BYTES = 64
@@ -143,6 +150,22 @@ class Encoder:
         return self.lib.decode(ids, skip_special_tokens=False)
 
 
+@lru_cache(maxsize=1)
+def _composing() -> frozenset[str]:
+    """Characters that canonical composition may add to one before them: the second ones of all pairs, and Hangul vowels and finals."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(sys.maxunicode + 1))
+    return frozenset({chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"} | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))})
+
+
+def parted(text: str, at: int) -> bool:
+    """Whether NFC treats the text's two sides at ``at`` apart: the sign there is a starter, to the last detail, that joins nothing before it."""
+    sign = text[at]
+    if sign < "\u0300":
+        return True
+    first = unicodedata.normalize("NFD", sign)[0]
+    return unicodedata.combining(first) == 0 and first not in _composing() and unicodedata.category(sign) != "Cn"
+
+
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray]  # ids, starts, ends
 
 
@@ -163,21 +186,30 @@ def _agreement(x: Tokens, y: Tokens, low: int, high: int) -> list[tuple[int, int
 def join(tokenizer: Encoder, text: str, left: Tokens, right: Tokens, begin: int, at: int, end: int, window: int = WINDOW) -> Tokens:
     """The encoding of text[begin:end] from those of its sides, which meet at ``at``. Offsets are the text's."""
     width = window
+    head = tail = at  # what NFC may have changed at the join lies between these
+    while head > begin and not parted(text, head):
+        head -= 1
+    while tail < end and not parted(text, tail):
+        tail += 1
     while True:
-        low, high = max(begin, at - width), min(end, at + width)
+        low, high = max(begin, head - width), min(end, tail + width)
         if low > begin:  # from the beginning of a token of the left side
             k = int(np.searchsorted(left[1], low, "right")) - 1
-            low = int(left[1][k]) if k >= 0 else begin
+            while k >= 0 and not parted(text, int(left[1][k])):
+                k -= 1
+            low = max(begin, int(left[1][k])) if k >= 0 else begin
         if high < end:
             k = int(np.searchsorted(right[2], high, "left"))
+            while k < len(right[2]) and right[2][k] < end and not parted(text, int(right[2][k])):
+                k += 1
             high = int(right[2][k]) if k < len(right[2]) else end
         ids, starts, ends = tokenizer.spans(text[low:high])
         mid = (ids, starts + low, ends + low)
         if low == begin and high == end:
             return mid
-        # Tokens near the cut ends of the window or of the sides may differ: agreement is looked for clear of them.
-        heads = [(0, 0)] if low == begin else _agreement(left, mid, low, at - window // 4)
-        tails = [(len(ids), len(right[0]))] if high == end else _agreement(mid, right, at + window // 4, high - window // 4)
+        # Tokens near the join, or near the window's ends, may differ: agreement is looked for clear of them.
+        heads = [(0, 0)] if low == begin else _agreement(left, mid, low, head - window // 4)
+        tails = [(len(ids), len(right[0]))] if high == end else _agreement(mid, right, tail + window // 4, high - window // 4)
         if heads and tails:
             i, j = heads[0] if low > begin else (0, 0)
             k, m = tails[-1]
@@ -201,8 +233,9 @@ def join_all(tokenizer: Encoder, text: str, leaves: list[Tokens], starts: list[i
 def encode_texts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
     """(id_col, ids, decoded) of every row: ids are little-endian unsigned 32-bit integers in one binary value.
 
-    Only texts of more than ``leaf`` characters are exchanged: once as leaves, to be encoded in parallel, and once
-    with their tokens, to be joined by document.
+    Only texts of more than ``leaf`` characters are exchanged: once whole, so that rows that are the same are encoded once, once as leaves, to
+    be encoded in parallel, and once with their tokens, to be joined by document. Rows that are the same are counted in their tasks first and
+    repeated as they are returned, so no task holds them together.
     """
     kind = docs.schema[id_col].dataType
     docs = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -214,20 +247,20 @@ def encode_texts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
     short = add_columns(docs.where(F.length("text") <= leaf), "text", fields, whole, back=["id"])
 
-    long = docs.where(F.length("text") > leaf).withColumn("key", F.md5("text"))
+    long = docs.where(F.length("text") > leaf).groupBy("id", F.md5("text").alias("key")).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     # Halved, and halved again, until no piece is longer than a leaf: 2 ** depth pieces.
     n = F.length("text")
     count = F.pow(F.lit(2), F.greatest(F.lit(0), F.ceil(F.log2(n / leaf)))).cast("long")
     begin = lambda i: F.floor(i * n / F.col("count")).cast("long")
     spread = long.withColumn("count", count).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
-    pieces = spread.select("id", "key", begin(F.col("i")).alias("start"), F.substring(F.col("text"), (begin(F.col("i")) + 1).cast("int"), (begin(F.col("i") + 1) - begin(F.col("i"))).cast("int")).alias("piece"))
+    pieces = spread.select("id", "key", "copies", begin(F.col("i")).alias("start"), F.substring(F.col("text"), (begin(F.col("i")) + 1).cast("int"), (begin(F.col("i") + 1) - begin(F.col("i"))).cast("int")).alias("piece"))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(tokenizer)
         for whole_batch in batches:
             for at in range(0, whole_batch.num_rows, LEAVES):
                 batch = whole_batch.slice(at, LEAVES)
-                got = [[c.astype("<u4").tobytes() for c in tok.spans(p)] for p in batch.column(3).to_pylist()]
+                got = [[c.astype("<u4").tobytes() for c in tok.spans(p)] for p in batch.column(4).to_pylist()]
                 packed = [pa.array([x[c] for x in got], pa.binary()) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *packed], names=[*batch.schema.names, "ids", "starts", "ends"])
 
@@ -236,19 +269,20 @@ def encode_texts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
 
     def rejoin(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         tok = encoder(tokenizer)
-        copies = int((frame["start"] == 0).sum())  # rows that are the same in identifier and text
-        own = frame.drop_duplicates("start").sort_values("start")
+        own = frame.sort_values("start")
         starts = own["start"].tolist()
         parts = []
         for s, *packed in zip(starts, own["ids"], own["starts"], own["ends"], strict=True):
             ids, first, last = (np.frombuffer(x, "<u4").astype(np.int64) for x in packed)
             parts.append((ids, first + s, last + s))
         ids = join_all(tok, "".join(own["piece"]), parts, starts)[0]
-        row = pd.DataFrame({"id": own["id"].iloc[:1], "ids": [ids.astype("<u4").tobytes()], "decoded": [tok.decode(ids.tolist())]})
-        return pd.concat([row] * copies)
+        return pd.DataFrame({"id": own["id"].iloc[:1], "ids": [ids.astype("<u4").tobytes()], "decoded": [tok.decode(ids.tolist())], "copies": own["copies"].iloc[:1]})
 
-    joined_as = T.StructType([T.StructField("id", T.StringType()), *fields])
+    joined_as = T.StructType([T.StructField("id", T.StringType()), *fields, T.StructField("copies", T.LongType())])
     joined = coded.groupBy("id", "key").applyInPandas(rejoin, joined_as)
+    # Two steps, so that no array grows with the number of copies.
+    some = joined.withColumn("some", F.explode(F.expr(f"sequence(0, (copies - 1) div {COPIES})"))).withColumn("left", F.least(F.lit(COPIES), F.col("copies") - F.col("some") * COPIES))
+    joined = some.withColumn("copy", F.explode(F.expr("sequence(1, left)"))).select("id", "ids", "decoded")
     return short.unionByName(joined).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 

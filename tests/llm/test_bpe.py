@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -54,7 +55,9 @@ def test_query_equals_the_library(spark, tok):
     assert bpe.digests(bpe.encode_texts(empty(spark), PATH)).count() == 0
 
 
-ALPHABETS = ["ab", "ab'sreve ", "!'s ", "e\u0301\u00e9 ab", "가나각 x", "12 ab'll'd", "a\u0301\u0300'", "''''s", "<|endoftext|> "]
+#: Marks of several combining classes, which NFC puts in order over a whole run; signs that compose with what stands before them.
+MARKS = "\u0301\u0323\u0327\u0315"
+ALPHABETS = [MARKS, MARKS + "a", MARKS * 3 + "e\u00e9o b", "\u1100\u1161\u11a8 \u0301", "\u0f73\u0f71\u0f72\u0f40", "\u0958\u0915\u093c\u0301", "\u3042\u3099\u304c\u0323\u4e00", "ab", "ab'sreve ", "!'s ", "e\u0301\u00e9 ab", "가나각 x", "12 ab'll'd", "a\u0301\u0300'", "''''s", "<|endoftext|> "]
 
 
 @pytest.mark.parametrize("alphabet", ALPHABETS)
@@ -65,6 +68,51 @@ def test_tree_concatenation_equals_the_library(tok, alphabet):
         assert tree(tok, text, rnd.choice([20, 100, 400])) == library(tok, text)
 
 
+def test_runs_of_marks_longer_than_the_window(tok):
+    rnd = random.Random(4)
+    for run in (60, 300, 2000):
+        for _ in range(6):
+            marks = "".join(rnd.choice(MARKS) for _ in range(run))
+            text = "plain words " * rnd.randint(0, 60) + rnd.choice(["e", "", " "]) + marks + " and more of them" * rnd.randint(0, 60)
+            assert tree(tok, text, 400, window=64) == library(tok, text)
+
+
+def test_long_texts_with_runs_of_marks_through_spark(spark, tok):
+    """Beyond LEAF with all defaults: a run of 900 marks across the middle of plain words, and marks alone."""
+    rnd = random.Random(8)
+    run = lambda n: "".join(rnd.choice(MARKS) for _ in range(n))
+    plain = "The quick brown fox jumps over the lazy dog. " * 400
+    texts = [plain[:16_800] + run(900) + plain[:16_801] for _ in range(2)] + [run(40_000), "e" + run(33_000) + " end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (np.frombuffer(r["ids"], "<u4").tolist(), r["decoded"]) for r in bpe.encode_texts(docs, PATH).collect()}
+    for i, text in enumerate(texts):
+        ids = library(tok, text)
+        assert got[i] == (ids, tok.lib.decode(ids, skip_special_tokens=False))
+
+
+def test_parted_agrees_with_normalization():
+    """Where a text is parted, normalizing its sides apart changes nothing."""
+    rnd = random.Random(6)
+    signs = MARKS + "ae\u00e9 \u1100\u1161\u11a8\uac00\u0f71\u0f72\u0f73\u0f40\u0958\u0915\u093c\u3042\u3099\u304c\u4e00\uf900\u0344\u0308"
+    both = set()
+    for _ in range(3000):
+        text = "".join(rnd.choice(signs) for _ in range(rnd.randint(2, 8)))
+        at = rnd.randrange(1, len(text))
+        both.add(ok := bpe.parted(text, at))
+        if ok:
+            assert unicodedata.normalize("NFC", text[:at]) + unicodedata.normalize("NFC", text[at:]) == unicodedata.normalize("NFC", text)
+    assert both == {True, False}
+
+
+def test_many_copies_of_a_long_row_do_not_meet_in_one_task(spark, tok):
+    text = "again " * 300
+    docs = spark.range(9000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(text).alias("text")).union(spark.createDataFrame([(1, text)] * 3, "doc_id long, text string"))
+    coded = bpe.encode_texts(docs, PATH, leaf=700)
+    got = coded.groupBy("doc_id", F.sha2("ids", 256).alias("ids")).count().collect()
+    want = hashlib.sha256(np.array(library(tok, text), "<u4").tobytes()).hexdigest()
+    assert sorted((tuple(r) for r in got), key=repr) == [(1, want, 3), (None, want, 9000)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=300), st.integers(5, 60))
 def test_any_text_round_trips(text, leaf):
