@@ -164,7 +164,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     outs = {n: free_name(docs, f"mix_{n}") for n in ("extra", "rate", "total", "goal")}
     plan = plan.select(*(F.col(k).alias(new[k]) for k in new), *(F.col(n).alias(outs[n]) for n in outs))
     joined = ranked_rows.join(plan, list(new.values()))
-    copies = F.floor(F.col(outs["rate"])) + (F.col(place) <= F.col(outs["extra"])).cast("long")
+    copies = F.when(F.col(size) == 0, F.lit(1)).otherwise(F.floor(F.col(outs["rate"])) + (F.col(place) <= F.col(outs["extra"])).cast("long"))
     return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(size).alias(names[0]), F.col(outs["total"]).alias(names[1]), F.col(outs["goal"]).alias(names[2]), F.col(outs["rate"]).alias(names[3]), copies.cast("long").alias(names[4]))
 
 
