@@ -46,9 +46,9 @@ PRIOR = 30.0
 #: Added to each token's count in the base model (fixed by the contract).
 ADDED = 0.1
 #: Bytes of text of a block, one text at least.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Entries (an n-gram of a block) of a range of hashes, on average.
-RANGE_KEYS = 2_000_000
+RANGE_KEYS = 1_000_000
 LANE = 64
 #: The end of a text, as a token that no word can be.
 END = b" "
