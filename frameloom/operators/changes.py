@@ -38,6 +38,22 @@ def tile_changes(tiles: DataFrame, pixel_delta: int) -> DataFrame:
     return kernels.mapped(pairs, "source_id string, ordinal int, prev_ordinal int, ty int, tx int, valid int, changed int", count).where("valid > 0")
 
 
+def cells(values: np.ndarray, tile: int) -> np.ndarray:
+    """Sums over the tiles of one frame, row by row."""
+    h, w = values.shape
+    return np.add.reduceat(np.add.reduceat(values, np.arange(0, h, tile), axis=0, dtype=np.int64), np.arange(0, w, tile), axis=1).ravel()
+
+
+def is_boundary(now: np.ndarray, before: np.ndarray, ok: np.ndarray, settings: SpatialSettings) -> bool:
+    """Whether two whole frames lie on different sides of a boundary: the rules of ``tile_changes`` and ``pair_changes`` for one pair."""
+    moved = (np.abs(now.astype(np.int32) - before) > settings.pixel_delta) & ok
+    valid, changed = cells(ok, settings.tile), cells(moved, settings.tile)
+    seen = valid > 0
+    if not seen.any() or changed.sum() / valid.sum() < settings.changed_fraction:
+        return False
+    return np.count_nonzero(changed[seen] / valid[seen] >= settings.cell_changed_fraction) / np.count_nonzero(seen) >= settings.cell_fraction
+
+
 def tile_changes_in_jvm(tiles: DataFrame, pixel_delta: int) -> DataFrame:
     """The same by lambdas over arrays: for tiles of a few pixels, and to test the kernel."""
     moved = pixels.both(pixels.changed(F.col("px"), F.col("prev_px"), pixel_delta), F.col("ok"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..functions.edit_fold import apply_edit
+from ..functions.edit_fold import PageIndex
 from .lookups import covering_segment, nearest_sample
 
 PAGE = ["source_id", "page_id", "rep_ordinal", "ticks", "origin", "origin_segment_ix", "derived_segment_ix", "last_edit"]
@@ -118,26 +118,48 @@ def navigate(pages: DataFrame, steps: DataFrame) -> DataFrame:
     return target.select("source_id", "step", "at").join(ranked.select("source_id", "at", "page_id"), ["source_id", "at"], "left").select("source_id", "step", "page_id")
 
 
-def replay(pages: DataFrame, edits: DataFrame) -> DataFrame:
+def replay(pages: DataFrame, edits: DataFrame, every: int | None = None) -> DataFrame:
     """Resolved edits (source_id, seq, kind, page_ids, to_ordinal, to_ticks, to_segment_ix) applied in order of seq.
 
-    Rows: every page after the last edit (kind page, revision of the source), and every edit's outcome (kind outcome).
+    Rows: every page after the last edit (kind page, revision of the source), every edit's outcome (kind outcome) and, after each
+    ``every``-th edit of a source, a snapshot (kind snapshot, with the edit's seq): one row with the revision and no page, and one a page.
+    ``pages`` may be such a snapshot of each source, as ``snapshots_before`` gives it. An edit costs a search in its source's ordered pages.
     """
     named = edits.withColumn("new_id", manual_id(F.col("source_id"), F.col("to_ordinal"), F.col("seq"))).select("source_id", "seq", "kind", "page_ids", "to_ordinal", "to_ticks", "to_segment_ix", "new_id")
     schema = "row string, source_id string, revision int, seq long, status string, code string, focus string, page_id string, rep_ordinal int, ticks long, origin string, origin_segment_ix int, derived_segment_ix int, last_edit string"
     whole = lambda v: None if v is None or pd.isna(v) else int(v)
+    start = F.col("revision") if "revision" in pages.columns else F.lit(0).alias("revision")
 
     def fold(key: tuple, own: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        rows = own.sort_values("ticks").drop(columns="source_id").to_dict("records")
-        revision, out = 0, []
-        for edit in log.sort_values("seq").to_dict("records"):
+        revision, out = int(own["revision"].max()) if len(own) else 0, []
+        rows = own[own["page_id"].notna()].sort_values("ticks", kind="stable").drop(columns=["source_id", "revision"]).to_dict("records")
+        index = PageIndex({**p, **{c: whole(p[c]) for c in ("rep_ordinal", "ticks", "origin_segment_ix", "derived_segment_ix")}} for p in rows)
+        for n, edit in enumerate(log.sort_values("seq").to_dict("records"), 1):
             edit |= {c: whole(edit[c]) for c in ("to_ordinal", "to_ticks", "to_segment_ix")} | {"page_ids": None if edit["page_ids"] is None else list(edit["page_ids"])}
-            rows, status, code, focus = apply_edit(rows, edit)
+            status, code, focus = index.apply(edit)
             revision += status == "changed"
             out.append({"row": "outcome", "revision": revision, "seq": edit["seq"], "status": status, "code": code, "focus": focus})
-        out += [{"row": "page", "revision": revision} | p | {c: whole(p[c]) for c in ("rep_ordinal", "ticks", "origin_segment_ix", "derived_segment_ix")} for p in rows]
+            if every and n % every == 0:
+                out += [{"row": "snapshot", "revision": revision, "seq": edit["seq"]} | p for p in ({}, *index.rows())]
+        out += [{"row": "page", "revision": revision} | p for p in index.rows()]
         names = [f.split()[0] for f in schema.split(", ")]
-        frame = pd.DataFrame([{n: r.get(n) for n in names} for r in out], columns=names, dtype=object)
+        frame = pd.DataFrame([[r.get(n) for n in names] for r in out], columns=names, dtype=object)
         return frame.assign(source_id=key[0])
 
-    return pages.select(*PAGE).groupBy("source_id").cogroup(named.groupBy("source_id")).applyInPandas(fold, schema)
+    return pages.select(*PAGE, start).groupBy("source_id").cogroup(named.groupBy("source_id")).applyInPandas(fold, schema)
+
+
+def snapshots_before(snapshots: DataFrame, seq: int) -> DataFrame:
+    """Of stored snapshot rows of ``replay``, each source's latest one at or before ``seq``: pages to go on from, with the seq they stand at."""
+    found = snapshots.where((F.col("row") == "snapshot") & (F.col("seq") <= seq))
+    latest = found.where("page_id IS NULL").groupBy("source_id").agg(F.max("seq").alias("seq"))
+    return found.join(latest, ["source_id", "seq"]).select(*PAGE, "revision", "seq")
+
+
+def replay_from(pages: DataFrame, snapshots: DataFrame, edits: DataFrame, upto: int) -> DataFrame:
+    """``replay`` of the edits up to ``upto`` from the latest stored snapshots: only later edits are read again; sources without a snapshot start from ``pages``."""
+    held = snapshots_before(snapshots, upto)
+    at = held.where("page_id IS NULL").select("source_id", F.col("seq").alias("at"))
+    fresh = pages.select(*PAGE).join(at, "source_id", "left_anti").withColumn("revision", F.lit(0))
+    rest = edits.join(at, "source_id", "left").where((F.col("seq") <= upto) & (F.col("at").isNull() | (F.col("seq") > F.col("at")))).drop("at")
+    return replay(held.drop("seq").unionByName(fresh), rest)

@@ -44,21 +44,25 @@ def t03_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where("row = 'reject'").select("source_id", "pts")
 
 
+STALL, TOTAL = 6 * 3_600_000_000, 30 * 3_600_000_000
+
+
 def t04_stalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions of users' events with pauses under 12 hours, put out as the watermark passes them.
+    """Watches over users, whose counters often repeat or fall: given up after 6 hours without an advance, or 30 hours in all.
 
-    The events come in three turns by time; a last row, far beyond them, moves the watermark past all sessions.
+    The events come in three turns by time; a last row, far beyond them, moves the watermark past all limits.
     """
-    rows = fx.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("is_end"))
+    counter = F.floor(F.col("event_id") / 40) + F.pmod(F.col("event_id") * 7, F.lit(25))
+    rows = fx.table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), counter.cast("long").alias("counter"), (F.col("event_type") == "error").alias("is_end"))
     span = rows.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
     if span["low"] is None:
-        return progress.stalls(rows, "12 HOURS").select("source_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n", "finished")
+        return spark.createDataFrame([], progress.WATCHES)
     third = (span["high"] - span["low"]) / 3
     cuts = [span["low"] + third, span["low"] + 2 * third]
     turned = rows.withColumn("turn", F.when(F.col("ts") < F.lit(cuts[0]), 0).when(F.col("ts") < F.lit(cuts[1]), 1).otherwise(2))
-    beyond = rows.sparkSession.range(1).select(F.lit("").alias("source_id"), (F.lit(span["high"]) + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(True).alias("is_end"), F.lit(3).alias("turn"))
-    got = runs.run_in_turns(turned.unionByName(beyond), [f"turn = {k}" for k in range(4)], lambda stream: progress.stalls(stream, "12 HOURS", "0 SECONDS"))
-    return got.select("source_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n", "finished")
+    beyond = rows.sparkSession.range(1).select(F.lit("").alias("source_id"), (F.lit(span["high"]) + F.expr("INTERVAL 30 DAYS")).alias("ts"), F.lit(0).cast("long").alias("counter"), F.lit(False).alias("is_end"), F.lit(3).alias("turn"))
+    got = runs.run_in_turns(turned.unionByName(beyond), [f"turn = {k}" for k in range(4)], lambda stream: progress.watches(stream, stall_us=STALL, total_us=TOTAL, delay="0 SECONDS"))
+    return got.where("source_id <> ''")
 
 
 def t05_latest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,10 +96,19 @@ SQL = {
     "t01_live_segments": fx.sql("SELECT source_id, segment_ix, first_ordinal, last_ordinal, start_ticks, end_ticks FROM b", fx.FRAMES_SQL, fx.SEGMENTS_SQL),
     "t02_live_anchor": detector_queries.SQL["w08_anchor_detector"],
     "t03_out_of_order": fx.sql("SELECT source_id, pts FROM (SELECT *, 2 * ordinal < count(*) OVER (PARTITION BY source_id) AS early FROM k) WHERE early AND ordinal % 5 = 0", fx.FRAMES_SQL),
-    "t04_stalls": """
-WITH e AS (SELECT CAST(user_id AS VARCHAR) AS source_id, epoch_us(ts) AS t, event_type = 'error' AS is_end FROM events),
-n AS (SELECT *, sum(CASE WHEN before IS NULL OR t - before >= 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY t) AS k FROM (SELECT *, lag(t) OVER (PARTITION BY source_id ORDER BY t) AS before FROM e))
-SELECT source_id, min(t) AS started, max(t) AS ended, count(*) AS n, bool_or(is_end) AS finished FROM n GROUP BY source_id, k
+    "t04_stalls": f"""
+WITH RECURSIVE e AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS source_id, epoch_us(ts) AS t, event_id // 40 + (event_id * 7) % 25 AS counter, event_type = 'error' AS is_end FROM events),
+k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY t, is_end, counter) AS k FROM e),
+a AS MATERIALIZED (SELECT *, k = 1 OR counter > max(counter) OVER (PARTITION BY source_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS advance FROM k),
+n AS MATERIALIZED (SELECT *, min(t) FILTER (advance) OVER (PARTITION BY source_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_advance FROM a),
+w AS MATERIALIZED (SELECT *, min(CASE WHEN advance AND (next_advance IS NULL OR next_advance - t >= {STALL}) THEN t + {STALL} END) OVER r AS stalled, min(k) FILTER (is_end) OVER r AS end_k, min(t) FILTER (is_end) OVER r AS end_t
+  FROM n WINDOW r AS (PARTITION BY source_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+z AS MATERIALIZED (SELECT source_id, k, t AS started, coalesce(end_t < least(stalled, t + {TOTAL}), false) AS finished, CASE WHEN end_t < least(stalled, t + {TOTAL}) THEN end_t ELSE least(stalled, t + {TOTAL}) END AS ended,
+  CASE WHEN end_t < least(stalled, t + {TOTAL}) THEN end_k END AS end_k, CASE WHEN end_t < least(stalled, t + {TOTAL}) THEN 'finished' WHEN t + {TOTAL} <= stalled THEN 'deadline' ELSE 'stall' END AS status FROM w WHERE advance),
+j AS MATERIALIZED (SELECT z.*, (SELECT min(a.k) FROM a WHERE a.source_id = z.source_id AND a.advance AND CASE WHEN z.finished THEN a.k > z.end_k ELSE a.t >= z.ended END) AS next_k FROM z),
+runs AS (SELECT source_id, k, 1 AS run FROM j WHERE k = 1 UNION ALL SELECT j.source_id, j.next_k, run + 1 FROM runs JOIN j USING (source_id, k) WHERE j.next_k IS NOT NULL)
+SELECT source_id, CAST(run AS INT) AS run, started, (SELECT max(a.t) FROM a WHERE a.source_id = j.source_id AND a.advance AND a.k >= j.k AND CASE WHEN j.finished THEN a.k <= j.end_k ELSE a.t < j.ended END) AS progressed, ended,
+  (SELECT max(a.counter) FROM a WHERE a.source_id = j.source_id AND a.advance AND a.k >= j.k AND CASE WHEN j.finished THEN a.k <= j.end_k ELSE a.t < j.ended END) AS counter, status FROM runs JOIN j USING (source_id, k)
 """,
     "t05_latest_progress": fx.sql("SELECT source_id, max(pts) AS counter FROM ev GROUP BY source_id", packet_queries._E),
     "t06_live_edits": fx.sql(f"{edit_queries._ADDED} UNION ALL SELECT * FROM dj UNION ALL SELECT * FROM rj", *edit_queries._ALL, edit_queries._DELETED.format(cols=edit_queries._COLS), edit_queries._MOVED.format(t="pd")),
