@@ -46,9 +46,9 @@ PRIOR = 30.0
 #: Added to each token's count in the base model (fixed by the contract).
 ADDED = 0.1
 #: Bytes of text of a block, one text at least.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Entries (an n-gram of a block) of a range of hashes, on average.
-RANGE_KEYS = 1_000_000
+RANGE_KEYS = 500_000
 LANE = 64
 #: The end of a text, as a token that no word can be.
 END = b" "
@@ -254,12 +254,14 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, order: int, block_bytes:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, number = [], 0, 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size >= block_bytes:
-                yield block(held, number)
-                held, size, number = [], 0, number + 1
+        for whole in batches:
+            step = max(1, whole.num_rows * block_bytes // max(1, whole.nbytes))
+            for at in range(0, whole.num_rows, step):
+                held.append(whole.slice(at, step))
+                size += held[-1].nbytes
+                if size >= block_bytes:
+                    yield block(held, number)
+                    held, size, number = [], 0, number + 1
         if held:
             yield block(held, number)
 
