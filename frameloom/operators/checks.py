@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from . import scans
 
 VIOLATION = ["source_id", "rule", "row_key", "detail"]
 
@@ -13,22 +14,20 @@ def violation(df: DataFrame, rule: str, row_key: Column, detail: Column) -> Data
     return df.select("source_id", F.lit(rule).alias("rule"), row_key.cast("string").alias("row_key"), detail.cast("string").alias("detail"))
 
 
-def out_of_order(rows: DataFrame, value: str, order: str = "ordinal") -> DataFrame:
-    """Rows whose value is not above that of the row before; adds prev_value."""
-    before = Window.partitionBy("source_id").orderBy(order)
-    return rows.withColumn("prev_value", F.lag(value).over(before)).where(F.col(value) <= F.col("prev_value"))
+def out_of_order(rows: DataFrame, value: str, order: str = "ordinal", stretch: int | None = None) -> DataFrame:
+    """Rows whose value is not above that of the row before; adds prev_value. For ``stretch`` see ``scans``."""
+    return scans.neighbours(rows, F.col(value), order, before="prev_value", stretch=stretch).where(F.col(value) <= F.col("prev_value"))
 
 
-def broken_ordinals(rows: DataFrame, order: str, ordinal: str = "ordinal") -> DataFrame:
+def broken_ordinals(rows: DataFrame, order: str, ordinal: str = "ordinal", stretch: int | None = None) -> DataFrame:
     """Rows whose ordinal is not their place in order, from 0; adds place."""
-    return rows.withColumn("place", (F.row_number().over(Window.partitionBy("source_id").orderBy(order)) - 1).cast("int")).where(F.col("place") != F.col(ordinal))
+    return scans.ranks(rows, order, "place", stretch).withColumn("place", (F.col("place") - 1).cast("int")).where(F.col("place") != F.col(ordinal))
 
 
-def drift(rows: DataFrame, value: str, order: str, unknown: Column, rejected: Column) -> DataFrame:
+def drift(rows: DataFrame, value: str, order: str, unknown: Column, rejected: Column, stretch: int | None = None) -> DataFrame:
     """Rows whose known value differs from the last known one, or is rejected outright; adds last_known and code."""
-    before = Window.partitionBy("source_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     known = rows.withColumn("_known", F.when(~unknown, F.col(value)))
-    told = known.withColumn("last_known", F.last("_known", ignorenulls=True).over(before))
+    told = scans.last_known(known, F.col("_known"), order, "last_known", stretch)
     code = F.when(rejected, "UnsupportedDisplayTransform").when(F.col("_known").isNotNull() & F.col("last_known").isNotNull() & (F.col("_known") != F.col("last_known")), "MetadataDrift")
     return told.withColumn("code", code).where("code IS NOT NULL").drop("_known")
 

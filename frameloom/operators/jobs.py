@@ -66,10 +66,15 @@ def phase_times(timings: DataFrame, phases: tuple[str, ...] = PHASES) -> DataFra
 
 
 def store_usage(files: DataFrame, reservations: DataFrame) -> DataFrame:
-    """(session, total_bytes, image_bytes, outstanding): what a session holds, and what is still reserved for it."""
+    """(session, total_bytes, image_bytes, outstanding): what a session holds, and what is still reserved for it beyond its images.
+
+    Sessions that have reserved room but no file yet are listed too.
+    """
     by = files.groupBy("session").agg(F.sum("bytes").alias("total_bytes"), F.sum(F.when(F.col("is_image"), F.col("bytes")).otherwise(0)).alias("image_bytes"))
     held = reservations.groupBy("session").agg(F.sum("ceiling").alias("ceiling"))
-    return by.join(held, "session", "left").select("session", "total_bytes", "image_bytes", F.greatest(F.lit(0).cast("long"), F.coalesce("ceiling", F.lit(0).cast("long")) - F.col("total_bytes")).alias("outstanding"))
+    none = F.lit(0).cast("long")
+    joined = by.join(held, "session", "full").select("session", *(F.coalesce(c, none).alias(c) for c in ("total_bytes", "image_bytes", "ceiling")))
+    return joined.select("session", "total_bytes", "image_bytes", F.greatest(none, F.col("ceiling") - F.col("image_bytes")).alias("outstanding"))
 
 
 def expired_sessions(sessions: DataFrame, pins: DataFrame, now: Column, complete_after: int, incomplete_after: int) -> DataFrame:

@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from . import scans
 
-def time_gaps(packets: DataFrame, sources: DataFrame) -> DataFrame:
-    """(source_id, ticks, gap, last): the gap before each time (the first: since 0), and to the duration after the last."""
-    order = Window.partitionBy("source_id").orderBy("ticks")
-    rows = packets.withColumn("gap", F.col("ticks") - F.coalesce(F.lag("ticks").over(order), F.lit(0).cast("long"))).withColumn("after", F.lead("ticks").over(order))
+
+def time_gaps(packets: DataFrame, sources: DataFrame, stretch: int | None = None) -> DataFrame:
+    """(source_id, ticks, gap, tail): the gap before each time (the first: since 0), and to the duration after the last; for ``stretch`` see ``scans``."""
+    rows = scans.neighbours(packets, F.col("ticks"), "ticks", "before", "after", stretch).withColumn("gap", F.col("ticks") - F.coalesce("before", F.lit(0).cast("long")))
     return rows.join(sources.select("source_id", "duration_ticks"), "source_id").select("source_id", "ticks", "gap", F.when(F.col("after").isNull(), F.col("duration_ticks") - F.col("ticks")).alias("tail"))
 
 
-def gap_policy(packets: DataFrame, sources: DataFrame, limit_ticks: int) -> DataFrame:
+def gap_policy(packets: DataFrame, sources: DataFrame, limit_ticks: int, stretch: int | None = None) -> DataFrame:
     """(source_id, n, max_gap, policy, reject_code): ``half`` if every gap, head and tail too, is below the limit.
 
     Times must begin at 0 or later, increase strictly and end before the duration.
     """
-    by = time_gaps(packets, sources).groupBy("source_id").agg(
+    by = time_gaps(packets, sources, stretch).groupBy("source_id").agg(
         F.count("*").alias("n"), F.max(F.greatest("gap", F.coalesce("tail", F.col("gap")))).alias("max_gap"), F.min("ticks").alias("first"), F.max("tail").alias("tail"), F.sum((F.col("gap") <= 0).cast("int")).alias("flat"), F.min("gap").alias("least")
     )
     # Only the first gap may be 0 (a first time of 0).

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.rational import div_ceil, div_floor
 from ..settings import BLACK_LEVEL
+from . import kernels
 
 FIRST_FRAMES = 8
 LEAST_SHARE = 0.25
+#: Pixels that are counted at once: 256 bins each.
+COUNTED = 1 << 14
 
 
 def first_rows(samples: DataFrame, n: int, order: str = "ordinal") -> DataFrame:
@@ -19,17 +26,74 @@ def first_rows(samples: DataFrame, n: int, order: str = "ordinal") -> DataFrame:
     return samples.withColumn(place, F.row_number().over(Window.partitionBy("source_id").orderBy(order))).where(F.col(place) <= n).drop(place)
 
 
+def counting_median(rows: np.ndarray, bins: int = 256) -> np.ndarray:
+    """Twice the median of each column of whole numbers below ``bins``, exactly: the two middle values are found by counting, not by sorting."""
+    n, width = rows.shape
+    out = np.empty(width, np.int64)
+    for at in range(0, width, COUNTED):
+        part = rows[:, at : at + COUNTED].astype(np.int64)
+        own = part.shape[1]
+        upto = np.bincount((np.arange(own) * bins + part).ravel(), minlength=own * bins).reshape(own, bins).cumsum(axis=1)
+        out[at : at + own] = (upto >= (n + 1) // 2).argmax(axis=1) + (upto >= n // 2 + 1).argmax(axis=1)
+    return out
+
+
+def median_images(frames: DataFrame, n: int = FIRST_FRAMES) -> DataFrame:
+    """(source_id, width, height, twice): one row a source, per pixel twice the median of its first n frames, as 16-bit integers.
+
+    Frames are px (array) or gray (a byte a pixel). A group is streamed; it holds n frames at most.
+    """
+    px = "gray" if "gray" in frames.columns else "px"
+    kernels.small_batches(frames.sparkSession)
+    first = first_rows(frames, n).select("source_id", "width", "height", F.col(px).alias("px"))
+
+    def median(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            values, lengths = kernels.flat(batch.column("px"))
+            held += [v.copy() for v in np.split(values, np.cumsum(lengths)[:-1])]
+            told = batch.select(["source_id", "width", "height"]).slice(0, 1)
+        twice = counting_median(np.stack(held)).astype("<u2").tobytes()
+        yield pa.RecordBatch.from_arrays([*told.columns, pa.array([twice], pa.binary())], names=[*told.schema.names, "twice"])
+
+    return first.groupBy("source_id").applyInArrow(median, "source_id string, width int, height int, twice binary")
+
+
 def pixel_median(frames: DataFrame, n: int = FIRST_FRAMES) -> DataFrame:
     """(source_id, width, height, y, x, v): per pixel the median of the first n frames."""
-    rows = first_rows(frames, n).select("source_id", "width", "height", F.posexplode("px").alias("i", "v"))
-    place = rows.select("source_id", "width", "height", F.floor(F.col("i") / F.col("width")).cast("int").alias("y"), (F.col("i") % F.col("width")).cast("int").alias("x"), "v")
-    return place.groupBy("source_id", "width", "height", "y", "x").agg(F.median("v").alias("v"))
+    keys = ["source_id", "width", "height"]
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        twice = [np.frombuffer(t, "<u2") for t in batch.column("twice").to_pylist()]
+        again = pa.array(np.repeat(np.arange(len(twice)), [len(t) for t in twice]))
+        y, x = (np.concatenate([np.divmod(np.arange(len(t)), w)[k] for t, w in zip(twice, batch.column("width").to_pylist(), strict=True)]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([*(batch.column(c).take(again) for c in keys), pa.array(y, pa.int32()), pa.array(x, pa.int32()), pa.array(np.concatenate(twice) / 2)], names=[*keys, "y", "x", "v"])
+
+    return kernels.mapped(median_images(frames, n).select(*keys, "twice"), "source_id string, width int, height int, y int, x int, v double", rows)
+
+
+def profiles(images: DataFrame) -> DataFrame:
+    """(source_id, side, i, v): the medians of each row (side y) and column (side x) of median images."""
+
+    def sides(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for source, w, twice in zip(*(batch.column(c).to_pylist() for c in ("source_id", "width", "twice")), strict=True):
+            image = np.frombuffer(twice, "<u2").reshape(-1, w)
+            out += [(source, side, i, v / 4) for side, rows in (("y", image.T), ("x", image)) for i, v in enumerate(counting_median(rows, 512).tolist())]
+        columns = zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int32(), pa.float64()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=["source_id", "side", "i", "v"])
+
+    return kernels.mapped(images.select("source_id", "width", "twice"), "source_id string, side string, i int, v double", sides)
+
+
+def lit_shares(images: DataFrame) -> DataFrame:
+    """(source_id, w, h, lit): the share of pixels of median images that are not black."""
 
+    def share(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lit = [float((np.frombuffer(t, "<u2") > 2 * BLACK_LEVEL).mean()) for t in batch.column("twice").to_pylist()]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("source_id", "width", "height")), pa.array(lit)], names=["source_id", "w", "h", "lit"])
 
-def profiles(medians: DataFrame) -> DataFrame:
-    """(source_id, side, i, v): the medians of each row (side y) and column (side x)."""
-    sides = F.explode(F.array(F.struct(F.lit("y").alias("side"), F.col("y").alias("i")), F.struct(F.lit("x").alias("side"), F.col("x").alias("i")))).alias("s")
-    return medians.select("source_id", "v", sides).groupBy("source_id", F.col("s.side").alias("side"), F.col("s.i").alias("i")).agg(F.median("v").alias("v"))
+    return kernels.mapped(images.select("source_id", "width", "height", "twice"), "source_id string, w int, h int, lit double", share)
 
 
 def automatic_roi(frames: DataFrame, n: int = FIRST_FRAMES) -> DataFrame:
@@ -37,10 +101,10 @@ def automatic_roi(frames: DataFrame, n: int = FIRST_FRAMES) -> DataFrame:
 
     Too dark a source, or too small a rest, keeps the full frame and says why.
     """
-    medians = pixel_median(frames, n)
-    lit = medians.groupBy("source_id").agg(F.first("width").alias("w"), F.first("height").alias("h"), (F.count_if(F.col("v") > BLACK_LEVEL) / F.count("*")).alias("lit"))
+    images = median_images(frames, n)
+    lit = lit_shares(images)
     bright = F.when(F.col("v") > BLACK_LEVEL, F.col("i"))
-    ends = profiles(medians).groupBy("source_id").agg(*(f(F.when(F.col("side") == side, bright)).alias(f"{name}_{side}") for side in ("x", "y") for f, name in ((F.min, "first"), (F.max, "last"))))
+    ends = profiles(images).groupBy("source_id").agg(*(f(F.when(F.col("side") == side, bright)).alias(f"{name}_{side}") for side in ("x", "y") for f, name in ((F.min, "first"), (F.max, "last"))))
     # A profile that is black throughout counts in full from either end.
     before = lambda side, length: F.coalesce(F.col(f"first_{side}"), length)
     after = lambda side, length: F.coalesce(length - 1 - F.col(f"last_{side}"), length)

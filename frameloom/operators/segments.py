@@ -8,17 +8,17 @@ from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.rational import seconds
 from ..settings import SpatialSettings
+from . import scans
 
 
 def _by(order: str) -> WindowSpec:
     return Window.partitionBy("source_id").orderBy(order)
 
 
-def segment_numbers(samples: DataFrame, flags: DataFrame, order: str = "ordinal") -> DataFrame:
-    """Samples with is_boundary and segment_ix, the running count of boundaries. Rows here hold no pixels."""
+def segment_numbers(samples: DataFrame, flags: DataFrame, order: str = "ordinal", stretch: int | None = None) -> DataFrame:
+    """Samples with is_boundary and segment_ix, the running count of boundaries. Rows here hold no pixels; for ``stretch`` see ``scans``."""
     marked = samples.join(flags.select("source_id", order, "is_boundary"), ["source_id", order], "left").withColumn("is_boundary", F.coalesce("is_boundary", F.lit(False)))
-    upto = _by(order).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("segment_ix", F.sum(F.col("is_boundary").cast("int")).over(upto).cast("int"))
+    return scans.running_count(marked, F.col("is_boundary"), order, "segment_ix", stretch).withColumn("segment_ix", F.col("segment_ix").cast("int"))
 
 
 def spatial_flags(pairs: DataFrame, settings: SpatialSettings) -> DataFrame:
@@ -26,10 +26,10 @@ def spatial_flags(pairs: DataFrame, settings: SpatialSettings) -> DataFrame:
     return pairs.withColumn("is_boundary", (F.col("changed_fraction") >= settings.changed_fraction) & (F.col("cell_fraction") >= settings.cell_fraction))
 
 
-def boundaries(numbered: DataFrame, pairs: DataFrame) -> DataFrame:
+def boundaries(numbered: DataFrame, pairs: DataFrame, stretch: int | None = None) -> DataFrame:
     """(source_id, boundary_ix, left_ordinal, right_ordinal, lower_ticks, upper_ticks, status, persistence, scores)."""
-    before = _by("ordinal")
-    timed = numbered.withColumn("left_ordinal", F.lag("ordinal").over(before)).withColumn("lower_ticks", F.lag("ticks").over(before)).where("is_boundary")
+    left = scans.neighbours(numbered, F.struct("ordinal", "ticks"), "ordinal", before="left", stretch=stretch)
+    timed = left.withColumn("left_ordinal", F.col("left.ordinal")).withColumn("lower_ticks", F.col("left.ticks")).where("is_boundary")
     scored = timed.join(pairs.select("source_id", "ordinal", "changed_fraction", "cell_fraction"), ["source_id", "ordinal"])
     return scored.select(
         "source_id", (F.col("segment_ix") - 1).alias("boundary_ix"), "left_ordinal", F.col("ordinal").alias("right_ordinal"), "lower_ticks", F.col("ticks").alias("upper_ticks"),
@@ -52,18 +52,17 @@ def pages_of_segments(segments: DataFrame) -> DataFrame:
     return segments.select("source_id", page_id.alias("page_id"), "rep_ordinal", F.lit("auto").alias("origin"), F.col("segment_ix").alias("origin_segment_ix"), F.col("segment_ix").alias("derived_segment_ix"), F.lit(None).cast("string").alias("last_edit"))
 
 
-def ranked(pages: DataFrame) -> DataFrame:
-    """Pages with their number from 1 in time order."""
-    return pages.withColumn("page", F.row_number().over(_by("ticks")).cast("int"))
+def ranked(pages: DataFrame, stretch: int | None = None) -> DataFrame:
+    """Pages with their number from 1 in time order; ``stretch`` is in ticks."""
+    return scans.ranks(pages, "ticks", "page", stretch).withColumn("page", F.col("page").cast("int"))
 
 
-def navigation(pages: DataFrame, sources: DataFrame) -> DataFrame:
+def navigation(pages: DataFrame, sources: DataFrame, stretch: int | None = None) -> DataFrame:
     """(source_id, page, page_id, start_ticks, end_ticks, start_s, end_s, reject_code) of pages with their times (ticks).
 
     Page 1 starts at 0; a page ends where the next begins, the last one at the duration; empty ranges are rejected.
     """
-    order = _by("ticks")
-    timed = ranked(pages).withColumn("next_ticks", F.lead("ticks").over(order)).join(sources.select("source_id", "duration_ticks", "tb_num", "tb_den"), "source_id")
+    timed = scans.neighbours(ranked(pages, stretch), F.col("ticks"), "ticks", after="next_ticks", stretch=stretch).join(sources.select("source_id", "duration_ticks", "tb_num", "tb_den"), "source_id")
     start = F.when(F.col("page") == 1, F.lit(0).cast("long")).otherwise(F.col("ticks"))
     timed = timed.withColumn("start_ticks", start).withColumn("end_ticks", F.coalesce("next_ticks", "duration_ticks"))
     num, den = F.col("tb_num"), F.col("tb_den")

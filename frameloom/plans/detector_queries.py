@@ -36,7 +36,7 @@ def a05_pixel_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a06_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roi.profiles(roi.pixel_median(bordered(spark, sf_dir)))
+    return roi.profiles(roi.median_images(bordered(spark, sf_dir)))
 
 
 def a07_automatic_roi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,8 +65,9 @@ def u01_sql_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u03_frame_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables.register(spark)
     _binary(spark, sf_dir).createOrReplaceTempView("u03_frames")
-    got = spark.sql("SELECT source_id, ordinal, t.ty, t.tx, t.px FROM u03_frames, LATERAL frame_tiles(gray, width, height, 3) t")
-    return got.select("source_id", "ordinal", "ty", "tx", F.array_join(F.transform("px", lambda v: v.cast("string")), " ").alias("px"))
+    got = spark.sql("SELECT * FROM frame_tiles(TABLE(u03_frames), 3)")
+    digits = F.transform(F.sequence(F.lit(1), F.octet_length("px")), lambda i: F.conv(F.hex(F.substring("px", i, F.lit(1))), 16, 10))
+    return got.select("source_id", "ordinal", "ty", "tx", F.array_join(digits, " ").alias("px"))
 
 
 def s06_simple_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,14 @@ def analysis(spark: SparkSession, sf_dir: str) -> flagship.Analysis:
     return flagship.analyse(frames, sources, fx.timed_samples(frames, sources), fx.SMALL)
 
 
+def packed_analysis(spark: SparkSession, sf_dir: str) -> flagship.Analysis:
+    """The same over frames of one binary value each: the form for frames of real size. Chunks of 16 frames, so segments span them."""
+    frames = fx.frames(spark, sf_dir)
+    gray = F.unhex(F.array_join(F.transform("px", lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")), "")).alias("gray")
+    sources = fx.frame_sources(frames)
+    return flagship.analyse(frames.select("source_id", "ordinal", "width", "height", gray), sources, fx.timed_samples(frames, sources), fx.SMALL, chunk=16)
+
+
 def _text(column) -> object:
     return F.array_join(F.transform(column, lambda v: v.cast("string")), " ")
 
@@ -102,7 +110,20 @@ def w09_page_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.ranked(analysis(spark, sf_dir).pages).select("source_id", "page_id", "page")
 
 
-QUERIES = {f.__name__: f for f in (p07_valid_pixels, p10_split_tiles, j06_adjacent_pair, a02_tile_change, a03_pair_change, w03_segment_numbers, w03_boundaries, w04_segment_bounds, a08_bright_composite, a09_support_counts, a10_frame_score, a11_representative, a12_diagnostics, j11_tile_neighbours, e07_pages_of_segments, w05_navigation, w09_page_rank)}
+def a03_packed_pair_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_analysis(spark, sf_dir).pairs.drop("prev_ordinal")
+
+
+def a12_packed_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_analysis(spark, sf_dir).reps
+
+
+def w05_packed_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship over binary frames, whose pixels are exchanged once."""
+    return packed_analysis(spark, sf_dir).navigation
+
+
+QUERIES = {f.__name__: f for f in (p07_valid_pixels, p10_split_tiles, j06_adjacent_pair, a02_tile_change, a03_pair_change, w03_segment_numbers, w03_boundaries, w04_segment_bounds, a08_bright_composite, a09_support_counts, a10_frame_score, a11_representative, a12_diagnostics, j11_tile_neighbours, e07_pages_of_segments, w05_navigation, w09_page_rank, a03_packed_pair_change, a12_packed_diagnostics, w05_packed_navigation)}
 
 _F, _S, _R = fx.FRAMES_SQL, fx.SEGMENTS_SQL, fx.REPRESENTATIVES_SQL
 SQL = {
@@ -141,3 +162,4 @@ SQL = {
     ),
     "w09_page_rank": fx.sql("SELECT source_id, page_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY ticks) AS INT) AS page FROM g", _F, _S, _R),
 }
+SQL |= {"a03_packed_pair_change": SQL["a03_pair_change"], "a12_packed_diagnostics": SQL["a12_diagnostics"], "w05_packed_navigation": SQL["w05_navigation"]}

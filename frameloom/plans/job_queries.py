@@ -69,7 +69,9 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a17_store_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reserved = fx.table(spark, sf_dir, "orders").where("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("session"), F.floor("o_totalprice").cast("long").alias("ceiling"))
+    """Orders reserve room for their lines; every seventh order also for a session that has no file yet."""
+    orders = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session"), F.floor("o_totalprice").cast("long").alias("ceiling"))
+    reserved = orders.where("session % 4 <> 0").union(orders.where("session % 7 = 0").select(-F.col("session") - 1, "ceiling"))
     return jobs.store_usage(_files(spark, sf_dir), reserved)
 
 
@@ -110,7 +112,7 @@ def a13_duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w06_metadata_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles of a conversation: ``system`` is unknown; a change against the last known role is drift."""
     rows = fx.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("source_id"), "turn", "role")
-    got = checks.drift(rows, "role", "turn", F.col("role") == "system", F.lit(False))
+    got = checks.drift(rows, "role", "turn", F.col("role") == "system", F.lit(False), stretch=4)
     return got.select("source_id", "turn", "role", "last_known", "code")
 
 
@@ -174,7 +176,9 @@ SELECT *, greatest(detection - cache_prepare, 0) AS detector_exclusive FROM (SEL
     + " FROM events GROUP BY user_id)",
     "a17_store_usage": """
 WITH f AS (SELECT l_orderkey AS session, CAST(sum(CAST(l_quantity * 1000 AS BIGINT)) AS BIGINT) AS total_bytes, CAST(coalesce(sum(CAST(l_quantity * 1000 AS BIGINT)) FILTER (l_linenumber % 3 <> 0), 0) AS BIGINT) AS image_bytes FROM lineitem GROUP BY 1)
-SELECT session, total_bytes, image_bytes, greatest(0, coalesce(CAST(floor(o_totalprice) AS BIGINT), 0) - total_bytes) AS outstanding FROM f LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 4 <> 0) o ON o.o_orderkey = f.session
+SELECT session, total_bytes, image_bytes, greatest(0, coalesce(CAST(floor(o_totalprice) AS BIGINT), 0) - image_bytes) AS outstanding FROM f LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 4 <> 0) o ON o.o_orderkey = f.session
+UNION ALL SELECT -o_orderkey - 1, 0, 0, CAST(floor(o_totalprice) AS BIGINT) FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT o_orderkey, 0, 0, CAST(floor(o_totalprice) AS BIGINT) FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
 """,
     "a18_expired_sessions": f"""
 SELECT session, complete, updated_at, {NOW} - updated_at AS age FROM (SELECT l_orderkey AS session, bool_and(l_linestatus = 'F') AS complete, CAST(max(epoch(l_shipdate)) AS BIGINT) AS updated_at, count(*) FILTER (l_returnflag = 'R') AS pins FROM lineitem GROUP BY 1)

@@ -8,12 +8,14 @@ from pyspark.sql.window import Window
 
 from .. import fixtures as fx
 from ..functions import rational
-from ..operators import lookups, policies
+from ..operators import lookups, policies, scans
 from ..sources import packets as source
 
 START = 1_704_067_200_000_000  # 2024-01-01 in microseconds
 DURATION = 31 * 86_400_000_000
 LIMIT = 561_600_000_000  # 6.5 days
+#: Rows of a stretch of the one long source, about.
+LONG_STRETCH = 5000
 #: Ticks of a stretch, a day: longer sources are ordered by a task a stretch.
 STRETCH = 86_400_000_000
 
@@ -47,7 +49,17 @@ def s02_key_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w01_time_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = key_times(spark, sf_dir)
-    return policies.time_gaps(keys, sources(keys))
+    return policies.time_gaps(keys, sources(keys), DURATION // 16)
+
+
+def w03_long_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one long source, ordered by many tasks: running count of errors, place, the event before, and the last buyer so far."""
+    rows = fx.table(spark, sf_dir, "events").select(F.lit("all").alias("source_id"), F.col("event_id").cast("long").alias("ordinal"), "user_id", "event_type")
+    told = scans.running_count(rows, F.col("event_type") == "error", "ordinal", "segment_ix", LONG_STRETCH)
+    told = scans.ranks(told, "ordinal", "place", LONG_STRETCH)
+    told = scans.neighbours(told, F.col("user_id"), "ordinal", "user_before", "user_after", LONG_STRETCH)
+    told = scans.last_known(told, F.when(F.col("event_type") == "purchase", F.col("user_id")), "ordinal", "last_buyer", LONG_STRETCH)
+    return told.select("ordinal", "segment_ix", "place", "user_before", "user_after", "last_buyer")
 
 
 def a01_gap_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +118,7 @@ def j05_exact_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_id", "event_id", "pts", "value", F.lit(None).cast("string").alias("reject_code")).unionByName(failed.select("source_id", "event_id", "pts", F.lit(None).cast("double").alias("value"), F.lit("FrameNotFound").alias("reject_code")))
 
 
-QUERIES = {f.__name__: f for f in (s02_key_packets, w01_time_gaps, a01_gap_policy, p01_media_time, p11_observations, p18_resolve_policy, j02_covering_segment, j03_nearest_sample, j04_reconcile, j05_exact_frames)}
+QUERIES = {f.__name__: f for f in (s02_key_packets, w01_time_gaps, w03_long_source, a01_gap_policy, p01_media_time, p11_observations, p18_resolve_policy, j02_covering_segment, j03_nearest_sample, j04_reconcile, j05_exact_frames)}
 
 _E = f"""
 ev AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS source_id, epoch_us(ts) - {START} AS pts, event_type, value, event_id FROM events),
@@ -148,3 +160,8 @@ SQL = {
         _E,
     ),
 }
+SQL["w03_long_source"] = """
+WITH e AS (SELECT CAST(event_id AS BIGINT) AS ordinal, user_id, event_type, CASE WHEN event_type = 'purchase' THEN user_id END AS buyer FROM events)
+SELECT ordinal, CAST(count(*) FILTER (event_type = 'error') OVER w AS BIGINT) AS segment_ix, row_number() OVER w AS place, lag(user_id) OVER w AS user_before, lead(user_id) OVER w AS user_after,
+last_value(buyer IGNORE NULLS) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_buyer FROM e WINDOW w AS (ORDER BY ordinal)
+"""
