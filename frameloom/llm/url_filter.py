@@ -13,7 +13,7 @@ name give way.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 from .common import add_columns
 
 ALLOW, BLOCK = "allow", "block"
+#: Words of 64 bits that the states of the URLs walked at once take: 8 MB, a few times over.
+SLICE_WORDS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,7 @@ GLOBS = tuple(
     + [Rule(g, ALLOW, g, 2) for g in ("*.edu/**", "*.gov/**", "*.edu", "*.gov")]
 )
 
-#: The blocking host globs without a path, for URLs that have none. OP5_SQL is made of GLOBS alone and lets such URLs pass.
+#: The blocking host globs without a path, for URLs that have none.
 BARE_HOSTS = tuple(Rule(g, BLOCK, g, 1) for g in (r.glob.removesuffix("/**") for r in GLOBS if r.verdict == BLOCK and r.glob.startswith("*.") and r.glob.endswith("/**")))
 
 
@@ -114,7 +116,22 @@ class Automaton:
         return np.packbits(wide, axis=1, bitorder="little").view("<u8")
 
     def fits(self, texts: Sequence[bytes]) -> np.ndarray:
-        """A row a text, a column a pattern: whether the whole text fits."""
+        """A row a text, a column a pattern: whether the whole text fits. Texts are walked in slices, so that states stay small whatever the number of patterns."""
+        return np.concatenate([self._fits(part) for part in self._slices(texts)]) if texts else np.empty((0, len(self.final)), bool)
+
+    def first(self, texts: Sequence[bytes]) -> list[int]:
+        """The first pattern that each whole text fits, or -1."""
+        found = []
+        for part in self._slices(texts):
+            fits = self._fits(part)
+            found += np.where(fits.any(axis=1), fits.argmax(axis=1), -1).tolist() if self.final else [-1] * len(part)
+        return found
+
+    def _slices(self, texts: Sequence[bytes]) -> Iterator[Sequence[bytes]]:
+        step = max(1, SLICE_WORDS // self.match.shape[1])  # a pattern has a sign at least, so words bound the patterns too
+        return (texts[at : at + step] for at in range(0, len(texts), step))
+
+    def _fits(self, texts: Sequence[bytes]) -> np.ndarray:
         n, words = len(texts), self.match.shape[1]
         lengths = np.fromiter(map(len, texts), np.int64, n)
         order = np.argsort(-lengths, kind="stable")  # those still running come first
@@ -149,15 +166,13 @@ def host_and_path(url: bytes) -> tuple[bytes, bytes]:
     return host.lower(), slash + path
 
 
-#: Rules that a table may hold: they are compiled on the driver, some 20 masks of 64 bits each per 64 signs.
-MOST_RULES = 10_000
+def rules_of(table: DataFrame) -> list[Rule]:
+    """Rules from a table (glob, verdict, rank), whatever their number; names are the globs. Null or other verdicts are refused.
 
-
-def rules_of(table: DataFrame, most: int = MOST_RULES) -> list[Rule]:
-    """Rules from a table (glob, verdict, rank); names are the globs. Null or other verdicts, and more rows than ``most``, are refused."""
-    rows = table.select("glob", "verdict", "rank").distinct().orderBy("rank", "glob", "verdict").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} rules")
+    Rules are the query of the operator, not its corpus: they are held by the driver and by each worker, at some 4 kB a glob of 35 signs
+    (two masks for each byte value).
+    """
+    rows = table.select("glob", "verdict", "rank").distinct().orderBy("rank", "glob", "verdict").collect()
     if any(r["glob"] is None or r["rank"] is None or r["verdict"] not in (ALLOW, BLOCK) for r in rows):
         raise ValueError("a rule needs a glob, a rank and a verdict of allow or block")
     return [Rule(r["glob"], r["verdict"], r["glob"], r["rank"]) for r in rows]
@@ -170,10 +185,7 @@ def judge(pages: DataFrame, rules: Iterable[Rule] = (*BASE_RULES, *GLOBS, *BARE_
 
     def score(urls: list[bytes]) -> list:
         parts = [host_and_path(u) for u in urls]
-        fits = automaton.fits([b"." + h + p if h or p else b"" for h, p in parts])
-        any_fit = fits.any(axis=1)
-        best = fits.argmax(axis=1) if rules else np.zeros(len(urls), np.int64)
-        chosen = [rules[b] if a else None for a, b in zip(any_fit.tolist(), best.tolist(), strict=True)]
+        chosen = [rules[k] if k >= 0 else None for k in automaton.first([b"." + h + p if h or p else b"" for h, p in parts])]
         return [
             [h.decode() for h, _ in parts],
             [p.decode() for _, p in parts],
@@ -191,8 +203,8 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same verdicts by LIKE and regular expressions over host and path."""
-    globs = sorted(GLOBS, key=lambda r: -r.rank)
+    """The same verdicts by comparisons and regular expressions over host and path, of all rules."""
+    globs = sorted((*GLOBS, *BARE_HOSTS), key=lambda r: -r.rank)
     cases = "".join(f"\n            WHEN regexp_full_match(u, '{_regex(r.glob)}') THEN {k}" for k, r in enumerate(globs))
     table = ", ".join(f"({k}, '{r.glob}', '{r.verdict}')" for k, r in enumerate(globs))
     base = sorted(BASE_RULES, key=lambda r: -r.rank)

@@ -165,9 +165,34 @@ def test_rules_may_come_from_a_table(spark):
     rules = uf.rules_of(table)
     assert len(rules) == 2
     assert [(r["verdict"], r["pattern"]) for r in uf.judge(pages, rules).collect()] == [("block", "*.bad/**"), ("allow", "**/ok*"), ("allow", None)]
-    for wrong, most in ((table, 1), (table.withColumn("verdict", F.lit("perhaps")), 9)):
-        with pytest.raises(ValueError):
-            uf.rules_of(wrong, most)
+    with pytest.raises(ValueError):
+        uf.rules_of(table.withColumn("verdict", F.lit("perhaps")))
+
+
+def test_thousands_of_rules(spark, monkeypatch):
+    """Every rule counts, and URLs are walked in slices whose states stay small."""
+    table = spark.range(12_000).select(F.concat(F.lit("*.site"), "id", F.lit(".example/**")).alias("glob"), F.lit("block").alias("verdict"), F.lit(1).alias("rank"))
+    rules = uf.rules_of(table)
+    assert len(rules) == 12_000
+    monkeypatch.setattr(uf, "SLICE_WORDS", 40_000)
+    automaton = uf.Automaton([r.glob for r in rules])
+    seen, walk = [], automaton._fits
+    monkeypatch.setattr(automaton, "_fits", lambda part: seen.append(len(part)) or walk(part))
+    hit = [b".site11999.example/a", b".www.site0.example/", b".site12000.example/a", b".site5.example"] * 20
+    assert [rules[k].glob if k >= 0 else None for k in automaton.first(hit)] == ["*.site11999.example/**", "*.site0.example/**", None, None] * 20
+    assert max(seen) * automaton.match.shape[1] <= 40_000 and sum(seen) == 80
+
+
+def test_query_and_sql_agree_on_hosts_without_a_path(spark, tmp_path):
+    import duckdb
+
+    urls = [f"http://{h}{rest}" for h in ("casino.com", "my-poker.net", "ads.example", "x.adserver", "plain.example", "uni.edu", "a.com") for rest in ("", "/", "?x", "#y", "/en/1", "/ads/x")] + [None, "", "no scheme", "http://", "HTTP://CASINO.COM"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted((tuple(r) for r in uf.op5_url_filter(spark, str(tmp_path)).collect()), key=repr)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(db.sql(uf.OP5_SQL).fetchall(), key=repr)
+    assert {r[0] for r in got if r[4] == "block"} >= {urls.index("http://casino.com"), urls.index("http://my-poker.net?x")}
 
 
 def test_no_rules_and_no_rows(spark):
