@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 #: White space of the contracts, as Java and RE2 read it.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: Bytes of an Arrow batch, in the JVM as in Python: what a task derives from a text can be several times as large.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: A key with more than a MAX_HOT-th of all rows is hot. So there are fewer than MAX_HOT hot keys at any size of the input.
 MAX_HOT = 10_000
 WORD_RUN = r"[^\x20\x09-\x0D]+"
@@ -92,6 +93,14 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def give_back() -> None:
+    """At a task's end: memory that Arrow and the C library keep for later goes back, as idle workers stay alive beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def bytes_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """A string column as UTF-8 bytes; null counts as empty."""
     array = batch.column(batch.schema.get_field_index(column)).cast(pa.binary())
@@ -124,6 +133,7 @@ def add_columns(df: DataFrame, text: str, fields: list[T.StructField], score: Ca
                 found = score(bytes_of(batch, text))
                 arrays = [pa.array(x, type=k) for x, k in zip(found, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in places), *arrays], names=names)
+        give_back()
 
     return keep.mapInArrow(run, schema)
 
