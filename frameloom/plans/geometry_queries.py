@@ -51,7 +51,7 @@ def p03_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p04_color_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.with_color_policy(sources(spark, sf_dir)).select("part", "matrix", "range", "color_warning", "reject_code")
+    return geometry.with_color_policy(sources(spark, sf_dir)).select("part", "matrix", "range", "color_warning", "assumed_matrix", "reject_code")
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +139,7 @@ SELECT l_orderkey, a, b, (a - r) // b AS floor, CASE WHEN r = 0 THEN a // b ELSE
         o AS (SELECT *, CASE WHEN rgb THEN 'rgb' WHEN m IN ('unknown', 'unspecified') THEN assumed WHEN m IN ('bt470bg', 'smpte170m') THEN 'bt601' WHEN m = 'bt709' THEN m END AS mo,
         CASE WHEN rgb THEN 'full' WHEN g IN ('unknown', 'tv') THEN 'limited' WHEN g IN ('pc', 'jpeg') THEN 'full' END AS ro FROM n),
         p AS (SELECT *, rotation = 45 OR interlaced OR t IN ('smpte2084', 'log316') OR (rgb AND m NOT IN ('unknown', 'rgb', 'gbr')) OR mo IS NULL OR ro IS NULL AS bad FROM o)
-        SELECT part, CASE WHEN NOT bad THEN mo END AS matrix, CASE WHEN NOT bad THEN ro END AS range, CASE WHEN NOT bad AND NOT rgb AND m IN ('unknown', 'unspecified') THEN 'SDR matrix unspecified; assumed ' || assumed || ' limited range' END AS color_warning,
+        SELECT part, CASE WHEN NOT bad THEN mo END AS matrix, CASE WHEN NOT bad THEN ro END AS range, CASE WHEN NOT bad AND NOT rgb AND m IN ('unknown', 'unspecified') THEN 'MatrixAssumed' END AS color_warning, CASE WHEN NOT bad AND NOT rgb AND m IN ('unknown', 'unspecified') THEN assumed END AS assumed_matrix,
         CASE WHEN bad THEN 'UnsupportedDisplayTransform' END AS reject_code FROM p""",
         _SRC,
     ).replace("\n,", ",", 1),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,9 @@ from pyspark.sql.window import Window
 from .. import fixtures as fx
 from ..functions import rational
 from ..operators import lookups, policies, scans
+from ..sources import packet_source
 from ..sources import packets as source
+from .staging import shared_folder
 
 START = 1_704_067_200_000_000  # 2024-01-01 in microseconds
 DURATION = 31 * 86_400_000_000
@@ -47,6 +51,17 @@ def s02_key_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select("source_id", "pts", "is_key")
 
 
+def s02_packet_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the packets of twelve sources, written as one text file each and read again by byte ranges: the byte that a line begins at gives its order."""
+    rows = fx.table(spark, sf_dir, "events").select(F.pmod(F.col("user_id"), F.lit(12)).cast("string").alias("source_id"), F.col("event_id").cast("long").alias("pts"), "event_type")
+    line = F.concat(F.lit("pts="), F.col("pts").cast("string"), F.lit("|flags="), F.when(F.col("event_type") == "view", "K__").otherwise("___")).alias("value")
+    path = f"{shared_folder(spark)}/packets-{uuid.uuid4().hex}"
+    rows.repartition(12, "source_id").sortWithinPartitions("source_id", "pts").select("source_id", line).write.partitionBy("source_id").text(path)
+    lines = packet_source.read_packet_lines(spark, path, 16 << 10).withColumn("source_id", F.regexp_extract("source_id", "source_id=([^/]+)/", 1))
+    good, _ = source.key_packets(lines, lines.select("source_id", F.lit(0).cast("long").alias("origin_pts")).distinct())
+    return good.select("source_id", "pts", "is_key")
+
+
 def w01_time_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = key_times(spark, sf_dir)
     return policies.time_gaps(keys, sources(keys), DURATION // 16)
@@ -118,7 +133,7 @@ def j05_exact_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source_id", "event_id", "pts", "value", F.lit(None).cast("string").alias("reject_code")).unionByName(failed.select("source_id", "event_id", "pts", F.lit(None).cast("double").alias("value"), F.lit("FrameNotFound").alias("reject_code")))
 
 
-QUERIES = {f.__name__: f for f in (s02_key_packets, w01_time_gaps, w03_long_source, a01_gap_policy, p01_media_time, p11_observations, p18_resolve_policy, j02_covering_segment, j03_nearest_sample, j04_reconcile, j05_exact_frames)}
+QUERIES = {f.__name__: f for f in (s02_key_packets, s02_packet_index, w01_time_gaps, w03_long_source, a01_gap_policy, p01_media_time, p11_observations, p18_resolve_policy, j02_covering_segment, j03_nearest_sample, j04_reconcile, j05_exact_frames)}
 
 _E = f"""
 ev AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS source_id, epoch_us(ts) - {START} AS pts, event_type, value, event_id FROM events),
@@ -165,3 +180,4 @@ WITH e AS (SELECT CAST(event_id AS BIGINT) AS ordinal, user_id, event_type, CASE
 SELECT ordinal, CAST(count(*) FILTER (event_type = 'error') OVER w AS BIGINT) AS segment_ix, row_number() OVER w AS place, lag(user_id) OVER w AS user_before, lead(user_id) OVER w AS user_after,
 last_value(buyer IGNORE NULLS) OVER (ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_buyer FROM e WINDOW w AS (ORDER BY ordinal)
 """
+SQL["s02_packet_index"] = "SELECT CAST(user_id % 12 AS VARCHAR) AS source_id, CAST(event_id AS BIGINT) AS pts, true AS is_key FROM events WHERE event_type = 'view'"
