@@ -82,6 +82,13 @@ def w08_anchor_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchor.anchor_groups(frames.join(samples, ["source_id", "ordinal"]), fx.SMALL_ANCHOR)
 
 
+def w08_speculative_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over pieces of twelve frames, each folded by a task of its own and stitched."""
+    frames = fx.frames(spark, sf_dir)
+    samples = fx.timed_samples(frames, fx.frame_sources(frames)).select("source_id", "ordinal", "ticks")
+    return anchor.speculative_groups(frames.join(samples, ["source_id", "ordinal"]), fx.SMALL_ANCHOR, 12)
+
+
 def w02_order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order whose ship date does not come after that of the line before."""
     rows = fx.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("source_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("place"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long").alias("day"))
@@ -94,7 +101,7 @@ def w07_broken_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.broken_ordinals(rows, "place_by").select("source_id", "ordinal", "part", "place")
 
 
-QUERIES = {f.__name__: f for f in (a05_pixel_median, a06_profiles, a07_automatic_roi, p08_resolve_roi, o01_first_samples, a04_local_change, w08_anchor_detector, w02_order_violations, w07_broken_ordinals)}
+QUERIES = {f.__name__: f for f in (a05_pixel_median, a06_profiles, a07_automatic_roi, p08_resolve_roi, o01_first_samples, a04_local_change, w08_anchor_detector, w08_speculative_anchor, w02_order_violations, w07_broken_ordinals)}
 
 _F = fx.FRAMES_SQL
 #: Differences of all pairs of frames of a source (pairs: which), whole and by overlapping tiles.
@@ -160,3 +167,4 @@ SQL = {
     "w07_broken_ordinals": """SELECT * FROM (SELECT CAST(l_orderkey AS VARCHAR) AS source_id, l_linenumber - 1 AS ordinal, l_partkey AS part, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS INT) AS place FROM lineitem) WHERE place <> ordinal""",
 }
 SQL["a04_local_change"] = SQL["a04_local_change"].replace("\n,", ",", 1)
+SQL["w08_speculative_anchor"] = SQL["w08_anchor_detector"]

@@ -234,6 +234,30 @@ def s08_page_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source_id", "page", "pts", "width", "height", F.array_join(F.transform("px", lambda v: v.cast("string")), " ").alias("px"))
 
 
+def s09_incremental_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run after two sources have lost their later frames and one has gone: only those two are analysed again."""
+    from . import flagship, incremental
+
+    frames = fx.frames(spark, sf_dir)
+    later = frames.where("source_id <> '9' AND NOT (source_id IN ('3', '5') AND ordinal >= 20)")
+    store = publish.Store(spark, f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}")
+
+    def listing(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("source_id").agg(F.count("*").alias("size_bytes"), F.sum("pts").cast("string").alias("fingerprint")).withColumn("settings_key", F.lit("k"))
+
+    def analysed(rows: DataFrame):
+        def work(asked: DataFrame) -> dict[str, DataFrame]:
+            own = rows.join(asked, "source_id", "left_semi")
+            sources = fx.frame_sources(own)
+            return {"pages": flagship.analyse(own, sources, fx.timed_samples(own, sources), fx.SMALL).pages.select("source_id", "page_id", "ticks")}
+
+        return work
+
+    incremental.incremental_run(store, "r1", listing(frames), analysed(frames))
+    incremental.incremental_run(store, "r2", listing(later), analysed(later), "r1")
+    return store.read("r2", "pages").join(store.read("r2", "lineage"), "source_id").select("source_id", "page_id", "ticks", "from_run", "change")
+
+
 def s09_publish_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and bounds published as one run, and read back through the manifest."""
     found = frame_queries.analysis(spark, sf_dir)
@@ -243,7 +267,7 @@ def s09_publish_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("r1", "pages").withColumn("run_id", F.lit("r1")).join(manifest, "run_id").select("source_id", "page_id", "ticks", "run_id", "n_rows", "status")
 
 
-QUERIES = {f.__name__: f for f in (s03_frame_check, p10_binary_tiles, p09_prepare_frames, p17_crop, u01_sql_pixels, u03_frame_tiles, s06_simple_documents, s07_detailed_documents, s07_half_documents, s07_anchor_documents, v01_document_rules, v01_half_rules, v01_anchor_rules, s08_page_frames, s09_publish_run)}
+QUERIES = {f.__name__: f for f in (s03_frame_check, p10_binary_tiles, p09_prepare_frames, p17_crop, u01_sql_pixels, u03_frame_tiles, s06_simple_documents, s07_detailed_documents, s07_half_documents, s07_anchor_documents, v01_document_rules, v01_half_rules, v01_anchor_rules, s08_page_frames, s09_incremental_run, s09_publish_run)}
 
 _F, _S, _R = fx.FRAMES_SQL, fx.SEGMENTS_SQL, fx.REPRESENTATIVES_SQL
 #: The same over every second frame.
@@ -297,5 +321,9 @@ SQL = {
         JOIN k ON k.source_id = g.source_id AND k.ordinal = g.rep_ordinal JOIN p ON p.source_id = g.source_id AND p.ordinal = g.rep_ordinal WHERE x BETWEEN 2 AND 6 AND y BETWEEN 1 AND 6 GROUP BY ALL""",
         _F, _S, _R,
     ),
+    "s09_incremental_run": fx.sql(
+        "SELECT source_id, page_id, ticks, CASE WHEN source_id IN ('3', '5') THEN 'r2' ELSE 'r1' END AS from_run, CASE WHEN source_id IN ('3', '5') THEN 'size_bytes,fingerprint' END AS change FROM g",
+        _F.replace("vec_id, embedding FROM embeddings)", "vec_id, embedding FROM embeddings QUALIFY label <> 9 AND NOT (label IN (3, 5) AND row_number() OVER (PARTITION BY label ORDER BY vec_id) > 20))"), _S, _R,
+    ),
     "s09_publish_run": fx.sql("SELECT source_id, page_id, ticks, 'r1' AS run_id, (SELECT count(*) FROM g) AS n_rows, 'published' AS status FROM g", _F, _S, _R),
 }

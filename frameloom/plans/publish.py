@@ -40,9 +40,9 @@ class Store:
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def runs(self) -> DataFrame:
-        """The manifest rows of published runs: of each run those of its last attempt."""
-        at, store = self._files("manifest/*/attempt-*")
+    def runs(self, run_id: str | None = None) -> DataFrame:
+        """The manifest rows of published runs (or of one, whose manifests alone are read): of each run those of its last attempt."""
+        at, store = self._files(f"manifest/{'*' if run_id is None else run_id}/attempt-*")
         names = [x.getPath().toString() for x in store.globStatus(at) or ()]
         if not names:
             return self.spark.createDataFrame([], MANIFEST)
@@ -51,7 +51,20 @@ class Store:
         return rows.join(last, ["run_id", "attempt"]).select(rows.columns)
 
     def is_published(self, run_id: str) -> bool:
-        return bool(self.runs().where(F.col("run_id") == run_id).limit(1).count())
+        return bool(self.runs(run_id).limit(1).count())
+
+    def sweep(self, run_id: str) -> list[str]:
+        """Removes what attempts left that no manifest of the run names, and gives their folders. Not while another writer is at it."""
+        known = {r["path"].rsplit("/", 1)[0].rsplit("/", 1)[1] for r in self._manifests(run_id).select("path").distinct().collect()}  # a few paths a run
+        at, store = self._files(f"run_id={run_id}/*")
+        broken = [x.getPath() for x in store.globStatus(at) or () if x.getPath().getName() not in known]
+        return [p.toString() for p in broken if store.delete(p, True)]
+
+    def _manifests(self, run_id: str) -> DataFrame:
+        """The manifest rows of all attempts of a run."""
+        at, store = self._files(f"manifest/{run_id}/attempt-*")
+        names = [x.getPath().toString() for x in store.globStatus(at) or ()]
+        return self.spark.read.schema(MANIFEST).json(names) if names else self.spark.createDataFrame([], MANIFEST)
 
     def publish(self, run_id: str, tables: dict[str, DataFrame], overwrite: bool = False, guards: dict[str, DataFrame] | None = None) -> str:
         """Writes all tables, then the manifest. Guards are DataFrames that must be empty. Returns the status.
@@ -65,7 +78,7 @@ class Store:
         if broken:
             raise ValueError(f"guards not met: {', '.join(broken)}")
         lines, same = [], True
-        last = self.runs().where(F.col("run_id") == run_id).agg(F.max("attempt")).first()[0]
+        last = self.runs(run_id).agg(F.max("attempt")).first()[0]
         attempt, folder = (last or 0) + 1, f"{self.root}/run_id={run_id}/{uuid.uuid4().hex}"
         for name, df in tables.items():
             path, seen = f"{folder}/{name}", Observation()
@@ -84,7 +97,7 @@ class Store:
 
     def read(self, run_id: str, name: str) -> DataFrame:
         """A table of a published run; a run without a manifest has none."""
-        found = self.runs().where((F.col("run_id") == run_id) & (F.col("name") == name)).select("path").first()
+        found = self.runs(run_id).where(F.col("name") == name).select("path").first()
         if found is None:
             raise ValueError(f"run {run_id} has no published table {name}")
         return self.spark.read.parquet(found["path"])
