@@ -35,12 +35,15 @@ PAGE_STATE = "rep_ordinal int, ticks long, origin string, origin_segment_ix int,
 
 
 @contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Streams that are started inside keep their state in RocksDB, as Avro, with a log of changes; the session's settings come back after."""
+def rocksdb(spark: SparkSession, encoding: str = "avro") -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, with a log of changes; the session's settings come back after.
+
+    ``encoding``: Avro for stateful processors; Spark's own aggregates, joins and the like only take ``unsaferow``.
+    """
     store = "spark.sql.streaming.stateStore."
     wanted = {
         f"{store}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-        f"{store}encodingFormat": "avro",
+        f"{store}encodingFormat": encoding,
         f"{store}rocksdb.changelogCheckpointing.enabled": "true",
     }
     before = {k: spark.conf.get(k, None) for k in wanted}

@@ -16,7 +16,7 @@ WATCH_STATE = "run int, started long, progressed long, seen long, counter long,
 
 
 def latest(rows: DataFrame) -> DataFrame:
-    """The largest counter a source has shown; a smaller one never takes it back. Streams in update mode."""
+    """The largest counter a source has shown; a smaller one never takes it back. Streams in update mode, with state encoded as ``unsaferow``: it is Spark's own aggregate."""
     return rows.groupBy("source_id").agg(F.max("counter").alias("counter"))
 
 

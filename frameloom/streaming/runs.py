@@ -12,11 +12,11 @@ from ..plans.staging import shared_folder
 from .live import rocksdb
 
 
-def run_in_turns(rows: DataFrame, cuts: list[str], transform: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+def run_in_turns(rows: DataFrame, cuts: list[str], transform: Callable[[DataFrame], DataFrame], mode: str = "append", encoding: str = "avro") -> DataFrame:
     """What a streaming ``transform`` puts out as the rows arrive in turns, one for each predicate of ``cuts``.
 
     Each turn is written by as many tasks as its rows have partitions, and is one micro-batch; all turns go on from one
-    checkpoint, with state in RocksDB. In update mode a batch's rows replace what an earlier try of the batch wrote; the column ``batch`` tells
+    checkpoint, with state in RocksDB, in the ``encoding`` that ``live.rocksdb`` tells of. In update mode a batch's rows replace what an earlier try of the batch wrote; the column ``batch`` tells
     the batches apart.
     """
     spark = rows.sparkSession
@@ -30,7 +30,7 @@ def run_in_turns(rows: DataFrame, cuts: list[str], transform: Callable[[DataFram
         stream = transform(spark.readStream.schema(rows.schema).parquet(f"{path}/in"))
         out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True)
         out = out.foreachBatch(keep) if mode == "update" else out.format("parquet").option("path", f"{path}/out")
-        with rocksdb(spark):
+        with rocksdb(spark, encoding):
             out.start().awaitTermination()
     schema = stream.schema if mode == "append" else stream.schema.add("batch", "long")
     return spark.read.schema(schema).parquet(f"{path}/out")

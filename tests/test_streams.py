@@ -117,6 +117,15 @@ def test_a_checkpoint_outlives_an_added_field(spark):
     assert spark.conf.get("spark.sql.streaming.stateStore.encodingFormat") == "unsaferow"
 
 
+def test_latest_progress_runs_on_as_an_aggregate_in_update_mode(spark):
+    """A source's counter falls, rises, is null and comes in one turn only; the aggregate's state is not Avro."""
+    rows = spark.createDataFrame([("a", 5, 0), ("a", 9, 1), ("a", 7, 2), ("b", 8, 0), ("b", 3, 2), ("c", None, 1), ("d", -4, 2), (None, 6, 0), (None, 2, 1)], "source_id string, counter long, turn int")
+    got = runs.run_in_turns(rows, [f"turn = {k}" for k in range(3)], progress.latest, "update", "unsaferow")
+    last = {r["source_id"]: r["counter"] for r in runs.latest_rows(got, ["source_id"]).collect()}
+    assert last == {"a": 9, "b": 8, "c": None, "d": -4, None: 6}
+    assert got.where("batch = 0").count() == 3 and spark.conf.get("spark.sql.streaming.stateStore.encodingFormat") == "unsaferow"
+
+
 SECOND = 1_000_000
 #: Spark takes rows at the epoch itself for late ones.
 BASE = 1000
