@@ -6,8 +6,8 @@ ten bytes a window, with at most one entry a block for a passage that is everywh
 blocks sent, and answers each block with one bit a window: whether the same window starts anywhere else. The
 blocks then merge repeated windows into maximal removal intervals.
 
-A window's key has 96 bits: 64 of one hash and 32 of another, over two 61-bit fields, each with word values of its own (the
-halves of a 128-bit hash of the word). Among N windows of which none repeats, N * N / 2 ** 97 chance pairs are to be
+A window's key has 96 bits: 64 of one hash and 32 of another, over two 61-bit fields, each with word values of its own
+(64-bit hashes of the word under two keys). Among N windows of which none repeats, N * N / 2 ** 97 chance pairs are to be
 expected: 4e-10 for the 8e9 windows of 30 GB, 2e-3 for those of 100 TB.
 
 A row is a block's part of a bucket. Once there are more of them than windows in a block, rows hold a window or two each and
@@ -20,10 +20,11 @@ input that bear an output name give way.
 
 from __future__ import annotations
 
+from functools import lru_cache
+from itertools import chain, compress
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,10 +37,13 @@ WINDOW = 35
 BLOCK_BYTES = 4 << 20
 #: Packed bytes of a bucket, on average, over all blocks.
 BUCKET_BYTES = 32 << 20
+#: Windows that are rolled at once: what they need stays in a core's cache.
+STRETCH = 1 << 14
 
-# The field 2 ** 61 - 1 and two multipliers.
+# The field 2 ** 61 - 1, two multipliers, and two keys of words' hashes.
 _FIELD = (1 << 61) - 1
 _MULTIPLIERS = (0x1B873593CC9E2D51 % _FIELD, 0x0B4B82E39D1F6E35 % _FIELD)
+_WORD_KEYS = ("frameloom-word-1", "frameloom-word-2")
 
 
 def _times(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
@@ -50,52 +54,56 @@ def _times(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     low, mid, high = al * bl, al * bh + ah * bl, ah * bh
     # mid < 2 ** 62; 2 ** 64 = 8 and 2 ** 61 = 1 in the field.
     total = (low & field) + (low >> np.uint64(61)) + ((mid << np.uint64(32)) & field) + (mid >> np.uint64(29)) + (high << np.uint64(3))
+    return _reduced(total)
+
+
+def _reduced(total: np.ndarray) -> np.ndarray:
+    field = np.uint64(_FIELD)
     total = (total & field) + (total >> np.uint64(61))
-    return np.where(total >= field, total - field, total)
+    return np.minimum(total, total - field)  # below the field the difference wraps around, far above
 
 
-def _plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    total = a + b
-    return np.where(total >= np.uint64(_FIELD), total - np.uint64(_FIELD), total)
+@lru_cache(maxsize=16)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, ..., base ** (n - 1), by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, _times(out, pow(base, len(out), _FIELD))])
+    return out[:n]
 
 
 def rolled(values: np.ndarray, window: int, multiplier: int) -> np.ndarray:
-    """Rabin-Karp hashes of every window, the sum of values[i + j] * multiplier ** (window - 1 - j), by binary steps."""
+    """Rabin-Karp hashes of every window, the sum of values[i + j] * multiplier ** (window - 1 - j).
+
+    Within a stretch word k is divided by multiplier ** k, so that a window is a difference of two running sums, multiplied by
+    the power of its last word. The sums are kept for the lower 32 and the upper 29 bits apart and do not overflow.
+    """
     n = len(values) - window + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    run, span, power = values, 1, multiplier  # hashes of windows of `span` words; multiplier ** span
-    out, done = None, 0  # hashes of the first `done` words of each window
-    while True:
-        if window & span:
-            out = run if out is None else _plus(_times(out[: len(run) - done], power), run[done:])
-            done += span
-        if 2 * span > window:
-            return out[:n]
-        run = _plus(_times(run[:-span], power), run[span:])
-        power = power * power % _FIELD
-        span *= 2
+    longest = min(STRETCH, n) + window - 1
+    falling, rising = _powers(pow(multiplier, -1, _FIELD), longest), _powers(multiplier, longest)
+    low32, field = np.uint64(0xFFFFFFFF), np.uint64(_FIELD)
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, STRETCH):
+        words = values[at : min(at + STRETCH, n) + window - 1]
+        scaled = _times(words, falling[: len(words)])
+        sums = np.zeros((2, len(words) + 1), np.uint64)
+        np.cumsum(scaled & low32, out=sums[0, 1:])
+        np.cumsum(scaled >> np.uint64(32), out=sums[1, 1:])
+        low, high = sums[:, window:] - sums[:, :-window]
+        total = (low & field) + (low >> np.uint64(61)) + ((high << np.uint64(32)) & field) + (high >> np.uint64(29))
+        out[at : at + STRETCH] = _times(_reduced(total), rising[window - 1 : len(words)])
+    return out
 
 
 class _WordValues:
-    """Two field elements for each word, remembered."""
-
-    def __init__(self) -> None:
-        self.places: dict[bytes, int] = {}
-        self.halves: list[int] = []
+    """Two field elements for each word: its SipHash under one key and under another."""
 
     def of(self, texts: list[list[bytes]], n: int) -> list[np.ndarray]:
         """For all words of the texts in turn, the elements of one field and of the other."""
-        get, add = self.places.get, self._add
-        at = np.fromiter((p if (p := get(w)) is not None else add(w) for t in texts for w in t), np.int64, n)
-        table = np.array(self.halves, np.uint64).reshape(-1, 2) % np.uint64(_FIELD)
-        return [table[at, c] if len(table) else np.zeros(0, np.uint64) for c in (0, 1)]
-
-    def _add(self, word: bytes) -> int:
-        digest = xxhash.xxh3_128_intdigest(word)
-        self.halves += (digest >> 64, digest & 0xFFFFFFFFFFFFFFFF)
-        place = self.places[word] = len(self.places)
-        return place
+        words = np.fromiter(chain.from_iterable(texts), object, n)
+        return [_reduced(pd.util.hash_array(words, hash_key=key, categorize=False)) for key in _WORD_KEYS]
 
 
 def window_keys(texts: list[list[bytes]], window: int, values: _WordValues) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,10 +122,14 @@ def window_keys(texts: list[list[bytes]], window: int, values: _WordValues) -> t
 
 def distinct_keys(first: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order that sorts the windows, and for each sorted one the number of its distinct key."""
-    order = np.lexsort((check, first))
+    order = np.argsort(first)
     a, b = first[order], check[order]
     new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new[1:] = a[1:] != a[:-1]
+    if (~new[1:] & (b[1:] != b[:-1])).any():  # two windows that only the check tells apart: once in 1e6 buckets
+        order = np.lexsort((check, first))
+        a, b = first[order], check[order]
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     return order, np.cumsum(new) - 1
 
 
@@ -219,9 +231,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         masks = covered(lengths, doc[repeated], place[repeated], window)
         texts, cut = [], []
         for own, mask in zip(words, masks, strict=True):
-            texts.append(b" ".join([w for w, m in zip(own, mask.tolist(), strict=True) if not m] if mask.any() else own).decode())
-            turns = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-            cut.append(turns.tolist())
+            hit = mask.any()
+            texts.append(b" ".join(compress(own, (~mask).tolist()) if hit else own).decode())
+            cut.append(np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0)).reshape(-1, 2).tolist() if hit else [])
         return pd.DataFrame({"id": frame["id"], "n_words": lengths, "n_removed": [int(m.sum()) for m in masks], "kept_text": texts, "removed": cut})
 
     out = T.StructType([T.StructField("id", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.LongType())))])

@@ -225,6 +225,30 @@ def test_keys_of_different_windows_differ():
     assert one[0] == one[2] and two[0] == two[2] and len({*one.tolist(), *two.tolist()}) == 4
 
 
+def test_a_window_costs_a_few_products_only(monkeypatch):
+    """Two products a word and field, and the powers once, whatever the window; stretches meet without a gap."""
+    done, times = [], substring_dedup._times
+    monkeypatch.setattr(substring_dedup, "_times", lambda a, b: (done.append(len(a)), times(a, b))[1])
+    rnd = random.Random(4)
+    n = 100_000
+    values = np.array([rnd.randrange(substring_dedup._FIELD) for _ in range(n)], np.uint64)
+    for window in (35, 63):
+        done.clear()
+        got = substring_dedup.rolled(values, window, substring_dedup._MULTIPLIERS[0])
+        assert len(got) == n - window + 1 and sum(done) < 3 * n
+        for k in (0, 16_383, 16_384, 65_535, 65_536, n - window):
+            want = 0
+            for v in values[k : k + window].tolist():
+                want = (want * substring_dedup._MULTIPLIERS[0] + v) % substring_dedup._FIELD
+            assert int(got[k]) == want
+
+
+def test_windows_that_only_the_check_tells_apart():
+    first, check = np.array([7, 3, 7, 7, 3, 7], np.uint64), np.array([2, 1, 1, 2, 1, 1], np.uint32)
+    order, number = substring_dedup.distinct_keys(first, check)
+    assert list(zip(first[order].tolist(), check[order].tolist(), number.tolist(), strict=True)) == [(3, 1, 0), (3, 1, 0), (7, 1, 1), (7, 1, 1), (7, 2, 2), (7, 2, 2)]
+
+
 def test_packing_round_trip():
     rnd = np.random.default_rng(3)
     for n in (0, 1, 5, 1000):
