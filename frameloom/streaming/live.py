@@ -45,6 +45,7 @@ def rocksdb(spark: SparkSession, encoding: str = "avro") -> Iterator[None]:
         f"{store}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         f"{store}encodingFormat": encoding,
         f"{store}rocksdb.changelogCheckpointing.enabled": "true",
+        f"{store}rocksdb.allowFAllocate": "false",  # some 4 MB set aside for each partition of a state, however small, otherwise
     }
     before = {k: spark.conf.get(k, None) for k in wanted}
     for k, v in wanted.items():

@@ -117,6 +117,14 @@ def test_a_checkpoint_outlives_an_added_field(spark):
     assert spark.conf.get("spark.sql.streaming.stateStore.encodingFormat") == "unsaferow"
 
 
+def test_states_set_no_disk_aside(spark):
+    name = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
+    before = spark.conf.get(name, None)
+    with live.rocksdb(spark, "unsaferow"):
+        assert spark.conf.get(name) == "false"
+    assert spark.conf.get(name, None) == before
+
+
 def test_latest_progress_runs_on_as_an_aggregate_in_update_mode(spark):
     """A source's counter falls, rises, is null and comes in one turn only; the aggregate's state is not Avro."""
     rows = spark.createDataFrame([("a", 5, 0), ("a", 9, 1), ("a", 7, 2), ("b", 8, 0), ("b", 3, 2), ("c", None, 1), ("d", -4, 2), (None, 6, 0), (None, 2, 1)], "source_id string, counter long, turn int")
