@@ -39,3 +39,8 @@ def test_outcomes_of_two_replaces_of_one_number(spark, many):
     rows = equals_its_sql(spark, many, "e02_replace_outcomes")
     assert [(r["status"], r["code"]) for r in rows if r["source_id"] == "1" and r["seq"] == 1000] == [("rejected", "DuplicateSample")] * 2
     assert sum(r["status"] == "changed" for r in rows) > 100
+
+
+def test_pages_of_two_replaces_of_one_number(spark, many):
+    rows = sorted((r for r in equals_its_sql(spark, many, "e02_replace_pages") if r["source_id"] == "1"), key=lambda r: r["ticks"])
+    assert len(rows) == PAGES and rows[989]["last_edit"] is None and rows[980]["last_edit"] == "replace"
