@@ -40,23 +40,27 @@ def adds(f: Fixture) -> DataFrame:
     return _edit(last, "add", F.lit(1), num=F.col("ticks"), den=3).union(_edit(tie, "add", F.lit(2), num=F.col("ticks") + F.col("n"), den=2)).union(_edit(own, "add", F.lit(3), num=F.col("ticks")))
 
 
-def replaces(f: Fixture) -> DataFrame:
-    """Every ninth page moves by 700 ticks; the second one onto the third's sample; one page is unknown, one stays."""
-    every = f.ranked().where("at % 9 = 0")
+def changeless(f: Fixture) -> DataFrame:
+    """Replaces that change nothing: the second page onto the third's sample, one of an unknown page, and the first onto itself."""
     onto = f.ranked().withColumn("next_ticks", F.lead("ticks").over(pages.by_time())).where("at = 2 AND next_ticks IS NOT NULL")
     first = f.ranked().where("at = 1")
     ids = F.array("page_id")
     return (
-        _edit(every, "replace", 10 + F.col("at"), ids, F.col("ticks") + 700)
-        .union(_edit(onto, "replace", F.lit(1000), ids, F.col("next_ticks")))
+        _edit(onto, "replace", F.lit(1000), ids, F.col("next_ticks"))
         .union(_edit(first, "replace", F.lit(1001), F.array(F.lit("nobody")), F.col("ticks")))
         .union(_edit(first, "replace", F.lit(1002), ids, F.col("ticks")))
     )
 
 
+def replaces(f: Fixture) -> DataFrame:
+    """Every ninth page moves by 700 ticks (page 990 in an edit with the number of one of the others), and those that change nothing."""
+    every = f.ranked().where("at % 9 = 0")
+    return _edit(every, "replace", 10 + F.col("at"), F.array("page_id"), F.col("ticks") + 700).union(changeless(f))
+
+
 def moves(f: Fixture) -> DataFrame:
-    """The replaces above that change nothing (onto another page, of an unknown one, onto itself), and the fourth page by 700 ticks."""
-    return replaces(f).where("seq >= 1000").union(_edit(f.ranked().where("at = 4"), "replace", F.lit(1003), F.array("page_id"), F.col("ticks") + 700))
+    """The replaces that change nothing, and the fourth page by 700 ticks."""
+    return changeless(f).union(_edit(f.ranked().where("at = 4"), "replace", F.lit(1003), F.array("page_id"), F.col("ticks") + 700))
 
 
 def deletes(f: Fixture) -> DataFrame:

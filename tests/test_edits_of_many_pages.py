@@ -44,3 +44,8 @@ def test_outcomes_of_two_replaces_of_one_number(spark, many):
 def test_pages_of_two_replaces_of_one_number(spark, many):
     rows = sorted((r for r in equals_its_sql(spark, many, "e02_replace_pages") if r["source_id"] == "1"), key=lambda r: r["ticks"])
     assert len(rows) == PAGES and rows[989]["last_edit"] is None and rows[980]["last_edit"] == "replace"
+
+
+def test_outcomes_of_a_log_hold_its_own_replaces_alone(spark, many):
+    rows = equals_its_sql(spark, many, "e06_replay_outcomes")
+    assert [r["seq"] for r in sorted(rows, key=lambda r: r["seq"]) if r["source_id"] == "1" and r["seq"] >= 1000] == [1000, 1001, 1002, 1003]
