@@ -49,3 +49,8 @@ def test_pages_of_two_replaces_of_one_number(spark, many):
 def test_outcomes_of_a_log_hold_its_own_replaces_alone(spark, many):
     rows = equals_its_sql(spark, many, "e06_replay_outcomes")
     assert [r["seq"] for r in sorted(rows, key=lambda r: r["seq"]) if r["source_id"] == "1" and r["seq"] >= 1000] == [1000, 1001, 1002, 1003]
+
+
+def test_pages_of_a_log_are_moved_by_its_own_replaces_alone(spark, many):
+    rows = equals_its_sql(spark, many, "e06_replay_pages")
+    assert sum(r["last_edit"] == "replace" for r in rows if r["source_id"] == "1") == 1
