@@ -54,3 +54,8 @@ def test_outcomes_of_a_log_hold_its_own_replaces_alone(spark, many):
 def test_pages_of_a_log_are_moved_by_its_own_replaces_alone(spark, many):
     rows = equals_its_sql(spark, many, "e06_replay_pages")
     assert sum(r["last_edit"] == "replace" for r in rows if r["source_id"] == "1") == 1
+
+
+def test_live_edits_are_the_log_without_merges(spark, many):
+    rows = equals_its_sql(spark, many, "t06_live_edits")
+    assert [r["code"] for r in rows if r["code"] == "OutOfOrder"] == []
