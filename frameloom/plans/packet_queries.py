@@ -22,6 +22,8 @@ LIMIT = 561_600_000_000  # 6.5 days
 LONG_STRETCH = 5000
 #: Ticks of a stretch, a day: longer sources are ordered by a task a stretch.
 STRETCH = 86_400_000_000
+#: Bytes of a stretch of a packet index.
+INDEX_STRETCH = 4 << 20
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +58,9 @@ def s02_packet_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.table(spark, sf_dir, "events").select(F.pmod(F.col("user_id"), F.lit(12)).cast("string").alias("source_id"), F.col("event_id").cast("long").alias("pts"), "event_type")
     line = F.concat(F.lit("pts="), F.col("pts").cast("string"), F.lit("|flags="), F.when(F.col("event_type") == "view", "K__").otherwise("___")).alias("value")
     path = f"{shared_folder(spark)}/packets-{uuid.uuid4().hex}"
-    rows.repartition(12, "source_id").sortWithinPartitions("source_id", "pts").select("source_id", line).write.partitionBy("source_id").text(path)
+    rows.repartitionById(12, F.col("source_id").cast("int")).sortWithinPartitions("source_id", "pts").select("source_id", line).write.partitionBy("source_id").text(path)
     lines = packet_source.read_packet_lines(spark, path, 16 << 10).withColumn("source_id", F.regexp_extract("source_id", "source_id=([^/]+)/", 1))
-    good, _ = source.key_packets(lines, lines.select("source_id", F.lit(0).cast("long").alias("origin_pts")).distinct())
+    good, _ = source.key_packets(lines, rows.select("source_id", F.lit(0).cast("long").alias("origin_pts")).distinct(), INDEX_STRETCH)
     return good.select("source_id", "pts", "is_key")
 
 

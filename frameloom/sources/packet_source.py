@@ -22,6 +22,10 @@ SCHEMA = "source_id string, line_no long, value string"
 RANGE_BYTES = 64 << 20
 #: Bytes that are read, and put out as one Arrow batch, at once; a longer line is read whole.
 CHUNK_BYTES = 4 << 20
+#: Bytes in which a line break is looked for first; then twice as many, and so on.
+LOOK_BYTES = 4 << 10
+#: Ranges of a read, about, from which on they become longer than asked, so that small ranges of large files are not a task each.
+MANY = 256
 
 
 @dataclass
@@ -58,41 +62,65 @@ def ranges(path: str, begin: int, end: int, size: int) -> list[Range]:
     return [Range(path, at, min(at + size, end)) for at in range(begin, end, size)]
 
 
+def planned(spans: list[tuple[str, int, int]], size: int) -> list[Range]:
+    """Ranges of (path, begin, end) spans, of ``size`` bytes: neighbouring ones become one where they would be more than ``MANY``, up to ``RANGE_BYTES``."""
+    size = max(size, min(RANGE_BYTES, -(-sum(end - begin for _, begin, end in spans) // MANY)))
+    return [r for path, begin, end in spans for r in ranges(path, begin, end, size)] or [Range("", 0, 0)]
+
+
+def _behind_break(file: pa.NativeFile, at: int, size: int) -> int:
+    """The byte behind the first line break at or after ``at``, or ``size``."""
+    step = min(LOOK_BYTES, CHUNK_BYTES)
+    while at < size:
+        found = file.read_at(min(step, size - at), at)
+        k = found.find(b"\n")
+        if k >= 0:
+            return at + k + 1
+        at, step = at + len(found), min(2 * step, CHUNK_BYTES)
+    return size
+
+
 def lines_of(part: Range) -> Iterator[pa.RecordBatch]:
-    """The lines that begin in a range, without their breaks; empty lines are left out."""
+    """The lines that begin in a range, without their breaks; empty lines are left out. Nothing is read but these lines and the way to their first and last break."""
     system, place = opened(part.path)
     with system.open_input_file(place) as file:
         size = file.size()
-        at = part.begin
-        if at:  # a line that begins before this range is the range's before
-            at = part.begin - 1
-            while at < size:
-                found = file.read_at(min(CHUNK_BYTES, size - at), at)
-                k = found.find(b"\n")
-                at += len(found) if k < 0 else k + 1
-                if k >= 0:
-                    break
+        # a line that begins before this range is the range's before; the one that begins last in it may end behind it
+        at = _behind_break(file, part.begin - 1, size) if part.begin else 0
+        end = _behind_break(file, part.end - 1, size)
         rest, start = b"", at
-        while start < part.end and (at < size or rest):
-            data = rest + file.read_at(min(CHUNK_BYTES, size - at), at)
-            at = min(size, at + CHUNK_BYTES)
-            cut = len(data) if at == size else data.rfind(b"\n") + 1
+        while start < end:
+            data = rest + file.read_at(min(CHUNK_BYTES, end - at), at)
+            at = min(end, at + CHUNK_BYTES)
+            cut = len(data) if at == end else data.rfind(b"\n") + 1
             if cut:
                 yield from _batch(part, start, data[:cut])
             rest, start = data[cut:], start + cut
-            if at == size and not rest:
-                return
 
 
 def _batch(part: Range, start: int, data: bytes) -> Iterator[pa.RecordBatch]:
-    breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+    flat = np.frombuffer(data, np.uint8)
+    breaks = np.flatnonzero(flat == 10)
     begins = np.concatenate([[0], breaks + 1])
     ends = np.append(breaks, len(data))
     keep = (ends > begins) & (start + begins < part.end)
     if keep.any():
-        text = [data[a:b].removesuffix(b"\r") for a, b in zip(begins[keep].tolist(), ends[keep].tolist(), strict=True)]
-        n = len(text)
-        yield pa.RecordBatch.from_arrays([pa.array([part.path] * n, pa.string()), pa.array(start + begins[keep], pa.int64()), pa.array([t.decode("utf-8", "replace") for t in text], pa.string())], names=["source_id", "line_no", "value"])
+        begins, ends = begins[keep], ends[keep]
+        ends = ends - (flat[ends - 1] == 13)
+        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(part.path, pa.string()), len(begins)), pa.array(start + begins, pa.int64()), _texts(data, flat, begins, ends)], names=["source_id", "line_no", "value"])
+
+
+def _texts(data: bytes, flat: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The texts between ``begins`` and ``ends``; bytes that are no UTF-8 are replaced."""
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError:
+        return pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(begins.tolist(), ends.tolist(), strict=True)], pa.string())
+    inside = np.zeros(len(flat) + 1, np.int8)
+    inside[begins] += 1
+    inside[ends] -= 1
+    offsets = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(begins), pa.py_buffer(offsets), pa.py_buffer(flat[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]))
 
 
 class Reader(DataSourceReader):
@@ -100,7 +128,7 @@ class Reader(DataSourceReader):
         self.path, self.size = path, size
 
     def partitions(self) -> list[Range]:
-        return [r for path, n in listed(self.path) for r in ranges(path, 0, n, self.size)] or [Range("", 0, 0)]
+        return planned([(path, 0, n) for path, n in listed(self.path)], self.size)
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         return lines_of(partition) if partition.path else iter(())
@@ -120,7 +148,7 @@ class StreamReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Range]:
         before, after = json.loads(start["files"]), json.loads(end["files"])
-        return [r for path, n in sorted(after.items()) for r in ranges(path, before.get(path, 0), n, self.size)] or [Range("", 0, 0)]
+        return planned([(path, before.get(path, 0), n) for path, n in sorted(after.items())], self.size)
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         return lines_of(partition) if partition.path else iter(())
@@ -141,7 +169,10 @@ def whole_lines(path: str, size: int) -> int:
 
 
 class PacketLines(DataSource):
-    """``spark.read.format("packet_lines").option("range_bytes", n).load(path)``, and the same with ``readStream``."""
+    """``spark.read.format("packet_lines").option("range_bytes", n).load(path)``, and the same with ``readStream``.
+
+    ``range_bytes`` is the least length of a range: a task takes several neighbouring ones where a read would have more than ``MANY``.
+    """
 
     @classmethod
     def name(cls) -> str:

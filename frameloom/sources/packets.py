@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..operators import scans
 
 INVALID = "InvalidTiming"
 
@@ -28,14 +29,14 @@ def parse_packets(lines: DataFrame) -> DataFrame:
     return keys.select("source_id", "line_no", "pts", F.lit(True).alias("is_key"), F.when(F.col("pts").isNull(), F.lit(INVALID)).alias("reject_code"))
 
 
-def key_packets(lines: DataFrame, origins: DataFrame) -> tuple[DataFrame, DataFrame]:
+def key_packets(lines: DataFrame, origins: DataFrame, stretch: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(packets, rejects): key packets of sound sources, and per rejected source its code.
 
     A source is rejected as a whole if a key packet has no whole-number time, one before the origin, or one that does
-    not come after the packet before it.
+    not come after the packet before it. Without ``stretch`` one task orders a source; with it, a task orders so many
+    line numbers of one (``operators/scans.py``), and the lines are read once, their key packets staged.
     """
     rows = parse_packets(lines).join(origins.select("source_id", "origin_pts"), "source_id", "left")
-    before = Window.partitionBy("source_id").orderBy("line_no")
-    checked = rows.withColumn("prev", F.lag("pts").over(before)).withColumn("bad", F.col("pts").isNull() | (F.col("pts") < F.coalesce("origin_pts", F.col("pts"))) | F.coalesce(F.col("pts") <= F.col("prev"), F.lit(False)))
+    checked = scans.neighbours(rows, F.col("pts"), "line_no", "prev", stretch=stretch).withColumn("bad", F.col("pts").isNull() | (F.col("pts") < F.coalesce("origin_pts", F.col("pts"))) | F.coalesce(F.col("pts") <= F.col("prev"), F.lit(False)))
     bad = checked.groupBy("source_id").agg(F.max("bad").alias("bad")).where("bad").select("source_id", F.lit(INVALID).alias("reject_code"))
-    return rows.join(bad, "source_id", "left_anti").select("source_id", "line_no", "pts", "is_key"), bad
+    return (rows if stretch is None else checked).join(bad, "source_id", "left_anti").select("source_id", "line_no", "pts", "is_key"), bad

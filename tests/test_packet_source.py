@@ -78,3 +78,82 @@ def test_a_growing_index_is_a_stream(spark, tmp_path):
 def test_unknown_stores_say_so():
     with pytest.raises(ValueError, match="pyarrow.fs"):
         ps.listed("nosuch://host/index")
+
+
+class Counted:
+    """A file that counts the bytes read of it."""
+
+    def __init__(self, file, counts: list[int]) -> None:
+        self.file, self.counts = file, counts
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+    def size(self) -> int:
+        return self.file.size()
+
+    def read_at(self, n: int, at: int) -> bytes:
+        data = self.file.read_at(n, at)
+        self.counts.append(len(data))
+        return data
+
+
+def test_a_range_reads_little_more_than_its_own_lines(tmp_path, monkeypatch):
+    path, counts, opened = str(tmp_path / "a.txt"), [], ps.opened
+    want = written(tmp_path / "a.txt", 3, 30_000)
+
+    class Store:
+        def open_input_file(self, place: str) -> Counted:
+            return Counted(opened(path)[0].open_input_file(place), counts)
+
+    monkeypatch.setattr(ps, "opened", lambda path: (Store(), path))
+    size = (tmp_path / "a.txt").stat().st_size
+    parts = ps.ranges(path, 0, size, 64 << 10)
+    assert sum(b.num_rows for part in parts for b in ps.lines_of(part)) == len(want)
+    assert len(parts) > 5 and sum(counts) < size + len(parts) * (20 << 10)
+
+
+def test_small_ranges_of_large_files_are_not_a_task_each(monkeypatch):
+    monkeypatch.setattr(ps, "listed", lambda path: [("a", 1 << 30), ("b", 5), ("c", 3 << 30)])
+    parts = ps.Reader("x", 16 << 10).partitions()
+    assert 200 < len(parts) < 400 and all(p.end - p.begin <= ps.RANGE_BYTES for p in parts)
+    for name, n in (("a", 1 << 30), ("b", 5), ("c", 3 << 30)):
+        own = [(p.begin, p.end) for p in parts if p.path == name]
+        assert own[0][0] == 0 and own[-1][1] == n and all(x[1] == y[0] for x, y in zip(own, own[1:], strict=False))
+    monkeypatch.setattr(ps, "listed", lambda path: [("a", 100_000)])
+    assert {p.end - p.begin for p in ps.Reader("x", 5000).partitions()} == {5000}
+
+
+@pytest.mark.parametrize("size", [1, 3, 10, 1000])
+def test_odd_bytes_of_lines(tmp_path, size):
+    """Breaks of two bytes, texts that are no UTF-8 (also where two lines' ends would make a letter), and lines of several bytes a letter."""
+    for data in (b"a\r\n\r\nb\r\r\n\n\nc\xc3\n\xa9d\r\ne", "\né\r\n€\U0001f600\n\r".encode(), b"\n\n", b""):
+        (tmp_path / "a.txt").write_bytes(data)
+        at, want = 0, []
+        for line in data.split(b"\n"):
+            if line:
+                want.append((at, line.removesuffix(b"\r").decode("utf-8", "replace")))
+            at += len(line) + 1
+        got = [r for part in ps.ranges(str(tmp_path / "a.txt"), 0, len(data), size) for b in ps.lines_of(part) for r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+        assert got == want
+
+
+def test_order_is_checked_over_stretches_too(spark):
+    """Sources with a fall, a repeat and a time that is no number, each also across the end of a stretch: the same packets and rejects."""
+    rnd, lines = random.Random(4), []
+    for s in range(24):
+        times = [str(10 * k) for k in range(40)]
+        if s % 4:
+            k = rnd.choice([19, 20, 21, 33])  # stretches end before lines 10, 20 and 30
+            times[k] = {1: times[k - 1], 2: "0", 3: "N/A"}[s % 4]
+        lines += [(f"s{s}", 7 * k, f"pts={t}|flags=K__") for k, t in enumerate(times)]
+    rows = spark.createDataFrame(lines, "source_id string, line_no long, value string")
+    origins = rows.select("source_id", F.lit(0).cast("long").alias("origin_pts")).distinct()
+    want = packets.key_packets(rows, origins)
+    for stretch in (1, 70, 1000):
+        got = packets.key_packets(rows, origins, stretch)
+        assert [sorted(map(tuple, x.collect())) for x in got] == [sorted(map(tuple, x.collect())) for x in want]
+    assert want[0].count() == 6 * 40 and want[1].count() == 18
